@@ -11,43 +11,45 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.constants import ANOMALY_PERCENTILE
-from raresift.functions.values import mean_squared_error, total
+from raresift.functions.values import total
 from raresift.operators.ordering import exact_percentile
 
 
 @dataclass(frozen=True)
 class LinearReconstruction:
-    """Projection on a few directions and back. Scores are plain column arithmetic."""
+    """Projection on a few orthonormal directions and back. Scores are plain column arithmetic."""
 
     features: tuple[str, ...]
     mean: tuple[float, ...]
     components: tuple[tuple[float, ...], ...]
 
-    def rebuilt(self, df: DataFrame, prefix: str = "_rebuilt_") -> DataFrame:
-        """Add the rebuilt features. The codes are columns of their own, so each is computed once."""
+    def codes(self) -> list[Column]:
+        """Coordinates of the centred row along the directions."""
         centred = [F.col(name) - F.lit(middle) for name, middle in zip(self.features, self.mean)]
-        codes = {
-            f"_code_{j}": total(x * F.lit(weight) for x, weight in zip(centred, direction))
-            for j, direction in enumerate(self.components)
-        }
-        restored = {
-            f"{prefix}{name}": total(
-                [
-                    F.lit(self.mean[i]),
-                    *[F.col(f"_code_{j}") * F.lit(direction[i]) for j, direction in enumerate(self.components)],
-                ]
-            )
-            for i, name in enumerate(self.features)
-        }
-        return df.withColumns(codes).withColumns(restored).drop(*codes)
+        return [total(x * F.lit(weight) for x, weight in zip(centred, direction)) for direction in self.components]
+
+    def error(self) -> Column:
+        """Mean squared error between a row and its rebuilt form.
+
+        The directions are orthonormal, so what the code misses is the squared length of the centred row less
+        that of the code. This grows with features times directions; spelling the rebuilt row out would grow
+        with the square of the features and burst the generated code.
+        """
+        centred = [F.col(name) - F.lit(middle) for name, middle in zip(self.features, self.mean)]
+        missed = total(x * x for x in centred) - total(code * code for code in self.codes())
+        return F.greatest(missed, F.lit(0.0)) / F.lit(float(len(self.features)))
+
+    def rebuilt(self) -> list[Column]:
+        """The features as restored from the code, in order."""
+        codes = self.codes()
+        return [
+            total([F.lit(self.mean[i]), *[code * F.lit(direction[i]) for code, direction in zip(codes, self.components)]])
+            for i in range(len(self.features))
+        ]
 
     def score(self, df: DataFrame, output: str = "filter_score") -> DataFrame:
-        """Add the mean squared error between the features and their rebuilt values."""
-        prefix = "_rebuilt_"
-        error = mean_squared_error(
-            [F.col(name) for name in self.features], [F.col(f"{prefix}{name}") for name in self.features]
-        )
-        return self.rebuilt(df, prefix).withColumn(output, error).drop(*[f"{prefix}{name}" for name in self.features])
+        """Add the reconstruction error."""
+        return df.withColumn(output, self.error())
 
     def describe(self) -> dict:
         return {
