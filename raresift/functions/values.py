@@ -28,12 +28,15 @@ def is_infinite(value: Column) -> Column:
 
 
 def finite_or_null(value: Column) -> Column:
-    """Null for NaN and infinities, so that one notion of missing is left."""
-    return F.when(~(F.isnan(value) | (F.abs(value) == F.lit(INFINITY))), value)
+    """Null for NaN and infinities, so that one notion of missing is left.
+
+    NaN orders above every number, so one comparison catches both.
+    """
+    return F.when(F.abs(value) < F.lit(INFINITY), value)
 
 
 def is_finite(value: Column) -> Column:
-    return F.coalesce(~F.isnan(value) & (F.abs(value) != F.lit(INFINITY)), F.lit(False))
+    return F.coalesce(F.abs(value) < F.lit(INFINITY), F.lit(False))
 
 
 def label_or_null(value: Column) -> Column:

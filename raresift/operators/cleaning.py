@@ -40,8 +40,14 @@ def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def clean_features(df: DataFrame, features: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
-    """Coerce, normalise and keep complete rows; ``also`` lists further columns that must be present."""
-    return drop_missing(normalise_missing(coerce_features(df, features), features), [*features, *also])
+    """Coerce and keep the rows whose features are all finite; ``also`` lists further columns that must be present.
+
+    The test is one comparison per feature, because the planner repeats it next to the scan.
+    """
+    require_columns(df, also)
+    coerced = coerce_features(df, features)
+    kept = coerced.filter(all_of(is_finite(F.col(name)) for name in features))
+    return kept.na.drop("any", subset=list(also)) if also else kept
 
 
 def with_valid_flag(df: DataFrame, features: Sequence[str], flag: str = "is_valid") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from raresift.functions.values import all_of
 from raresift.operators.sizing import broadcast_if_small
 from raresift.schema import MissingColumns, require_columns
+from raresift.session import materialise
 
 
 def union_ids(lists: Sequence[tuple[DataFrame, str]], name: str = "id") -> DataFrame:
@@ -27,7 +28,8 @@ def exclude_known(df: DataFrame, lists: Sequence[tuple[DataFrame, str]], id_col:
     require_columns(df, [id_col])
     if not lists:
         return df
-    known = broadcast_if_small(union_ids(lists, "_known"), "_known")
+    # Written once: it is measured here and read again by the join, on a stream by every batch.
+    known = broadcast_if_small(materialise(union_ids(lists, "_known")), "_known")
     return df.join(known, F.col(id_col).cast("string") == F.col("_known"), "left_anti")
 
 
@@ -48,7 +50,9 @@ def known_source_stats(df: DataFrame, lists: Mapping[str, tuple[DataFrame, str]]
         .filter(F.col("_known").isNotNull())
         for own, (table, column) in enumerate(lists.values())
     ]
-    ids = reduce(DataFrame.unionByName, tagged).groupBy("_known").agg(*[F.bool_or(flag).alias(flag) for flag in flags])
+    ids = materialise(
+        reduce(DataFrame.unionByName, tagged).groupBy("_known").agg(*[F.bool_or(flag).alias(flag) for flag in flags])
+    )
     sizes = ids.agg(*[F.count_if(flag).alias(flag) for flag in flags])
     listed = sizes.select(_unpivot(names, [F.col(flag) for flag in flags], "listed_ids"))
     if id_col in df.columns:

@@ -94,12 +94,17 @@ class IsolationFilter:
 
         def lengths(x: np.ndarray) -> np.ndarray:
             summed = np.zeros(len(x))
-            rows = np.arange(len(x))
+            flat = np.ascontiguousarray(x).ravel()
+            start = np.arange(len(x)) * x.shape[1]
             for tree in range(trees):
-                node = np.zeros(len(x), dtype=np.int64)
-                for _ in range(depth):
-                    node = 2 * node + 1 + (x[rows, feature[tree, node]] > cut[tree, node])
-                summed += length[tree, node]
+                which, limit = feature[tree], cut[tree]
+                node = 1 + (flat.take(start + which[0]) > limit[0])
+                for _ in range(depth - 1):
+                    right = flat.take(start + which.take(node)) > limit.take(node)
+                    node += node
+                    node += 1
+                    node += right
+                summed += length[tree].take(node)
             return summed / trees
 
         return lengths
@@ -124,14 +129,19 @@ def isolation_from(description: dict) -> IsolationFilter:
     )
 
 
-def tree_samples(df: DataFrame, features: Sequence[str], id_col: str, trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows for each tree, as ``tree`` plus the features.
+def tree_samples(
+    df: DataFrame, features: Sequence[str], id_col: str, trees: int, sample: int, seed: int
+) -> tuple[DataFrame, int]:
+    """(``tree`` plus the features, rows per tree): ``sample`` rows for each tree, or all there are.
 
     A keyed sample of at most ``trees * sample`` rows is drawn once. It is shuffled as often as needed to serve
     every tree, and the trees of one shuffle take consecutive blocks, so no tree sees a row twice.
     """
-    pool = cap_rows(df.select(id_col, *features), id_col, trees * sample, seed)
+    # Written once: the sample is counted, then dealt out.
+    pool = materialise(cap_rows(df.select(id_col, *features), id_col, trees * sample, seed))
     rows = pool.agg(F.count(F.lit(1)).alias("n")).first().n
+    if rows == 0:
+        raise ValueError("cannot grow trees on an empty table")
     size = min(sample, rows)
     blocks = rows // size
     shuffles = math.ceil(trees / blocks)
@@ -141,7 +151,8 @@ def tree_samples(df: DataFrame, features: Sequence[str], id_col: str, trees: int
     block = F.expr(f"CAST((row_place - 1) DIV {size} AS INT)")
     placed = spread.withColumn("row_place", F.row_number().over(order)).withColumn("_block", block)
     tree = (F.col("_shuffle") * F.lit(blocks) + F.col("_block")).cast("int")
-    return placed.filter(F.col("_block") < blocks).withColumn("tree", tree).filter(F.col("tree") < trees).select("tree", *features)
+    dealt = placed.filter(F.col("_block") < blocks).withColumn("tree", tree).filter(F.col("tree") < trees)
+    return dealt.select("tree", *features), size
 
 
 def fit_isolation(
@@ -156,7 +167,7 @@ def fit_isolation(
     """Grow the trees in parallel and set the offset so that ``contamination`` of the training rows are strange."""
     names = list(features)
     depth = max(1, math.ceil(math.log2(sample)))
-    chosen = tree_samples(df, names, id_col, trees, sample, seed)
+    chosen, used = tree_samples(df, names, id_col, trees, sample, seed)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group["tree"].iloc[0])
@@ -169,9 +180,6 @@ def fit_isolation(
 
     # At most 2 * sample nodes per tree.
     nodes = chosen.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
-    if not nodes:
-        raise ValueError("cannot grow trees on an empty table")
-    used = chosen.filter("tree = 0").count()
     grown = IsolationFilter(tuple(names), used, depth, 0.0, tuple(tuple(row) for row in sorted(nodes)))
     # Frozen, so that the trees run once and not for every pass of the percentile.
     scores = materialise(grown.score(df.select(*names), "_score").select("_score"))

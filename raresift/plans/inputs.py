@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from raresift.functions.keyed import uniform
+from raresift.session import spread
 
 ORDER_FEATURES = ["total", "day", "customer", "lines", "quantity", "returned", "accepted", "pending"]
 LINE_FEATURES = ["quantity", "price", "discount", "tax"]
@@ -18,15 +19,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The large catalogue: one row per order line, under a composite id."""
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    return table(spark, folder, "lineitem").select(
+def lines(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """The large catalogue: one row per order line, under a composite id.
+
+    ``heavy`` marks queries with much work per row, for which a scan of few splits is dealt out first.
+    """
+    scan = table(spark, folder, "lineitem")
+    scan = spread(scan, "l_orderkey") if heavy else scan
+    cents = (F.col("l_extendedprice") * 100 + 0.5).cast("bigint")
+    return scan.select(
         F.concat_ws(
             "-",
             *[F.col(name).cast("string") for name in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
             cents.cast("string"),
-            F.date_format("l_shipdate", "yyyyMMdd"),
+            F.unix_date(F.col("l_shipdate").cast("date")).cast("string"),
         ).alias("id"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_quantity").alias("quantity"),
@@ -41,7 +47,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 LINES = """lines AS (
   SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
                    CAST(l_suppkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR),
-                   strftime(l_shipdate, '%Y%m%d')) AS id,
+                   CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR)) AS id,
          l_orderkey AS order_id, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount,
          l_tax AS tax, l_returnflag AS flag, l_linestatus AS status
   FROM lineitem)"""

@@ -121,13 +121,13 @@ def load_contaminants_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with one feature written as text, in places badly."""
-    hundredths = F.round(F.col("tax") * 100).cast("int")
+    hundredths = (F.col("tax") * 100 + 0.5).cast("int")
     written = (
         F.when((hundredths == 0) & (F.col("flag") == "N"), F.lit("?"))
         .when((hundredths == 0) & (F.col("flag") == "A"), F.lit("inf"))
         .otherwise(F.concat(hundredths.cast("string"), F.lit("e-2")))
     )
-    return lines(spark, folder).withColumn("tax", written)
+    return lines(spark, folder, heavy=True).withColumn("tax", written)
 
 
 SQL_SCORING = [

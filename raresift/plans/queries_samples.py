@@ -66,7 +66,7 @@ def holdout_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("cap_sample", with_parts([LINES], "SELECT id, quantity FROM lines ORDER BY md5('42|' || id) LIMIT 10000"))
 def cap_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return cap_rows(lines(spark, folder).select("id", "quantity"), "id")
+    return cap_rows(lines(spark, folder, heavy=True).select("id", "quantity"), "id")
 
 
 SQL_BOUNDED = """sided AS (SELECT id, code, code IN (2, 3, 4) AS rare, row_number() OVER (PARTITION BY code IN (2, 3, 4) ORDER BY md5('42|' || id)) AS place FROM coded),
@@ -108,7 +108,7 @@ def balanced_bootstrap_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scaled_lines(spark: SparkSession, folder: str, *also: str) -> DataFrame:
-    rows = lines(spark, folder).select("id", *also, *LINE_FEATURES)
+    rows = lines(spark, folder, heavy=True).select("id", *also, *LINE_FEATURES)
     return fit_minmax(rows, LINE_FEATURES).transform(rows)
 
 
@@ -176,7 +176,7 @@ def sql_noise(place: int) -> str:
     ),
 )
 def uniform_noise_query(spark: SparkSession, folder: str) -> DataFrame:
-    return round_all(uniform_noise_like(lines(spark, folder), LINE_FEATURES, "id"), LINE_FEATURES)
+    return round_all(uniform_noise_like(lines(spark, folder, heavy=True), LINE_FEATURES, "id"), LINE_FEATURES)
 
 
 @query(
@@ -327,7 +327,7 @@ def filter_choice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).select("id", "flag").withColumns(made_scores())
+    rows = lines(spark, folder, heavy=True).select("id", "flag").withColumns(made_scores())
     truth = F.when(F.col("flag") == "A", 0).when(F.col("flag") == "N", 1).otherwise(2)
     return rows.withColumns({"is_anomaly": F.col("filter_score") > ANOMALY_CUT, "code": truth})
 

@@ -20,7 +20,7 @@ from raresift.constants import (
     TEST_SHARE,
 )
 from raresift.operators.cascade import confirmed, route, suspected
-from raresift.operators.cleaning import clean_features, coerce_features, drop_missing, normalise_missing
+from raresift.operators.cleaning import clean_features, coerce_features, normalise_missing
 from raresift.operators.diagnosis import contaminant_flow, gate_diagnostics, generalist_diagnostics, specialist_diagnostics
 from raresift.operators.encoding import LabelCodes, fit_labels, merged_code
 from raresift.operators.isolation import fit_isolation, strange
@@ -31,7 +31,7 @@ from raresift.operators.reconstruction import above, fit_dense, fit_linear, fit_
 from raresift.operators.sampling import cap_rows, split_rows, stratified_split, uniform_noise
 from raresift.operators.scaling import MinMax, fit_minmax
 from raresift.schema import project_features
-from raresift.session import materialise
+from raresift.session import materialise, materialise_evenly
 from raresift.sources.bundle import Bundle
 
 
@@ -61,8 +61,9 @@ def prepare_training(
     df: DataFrame, features: Sequence[str], label: str = LABEL_COLUMN, id_col: str = ID_COLUMN
 ) -> Prepared:
     """Profile missing values, keep complete rows and give every class its code (column ``code``)."""
-    table = normalise_missing(coerce_features(project_features(df, features, id_col, extra=[label]), features), features)
-    rows = drop_missing(table, [*features, label])
+    raw = project_features(df, features, id_col, extra=[label])
+    table = normalise_missing(coerce_features(raw, features), features)
+    rows = clean_features(raw, features, also=[label])
     labels = fit_labels(rows, label)
     profile = {
         "missing": missing_counts(table, [*features, label]),
@@ -104,12 +105,14 @@ def train(
     """Fit scaler, both filters and the cascade; keep the better filter; report on the held-out rows."""
     features = list(features)
     prepared = prepare_training(df, features, label, id_col)
-    fitted, held_out = split_rows(stratified_split(prepared.rows, label, id_col, TEST_SHARE, config.seed))
+    # The raw table is read once more; the split and every fit below work on what is written here.
+    clean = materialise_evenly(prepared.rows.select(id_col, label, "code", *features))
+    marked = materialise(stratified_split(clean, label, id_col, TEST_SHARE, config.seed))
+    fitted, held_out = split_rows(marked)
     scaler = fit_minmax(fitted, features)
-    # Every fit below reads these tables, so they are written once.
     kept = [id_col, "code", *features]
-    training = materialise(scaler.transform(fitted).select(*kept))
-    testing = materialise(scaler.transform(held_out).select(*kept))
+    training = scaler.transform(fitted).select(*kept)
+    testing = scaler.transform(held_out).select(*kept)
     noise = load_contaminants(contaminants, features, scaler, id_col)
     if noise is None:
         noise = uniform_noise(df.sparkSession, features, seed=config.seed)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "raresift", cores: int | str = 8, memory: str = "16g", **conf: str) -> SparkSession:
@@ -17,7 +17,6 @@ def local_session(app: str = "raresift", cores: int | str = 8, memory: str = "16
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.bindAddress", "127.0.0.1")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -42,3 +41,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the checkpoint folder, so that later jobs read it instead of recomputing it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a bare scan out by ``key`` when it has fewer splits than there are cores.
+
+    A file of one row group is read by one task, and so is all work on its rows. A table of many splits, as
+    any large one is, is returned as it is. Meant for scans: asking for the splits of a plan with shuffles
+    would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialise_evenly(df: DataFrame, most: float = 4.0) -> DataFrame:
+    """Like ``materialise``, then evened out when few partitions, or one, hold most rows."""
+    written = materialise(df)
+    sizes = written.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    seen = sizes.agg(F.count(F.lit(1)).alias("filled"), F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not seen.filled or (seen.filled >= cores and seen.largest <= most * seen.rows / seen.filled):
+        return written
+    return materialise(written.repartition(max(cores, written.rdd.getNumPartitions())))
