@@ -12,13 +12,18 @@ from raresift.constants import MERGED_RARE_CODE, RARE_CODES
 from raresift.operators.ordering import numbered
 from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
 from raresift.schema import require_columns
+from raresift.session import materialise
 
 
-def label_table(df: DataFrame, label: str) -> DataFrame:
-    """``label, code``: sorted distinct labels numbered from zero."""
+def _distinct_labels(df: DataFrame, label: str) -> DataFrame:
     require_columns(df, [label])
-    distinct = df.select(F.col(label).cast("string").alias("label")).filter("label IS NOT NULL").distinct()
-    return numbered(distinct, "label", "code").withColumn("code", F.col("code").cast("int"))
+    return df.select(F.col(label).cast("string").alias("label")).filter("label IS NOT NULL").distinct()
+
+
+def label_table(df: DataFrame, label: str) -> DataFrame:
+    """``label, code``: sorted distinct labels numbered from zero, however many there are."""
+    numbers = numbered(materialise(_distinct_labels(df, label)), "label", "code")
+    return numbers.withColumn("code", F.col("code").cast("int"))
 
 
 @dataclass(frozen=True)
@@ -48,22 +53,21 @@ class LabelCodes:
 
 def fit_labels(df: DataFrame, label: str) -> LabelCodes:
     """Labels of a class column. A column with more values than a lookup holds is not a class column."""
-    rows = bounded_rows(label_table(df, label), LOOKUP_ROWS)
+    rows = bounded_rows(_distinct_labels(df, label), LOOKUP_ROWS)
     if rows is None:
         raise ValueError(f"{label!r} has more than {LOOKUP_ROWS} values; use factorize for such columns")
-    return LabelCodes(tuple(row.label for row in sorted(rows, key=lambda row: row.code)))
+    return LabelCodes(tuple(sorted(row.label for row in rows)))
 
 
 def factorize(df: DataFrame, column: str, position: str, code: str = "code") -> DataFrame:
     """Add codes numbered by first appearance along ``position``; missing values get -1."""
     require_columns(df, [column, position])
-    first = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("_value"))
-        .agg(F.min(position).alias("_first"))
+    # Copies of a value meet as one row per task before they are shuffled; the table is read again below.
+    first = materialise(
+        df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.min(position).alias("_first"))
     )
     codes = numbered(first, "_first", code).select("_value", F.col(code).cast("bigint").alias(code))
-    if bounded_rows(codes.select("_value"), LOOKUP_ROWS) is not None:
+    if first.count() <= LOOKUP_ROWS:
         codes = F.broadcast(codes)
     joined = df.join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
     return joined.withColumn(code, F.coalesce(F.col(code), F.lit(-1).cast("bigint")))

@@ -34,6 +34,7 @@ from raresift.plans.queries_tables import CLEANED, scratch, sql_scaled
 from raresift.plans.registry import query, round_all, sql_rounded, with_parts
 from raresift.plans.score import messages, score
 from raresift.plans.train import TrainConfig, Trained, load_contaminants, train
+from raresift.session import materialise_evenly
 from raresift.sources.bundle import load_bundle, save_bundle
 from raresift.streaming.score_stream import score_stream, stream_catalogue
 
@@ -197,7 +198,7 @@ def pca_recon(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dense_recon")
 def dense_recon(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scaled_vectors(spark, folder).select("id", *VECTOR_FEATURES)
+    rows = materialise_evenly(scaled_vectors(spark, folder).select("id", *VECTOR_FEATURES))
     scored = fit_dense(rows, VECTOR_FEATURES, epochs=20).score(rows)
     return scored.select("id", "filter_score", above(fit_threshold(scored)).alias("is_anomaly"))
 

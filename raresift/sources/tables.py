@@ -81,9 +81,18 @@ def count_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def write_verdicts(df: DataFrame, path: str, fmt: str = "parquet", shards: int | None = None) -> None:
-    """Write verdict rows; with ``shards`` into that many folders. No header row ever ends up in the data."""
-    writer = (shard_of(df, "id", shards) if shards else df).write.mode("overwrite").format(fmt)
+def write_verdicts(
+    df: DataFrame, path: str, fmt: str = "parquet", shards: int | None = None, compact: bool = True
+) -> None:
+    """Write verdict rows; with ``shards`` into that many folders. No header row ever ends up in the data.
+
+    Verdict rows are far smaller than what they are made from, so one file per task would be a heap of small
+    files. ``compact`` rebalances the rows into files of the advisory partition size, splitting large shards.
+    """
+    rows = shard_of(df, "id", shards) if shards else df
+    if compact:
+        rows = rows.hint("rebalance", "shard") if shards else rows.hint("rebalance")
+    writer = rows.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     if shards:
