@@ -99,7 +99,9 @@ def _fit(estimator, df: DataFrame, code: str, features: Sequence[str], weighted:
     estimator = estimator.copy({estimator.getParam("featuresCol"): VECTOR, estimator.getParam("labelCol"): "_label"})
     if weighted:
         estimator = estimator.copy({estimator.getParam("weightCol"): "_weight"})
-    return CodedModel(estimator.fit(table), codes)
+    # The copy leaves the training summary behind. It holds the session, and a model that carries it cannot be
+    # sent to executors once the session has observed a query.
+    return CodedModel(estimator.fit(table).copy(), codes)
 
 
 def forest(trees: int, depth: int, seed: int = SEED) -> RandomForestClassifier:
