@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.functions.values import position_of_max
+from raresift.functions.values import mean_squared_error, position_of_max
 from raresift.operators.cascade import route, verdicts
 from raresift.operators.cleaning import clean_features
 from raresift.operators.curation import exclude_known
@@ -63,11 +63,34 @@ def sql_reconstruction(source: str, result: str) -> str:
     return f"{result}_codes AS (SELECT *, {codes} FROM {source}), {result} AS (SELECT *, {error} AS filter_score FROM {result}_codes)"
 
 
+def sql_rebuilt(place: int) -> str:
+    return " + ".join(f"code_{j} * {_double(direction[place])}" for j, direction in enumerate(GIVEN.components))
+
+
 @query("recon_score", with_parts([SQL_SCALED_LINES, sql_reconstruction("scaled", "errors")], f"SELECT id, {sql_rounded('filter_score')} AS filter_score FROM errors"))
 def recon_score(spark: SparkSession, folder: str) -> DataFrame:
     return round_all(GIVEN.score(scaled_lines(spark, folder)).select("id", "filter_score"), ["filter_score"])
 
 
+@query(
+    "row_error",
+    with_parts(
+        [SQL_SCALED_LINES, sql_reconstruction("scaled", "errors")],
+        "SELECT id, "
+        + sql_rounded(
+            "("
+            + " + ".join(f"power({name} - ({_double(GIVEN.mean[i])} + {sql_rebuilt(i)}), 2)" for i, name in enumerate(LINE_FEATURES))
+            + f") / {_double(len(LINE_FEATURES))}"
+        )
+        + " AS error FROM errors",
+    ),
+)
+def row_error(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean squared difference between each row and its rebuilt form, spelled out."""
+    error = mean_squared_error([F.col(name) for name in LINE_FEATURES], GIVEN.rebuilt())
+    return round_all(scaled_lines(spark, folder).select("id", error.alias("error")), ["error"])
+
+
 @query(
     "percentile_threshold",
     with_parts([SQL_SCALED_LINES, sql_reconstruction("scaled", "errors")], f"SELECT {sql_rounded('quantile_cont(filter_score, 0.95)')} AS threshold FROM errors"),
