@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from raresift.functions.keyed import draw_key
 from raresift.operators.ordering import exact_percentile
 from raresift.operators.sampling import cap_rows
-from raresift.session import materialise
+from raresift.session import materialise, ship_package
 
 EULER_GAMMA = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, cut double, length double"
@@ -61,16 +61,16 @@ class IsolationFilter:
 
     def score(self, df: DataFrame, output: str = "filter_score") -> DataFrame:
         """Add the decision score: negative for strange rows, lower is stranger."""
+        ship_package(df.sparkSession)
         lengths = self._lengths()
         offset, scale = self.offset, average_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
-        def decision(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for columns in batches:
-                x = np.column_stack([column.to_numpy(dtype=float) for column in columns])
-                yield pd.Series(-np.power(2.0, -lengths(x) / scale) - offset)
+        def decision(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for batch in batches:
+                yield pd.Series(-np.power(2.0, -lengths(batch.to_numpy(dtype=float)) / scale) - offset)
 
-        return df.withColumn(output, decision(*[F.col(name) for name in self.features]))
+        return df.withColumn(output, decision(F.struct(*self.features)))
 
     def _lengths(self):
         """Function from a matrix to the mean path length per row.
@@ -165,6 +165,7 @@ def fit_isolation(
     seed: int = 42,
 ) -> IsolationFilter:
     """Grow the trees in parallel and set the offset so that ``contamination`` of the training rows are strange."""
+    ship_package(df.sparkSession)
     names = list(features)
     depth = max(1, math.ceil(math.log2(sample)))
     chosen, used = tree_samples(df, names, id_col, trees, sample, seed)
@@ -178,8 +179,10 @@ def fit_isolation(
         found.insert(0, "tree", tree)
         return found
 
+    # The sample is small, and merged into one task it would be grown by one core: the number of tasks is given.
+    cores = min(trees, df.sparkSession.sparkContext.defaultParallelism)
     # At most 2 * sample nodes per tree.
-    nodes = chosen.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
+    nodes = chosen.repartition(cores, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
     grown = IsolationFilter(tuple(names), used, depth, 0.0, tuple(tuple(row) for row in sorted(nodes)))
     # Frozen, so that the trees run once and not for every pass of the percentile.
     scores = materialise(grown.score(df.select(*names), "_score").select("_score"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from raresift.constants import ANOMALY_PERCENTILE
 from raresift.functions.values import total
 from raresift.operators.ordering import exact_percentile
+from raresift.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -121,16 +122,17 @@ class DenseReconstruction:
     weights: tuple[float, ...]
 
     def score(self, df: DataFrame, output: str = "filter_score") -> DataFrame:
+        ship_package(df.sparkSession)
         flat, width, inputs = np.array(self.weights), self.width, len(self.features)
 
         @F.pandas_udf("double")
-        def error(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        def error(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
             layers = _unpack(flat, inputs, width)
-            for columns in batches:
-                x = np.column_stack([column.to_numpy(dtype=float) for column in columns])
+            for batch in batches:
+                x = batch.to_numpy(dtype=float)
                 yield pd.Series(((x - _forward(layers, x)[-1]) ** 2).mean(axis=1))
 
-        return df.withColumn(output, error(*[F.col(name) for name in self.features]))
+        return df.withColumn(output, error(F.struct(*self.features)))
 
     def describe(self) -> dict:
         return {
@@ -155,6 +157,7 @@ def fit_dense(
     Every epoch each partition runs small-batch steps on its own rows from the shared weights; Spark then
     averages the weights, each partition counting by its rows. Only weights travel, never rows.
     """
+    ship_package(df.sparkSession)
     inputs = len(features)
     start = np.random.default_rng(seed)
     flat = np.concatenate(

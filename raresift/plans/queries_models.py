@@ -34,7 +34,7 @@ from raresift.plans.queries_tables import CLEANED, scratch, sql_scaled
 from raresift.plans.registry import query, round_all, sql_rounded, with_parts
 from raresift.plans.score import messages, score
 from raresift.plans.train import TrainConfig, Trained, load_contaminants, train
-from raresift.session import materialise_evenly
+from raresift.session import materialise, materialise_evenly
 from raresift.sources.bundle import load_bundle, save_bundle
 from raresift.streaming.score_stream import score_stream, stream_catalogue
 
@@ -183,7 +183,8 @@ def score_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     The models of the cascade are replaced by keyed draws, so that SQL can check every row.
     """
     catalogue = raw_catalogue(spark, folder)
-    training = clean_features(catalogue.filter("flag = 'R'"), LINE_FEATURES)
+    # Read by the scale and by every pass of the percentile, so the coercion is paid once.
+    training = materialise(clean_features(catalogue.filter("flag = 'R'"), LINE_FEATURES).select(*LINE_FEATURES))
     scaler = fit_minmax(training, LINE_FEATURES)
     threshold = fit_threshold(GIVEN.score(scaler.transform(training)))
     source = lines(spark, folder)

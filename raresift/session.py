@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,6 +28,22 @@ def local_session(app: str = "raresift", cores: int | str = 8, memory: str = "16
     return session
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Scorers that run in Python workers need it there, wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="raresift-package-"), "raresift")
+        context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+        _SHIPPED.add(context.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the session names, else a scratch one in local mode only."""
     context = spark.sparkContext

@@ -21,9 +21,7 @@ def database(folder: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        if math.isnan(value):
-            return "nan"
-        return repr(round(value, 9))
+        return "nan" if math.isnan(value) else repr(value)  # exact, and -0.0 is not 0.0
     if isinstance(value, bool) or value is None:
         return repr(value)
     if isinstance(value, int):

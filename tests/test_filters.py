@@ -156,3 +156,24 @@ def test_empty_tables_raise(normal):
         fit_dense(nothing, FEATURES, epochs=1)
     assert fit_threshold(LinearReconstruction(("a",), (0.0,), ((1.0,),)).score(nothing)) is None
     assert isinstance(isolation_from({"features": ["a"], "sample": 1, "depth": 1, "offset": 0.0, "nodes": []}), IsolationFilter)
+
+
+def test_python_scorers_run_from_any_folder(tmp_path):
+    """The workers get the package from the driver, not from the folder it was started in."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import functions as F\n"
+        "from raresift.session import local_session\n"
+        "from raresift.operators.isolation import fit_isolation\n"
+        "spark = local_session('elsewhere', 2, '2g')\n"
+        "rows = spark.range(300).select(F.col('id').cast('string').alias('id'), F.rand(1).alias('a'))\n"
+        "print('rows', fit_isolation(rows, ['a'], 'id', trees=3, sample=32).score(rows).count())\n"
+    )
+    environment = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "rows 300" in done.stdout, done.stderr[-2000:]
