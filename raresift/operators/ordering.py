@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,6 +21,8 @@ TASK_ROWS = 200_000
 # Hex digits refined per pass over the data: 16 ** 4 counters per group.
 DIGITS_PER_PASS = 4
 KEY_DIGITS = 32
+# A bucket of keys is hot when it holds this many times the rows it should.
+HOT_FACTOR = 8
 # Quantile sketches are off by at most one part in SKETCH_ACCURACY; brackets leave ten times that on each side.
 SKETCH_ACCURACY = 10_000
 MARGIN = 1e-3
@@ -32,22 +35,37 @@ def digits_for(rows: int, rows_per_bucket: int = TASK_ROWS) -> int:
     return min(KEY_DIGITS, math.ceil(math.log(rows / rows_per_bucket, 16)))
 
 
+@dataclass(frozen=True)
+class Cutoff:
+    """Where a sample ends: ``key <= cutoff.key`` keeps it, but for the surplus copies of that very key."""
+
+    key: str
+    wanted: int = 0  # rows to take among those that have exactly this key
+    copies: int = 0  # rows that have exactly this key
+
+    @property
+    def divided(self) -> bool:
+        return self.wanted < self.copies
+
+
+NOTHING, EVERYTHING = Cutoff(""), Cutoff("~")
+
+
 def smallest_key_cutoffs(
     df: DataFrame, group: str, key: str, quotas: Mapping[object, int], counts: Mapping[object, int]
-) -> dict[object, str]:
+) -> dict[object, Cutoff]:
     """Per group the largest key among its ``quota`` smallest ones.
 
-    ``key`` holds hex digests. ``df.filter(key <= cutoff)`` then keeps exactly the quota of every group when
-    keys are unique; copies of one key are never separated. Groups with quota 0 get ``''`` (keeps none) and
-    groups that are taken whole get ``'~'`` (keeps all).
+    ``key`` holds hex digests. Keys are counted by their leading digits; the bucket in which the quota ends is
+    looked at again with more digits, until it is small or holds copies of a single key.
     """
-    cutoffs: dict[object, str] = {}
+    cutoffs: dict[object, Cutoff] = {}
     state: dict[object, tuple[str, int, int]] = {}
     for name, quota in quotas.items():
         if quota <= 0:
-            cutoffs[name] = ""
+            cutoffs[name] = NOTHING
         elif quota >= counts[name]:
-            cutoffs[name] = "~"
+            cutoffs[name] = EVERYTHING
         else:
             state[name] = ("", quota, counts[name])
 
@@ -56,10 +74,12 @@ def smallest_key_cutoffs(
     while state:
         largest = max(left for _, _, left in state.values())
         step = min(digits_for(largest), DIGITS_PER_PASS, KEY_DIGITS - depth)
-        last = step == 0
-        span = KEY_DIGITS if last else depth + step
+        span = depth + step if step else KEY_DIGITS
         within = _inside(rows, state, depth)
-        counted = within.groupBy("g", F.substring("k", 1, span).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        # Digests of equal keys are equal, so one least and largest digest means one key.
+        counted = within.groupBy("g", F.substring("k", 1, span).alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k")).alias("least"), F.max(F.xxhash64("k")).alias("most")
+        )
         running = F.sum("n").over(Window.partitionBy("g").orderBy("p"))
         wanted = small_table(
             df.sparkSession,
@@ -70,16 +90,19 @@ def smallest_key_cutoffs(
             counted.withColumn("upto", running)
             .join(F.broadcast(wanted), "g")
             .filter((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-            .select("g", "p", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "n")
+            .select("g", "p", (F.col("need") - F.col("upto") + F.col("n")).alias("need"), "n", (F.col("least") == F.col("most")).alias("single"))
             .collect()
         )
         following: dict[object, tuple[str, int, int]] = {}
         for row in edge:
-            if last or span == KEY_DIGITS:
-                cutoffs[row.g] = row.p
+            if span == KEY_DIGITS:
+                cutoffs[row.g] = Cutoff(row.p, row.need, row.n)
             elif row.need == row.n:
                 # The quota ends with this bucket: every key that starts like it belongs to the sample.
-                cutoffs[row.g] = row.p + "~"
+                cutoffs[row.g] = Cutoff(row.p + "~")
+            elif row.single:
+                key_found = _inside(rows, {row.g: (row.p, row.need, row.n)}, span).select("k").first().k
+                cutoffs[row.g] = Cutoff(key_found, row.need, row.n)
             else:
                 following[row.g] = (row.p, row.need, row.n)
         state = following
@@ -87,6 +110,59 @@ def smallest_key_cutoffs(
     return cutoffs
 
 
+def mark_smallest(
+    df: DataFrame, group: str, key: str, quotas: Mapping[object, int], counts: Mapping[object, int], flag: str
+) -> DataFrame:
+    """Add a flag that is true for exactly ``quota`` rows of each group, those of the smallest keys.
+
+    Rows only compare their key with the cutoff of their group. When a quota ends inside the copies of one
+    key, those copies are told apart by their content, and rows that are equal throughout are counted out.
+    """
+    columns = df.columns
+    cutoffs = smallest_key_cutoffs(df, group, key, quotas, counts)
+    marked = _against(df, group, key, cutoffs, flag)
+    divided = {name: cutoff for name, cutoff in cutoffs.items() if cutoff.divided}
+    if not divided:
+        return marked.select(*columns, flag)
+
+    tied = marked.filter(F.col("_tied")).select(*columns).withColumn("_content", F.md5(F.to_json(F.struct(*columns)).cast("binary")))
+    inner = smallest_key_cutoffs(
+        tied,
+        group,
+        "_content",
+        {name: cutoff.wanted for name, cutoff in divided.items()},
+        {name: cutoff.copies for name, cutoff in divided.items()},
+    )
+    settled = _against(tied, group, "_content", inner, flag)
+    result = marked.filter(~F.col("_tied")).select(*columns, flag)
+    result = result.unionByName(settled.filter(~F.col("_tied")).select(*columns, flag))
+    for name, cutoff in inner.items():
+        if cutoff.divided:
+            # Equal rows: one of them, repeated by a distributed range, of which the first ones are marked.
+            one = settled.filter(F.col("_tied") & (F.col(group) == F.lit(name))).select(*columns).limit(1).withColumn("_same", F.lit(1))
+            copies = df.sparkSession.range(cutoff.copies).select(F.lit(1).alias("_same"), (F.col("id") < cutoff.wanted).alias(flag))
+            result = result.unionByName(copies.join(F.broadcast(one), "_same").select(*columns, flag))
+    return result
+
+
+def _against(df: DataFrame, group: str, key: str, cutoffs: Mapping[object, Cutoff], flag: str) -> DataFrame:
+    """Compare keys with the cutoffs; ``_tied`` marks the rows a divided cutoff leaves open."""
+    table = small_table(
+        df.sparkSession,
+        {
+            "_group": list(cutoffs),
+            "_cutoff": [cutoff.key for cutoff in cutoffs.values()],
+            "_divided": [cutoff.divided for cutoff in cutoffs.values()],
+        },
+        {"_group": _arrow_type(list(cutoffs)), "_cutoff": pa.string(), "_divided": pa.bool_()},
+    )
+    # One row per class; the callers have checked their number.
+    joined = df.join(F.broadcast(table), F.col(group) == F.col("_group"), "left")
+    tied = F.coalesce(F.col("_divided") & (F.col(key) == F.col("_cutoff")), F.lit(False))
+    below = F.coalesce(F.col(key) <= F.col("_cutoff"), F.lit(False))
+    return joined.withColumns({flag: below, "_tied": tied}).drop("_group", "_cutoff", "_divided")
+
+
 def _inside(rows: DataFrame, state: Mapping[object, tuple[str, int, int]], depth: int) -> DataFrame:
     """Rows of the groups still open whose key starts like the group's edge bucket."""
     prefix = F.substring("k", 1, depth) if depth else F.lit("")
@@ -113,6 +189,13 @@ def ranked_by_key(df: DataFrame, group: str, key: str, rank: str, largest_group:
         order = Window.partitionBy(group).orderBy(key)
         return df.withColumn(rank, (F.row_number().over(order) - 1).cast("bigint"))
     keyed = df.withColumn("_bucket", F.substring(key, 1, digits))
+    sizes = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.filter(F.col("n") > HOT_FACTOR * TASK_ROWS).agg(F.collect_set("_bucket").alias("b"), F.max("n").alias("n")).first()
+    if hot.b:
+        # Many rows under one key: such a bucket is cut further by the content of its rows.
+        content = F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))
+        finer = F.concat("_bucket", F.substring(content, 1, max(1, digits_for(hot.n))))
+        keyed = keyed.withColumn("_bucket", F.when(F.col("_bucket").isin(hot.b), finer).otherwise(F.col("_bucket")))
     counted = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_n")
     offsets = counted.select(group, "_bucket", before.alias("_before"))

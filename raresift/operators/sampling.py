@@ -25,7 +25,7 @@ from raresift.constants import (
     TEST_SHARE,
 )
 from raresift.functions.keyed import draw_key, key_number, standard_normal, uniform
-from raresift.operators.ordering import ranked_by_key, smallest_key_cutoffs
+from raresift.operators.ordering import mark_smallest, ranked_by_key
 from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
 from raresift.schema import require_columns
 
@@ -48,18 +48,6 @@ def allocate(counts: Mapping, wanted: int) -> dict:
     return given
 
 
-def _with_cutoff(df: DataFrame, group: str, cutoffs: Mapping) -> DataFrame:
-    names = list(cutoffs)
-    kind = pa.string() if any(isinstance(name, str) for name in names) else pa.int64()
-    table = small_table(
-        df.sparkSession,
-        {"_group": names, "_cutoff": list(cutoffs.values())},
-        {"_group": kind, "_cutoff": pa.string()},
-    )
-    # One row per class; group_counts has checked their number.
-    return df.join(F.broadcast(table), F.col(group) == F.col("_group"), "left").drop("_group")
-
-
 def stratified_split(
     df: DataFrame, label: str, id_col: str, share: float = TEST_SHARE, seed: int = SEED, flag: str = "is_test"
 ) -> DataFrame:
@@ -74,9 +62,7 @@ def stratified_split(
     if small:
         raise ValueError(f"classes with fewer than two rows cannot be split: {', '.join(sorted(small))}")
     quotas = allocate(counts, ceil(round(share * sum(counts.values()), 9)))
-    cutoffs = smallest_key_cutoffs(keyed, label, "_key", quotas, counts)
-    marked = _with_cutoff(keyed, label, cutoffs)
-    return marked.withColumn(flag, F.coalesce(F.col("_key") <= F.col("_cutoff"), F.lit(False))).drop("_key", "_cutoff")
+    return mark_smallest(keyed, label, "_key", quotas, counts, flag).drop("_key")
 
 
 def split_rows(df: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFrame]:
@@ -95,8 +81,8 @@ def cap_rows(df: DataFrame, id_col: str, rows: int = CONTAMINANT_CAP, seed: int
     if total <= rows:
         return df
     keyed = df.withColumn("_all", F.lit(0).cast("bigint")).withColumn("_key", draw_key(seed, F.col(id_col)))
-    cutoff = smallest_key_cutoffs(keyed, "_all", "_key", {0: rows}, {0: total})[0]
-    return keyed.filter(F.col("_key") <= F.lit(cutoff)).drop("_key", "_all")
+    marked = mark_smallest(keyed, "_all", "_key", {0: rows}, {0: total}, "_taken")
+    return marked.filter("_taken").drop("_key", "_all", "_taken")
 
 
 def specialist_quotas(
@@ -123,10 +109,9 @@ def specialist_sample(
     sided = df.withColumn("_side", F.col(code).isin(*rare).cast("bigint")).withColumn("_key", draw_key(seed, F.col(id_col)))
     counts = {0: 0, 1: 0, **group_counts(sided, "_side")}
     rare_rows, common_rows = specialist_quotas(counts[1], counts[0], total, min_common)
-    cutoffs = smallest_key_cutoffs(sided, "_side", "_key", {1: rare_rows, 0: common_rows}, counts)
+    marked = mark_smallest(sided, "_side", "_key", {1: rare_rows, 0: common_rows}, counts, "_taken")
     relabelled = F.when(F.col("_side") == 1, F.lit(MERGED_RARE_CODE)).otherwise(F.lit(FALSE_ALARM_CODE))
-    inside = F.col("_key") <= F.when(F.col("_side") == 1, F.lit(cutoffs[1])).otherwise(F.lit(cutoffs[0]))
-    return sided.filter(inside).withColumn(target, relabelled).drop("_side", "_key")
+    return marked.filter("_taken").withColumn(target, relabelled).drop("_side", "_key", "_taken")
 
 
 def population_spread(df: DataFrame, features: Sequence[str]) -> dict[str, float]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from raresift.operators import ordering
-from raresift.operators.ordering import exact_percentile, numbered, ranked_by_key, smallest_key_cutoffs
+from raresift.operators.ordering import exact_percentile, mark_smallest, numbered, ranked_by_key, smallest_key_cutoffs
 
 
 @pytest.fixture(scope="module")
@@ -31,13 +32,38 @@ def test_cutoffs_keep_the_quota(monkeypatch, keyed, task_rows, quotas):
     everything = keyed.collect()
     for group, quota in quotas.items():
         keys = sorted(row.k for row in everything if row.g == group)
-        assert [key for key in keys if key <= cutoffs[group]] == keys[:quota]
+        assert [key for key in keys if key <= cutoffs[group].key] == keys[:quota]
 
 
-def test_copies_of_a_key_stay_together(spark):
-    rows = spark.createDataFrame([("g", hashlib.md5(str(i // 3).encode()).hexdigest()) for i in range(300)], "g string, k string")
-    cutoff = smallest_key_cutoffs(rows, "g", "k", {"g": 100}, {"g": 300})["g"]
-    assert rows.filter(F.col("k") <= cutoff).count() == 102
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Nine tenths of a group share one key: half of those differ in content, half are equal throughout."""
+    hot = hashlib.md5(b"hot").hexdigest()
+    rows = [("g", hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(200)]
+    rows += [("g", hot, i) for i in range(900)] + [("g", hot, -1)] * 900 + [("h", hot, 5)] * 50
+    return spark.createDataFrame(rows, "g string, k string, v int").repartition(5).cache()
+
+
+@pytest.mark.parametrize("task_rows", [200_000, 20])
+@pytest.mark.parametrize("quota", [1, 150, 700, 1300, 1999])
+def test_quotas_are_exact_among_copies(monkeypatch, repeated, task_rows, quota):
+    monkeypatch.setattr(ordering.digits_for, "__defaults__", (task_rows,))
+    marked = mark_smallest(repeated, "g", "k", {"g": quota, "h": 20}, {"g": 2000, "h": 50}, "taken")
+    assert marked.columns == ["g", "k", "v", "taken"]
+    rows = marked.collect()
+    assert sum(row.taken for row in rows if row.g == "g") == quota
+    assert sum(row.taken for row in rows if row.g == "h") == 20
+    assert Counter((row.g, row.k, row.v) for row in rows) == Counter(map(tuple, repeated.collect()))
+    keys = sorted(row.k for row in repeated.collect() if row.g == "g")
+    assert sorted(row.k for row in rows if row.taken and row.g == "g") == keys[:quota]
+
+
+def test_rank_with_a_hot_key(monkeypatch, repeated):
+    monkeypatch.setattr(ordering.digits_for, "__defaults__", (50,))
+    monkeypatch.setattr(ordering, "TASK_ROWS", 50)
+    ranked = ranked_by_key(repeated, "g", "k", "place", 2000)
+    assert sorted(row.place for row in ranked.filter("g = 'g'").collect()) == list(range(2000))
+    assert ranked.filter("g = 'g'").select("k", "v").exceptAll(repeated.filter("g = 'g'").select("k", "v")).count() == 0
 
 
 @pytest.mark.parametrize("task_rows", [200_000, 50])
