@@ -24,21 +24,16 @@ def missing_counts(df: DataFrame, columns: Sequence[str], only_missing: bool = T
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(_missing(df, name)).alias(f"_m{place}") for place, name in enumerate(columns)],
     )
-    long = counted.select(
-        "_rows",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(place).alias("place"),
-                        F.lit(name).alias("column"),
-                        F.col(f"_m{place}").alias("missing"),
-                    )
-                    for place, name in enumerate(columns)
-                ]
-            )
-        ),
-    )
+    return _long_counts(counted, columns, only_missing)
+
+
+def _long_counts(counted: DataFrame, columns: Sequence[str], only_missing: bool) -> DataFrame:
+    """Counters ``_rows, _m0, _m1, ...`` of one row as a row per column."""
+    entries = [
+        F.struct(F.lit(place).alias("place"), F.lit(name).alias("column"), F.col(f"_m{place}").alias("missing"))
+        for place, name in enumerate(columns)
+    ]
+    long = counted.select("_rows", F.inline(F.array(*entries)))
     if only_missing:
         long = long.filter(F.col("missing") > 0)
     return long.orderBy(F.desc("missing"), "place").select(
@@ -50,7 +45,11 @@ def row_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows before, kept and dropped when incomplete rows go."""
     require_columns(df, columns)
     whole = all_of(~_missing(df, name) for name in columns)
-    return df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(whole).alias("rows_kept")).select(
+    return _kept_and_dropped(df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(whole).alias("rows_kept")))
+
+
+def _kept_and_dropped(counted: DataFrame) -> DataFrame:
+    return counted.select(
         "rows_before",
         "rows_kept",
         (F.col("rows_before") - F.col("rows_kept")).alias("rows_dropped"),
@@ -65,15 +64,36 @@ def missing_patterns(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return flags.groupBy(*features).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def counts_from_patterns(patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``missing_counts`` out of a pattern table."""
+    counted = patterns.agg(
+        F.sum("rows").alias("_rows"),
+        *[F.sum(F.when(F.col(name), F.col("rows")).otherwise(0)).alias(f"_m{place}") for place, name in enumerate(columns)],
+    )
+    return _long_counts(counted, columns, only_missing=True)
+
+
+def rows_from_patterns(patterns: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``row_counts`` out of a pattern table."""
+    whole = all_of(~F.col(name) for name in columns)
+    kept = F.coalesce(F.sum(F.when(whole, F.col("rows"))), F.lit(0).cast("bigint"))
+    return _kept_and_dropped(patterns.agg(F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("rows_before"), kept.alias("rows_kept")))
+
+
 def missing_inclusion(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Is the missing set of each column inside that of the column that misses most?
 
     ``major, minor, minor_missing, mismatch, is_subset``, largest minor first. The data is read once, into
     the pattern table, which is small and frozen; both passes run on that.
     """
-    patterns = materialise(missing_patterns(df, features))
+    return inclusion_from_patterns(materialise(missing_patterns(df, features)), features)
+
+
+def inclusion_from_patterns(patterns: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``missing_inclusion`` out of a frozen pattern table."""
     sums = patterns.agg(*[F.sum(F.when(F.col(name), F.col("rows"))).alias(name) for name in features]).first()
-    ranked = sorted((name for name in features if sums[name]), key=lambda name: (-sums[name], features.index(name)))
+    order = {name: place for place, name in enumerate(features)}
+    ranked = sorted((name for name in features if sums[name]), key=lambda name: (-sums[name], order[name]))
     major = ranked[0] if ranked else features[0]
     minors = ranked[1:]
     if not minors:
@@ -127,13 +147,16 @@ def top_labels(df: DataFrame, label: str | None = None, limit: int = TOP_LABELS)
 
 
 def contaminant_report(df: DataFrame, features: Sequence[str], label: str | None = None) -> dict[str, DataFrame]:
-    """Missing counts, inclusion, row counts and kinds of a contaminant table, each as a table of its own."""
-    require_columns(df, features)
+    """Missing counts, inclusion, row counts and kinds of a contaminant table, each as a table of its own.
+
+    The first three come from one pattern table, so the data is read once for them and once for the kinds.
+    """
+    patterns = materialise(missing_patterns(df, features))
     complete = df.na.drop("any", subset=list(features))
     report = {
-        "missing": missing_counts(df, features),
-        "inclusion": missing_inclusion(df, features),
-        "rows": row_counts(df, features),
+        "missing": counts_from_patterns(patterns, features),
+        "inclusion": inclusion_from_patterns(patterns, features),
+        "rows": rows_from_patterns(patterns, features),
     }
     if label is not None:
         if label in df.columns:

@@ -26,7 +26,13 @@ from raresift.operators.encoding import LabelCodes, fit_labels, merged_code
 from raresift.operators.isolation import fit_isolation, strange
 from raresift.operators.metrics import best_threshold, choose_filter, classification_report, filter_rates, threshold_sweep
 from raresift.operators.models import Cascade, CascadeConfig, train_cascade
-from raresift.operators.profiling import class_distribution, missing_counts, missing_inclusion, row_counts
+from raresift.operators.profiling import (
+    class_distribution,
+    counts_from_patterns,
+    inclusion_from_patterns,
+    missing_patterns,
+    rows_from_patterns,
+)
 from raresift.operators.reconstruction import above, fit_dense, fit_linear, fit_threshold
 from raresift.operators.sampling import cap_rows, split_rows, stratified_split, uniform_noise
 from raresift.operators.scaling import MinMax, fit_minmax
@@ -65,10 +71,11 @@ def prepare_training(
     table = normalise_missing(coerce_features(raw, features), features)
     rows = clean_features(raw, features, also=[label])
     labels = fit_labels(rows, label)
+    patterns = materialise(missing_patterns(table, [*features, label]))
     profile = {
-        "missing": missing_counts(table, [*features, label]),
-        "inclusion": missing_inclusion(table, features),
-        "rows": row_counts(table, [*features, label]),
+        "missing": counts_from_patterns(patterns, [*features, label]),
+        "inclusion": inclusion_from_patterns(patterns, features),
+        "rows": rows_from_patterns(patterns, [*features, label]),
         "classes": class_distribution(rows, label),
     }
     return Prepared(labels.encode(rows, label, "code"), labels, profile)

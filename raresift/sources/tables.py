@@ -12,6 +12,7 @@ from raresift.functions.values import label_or_null
 from raresift.operators.curation import deletion_counts, delete_rows
 from raresift.operators.sampling import shard_of
 from raresift.schema import VERDICT_SCHEMA, require_columns
+from raresift.session import spread
 
 
 def _format_of(path: str, given: str | None) -> str:
@@ -42,9 +43,12 @@ def read_catalogue(
     label: str | None = None,
     fmt: str | None = None,
 ) -> DataFrame:
-    """Id as text, the label when asked for, and the features; nothing else is read from the files."""
+    """Id as text, the label when asked for, and the features; nothing else is read from the files.
+
+    A scan of few splits is dealt out over the cores.
+    """
     wanted = [id_col, *([label] if label else []), *features]
-    table = require_columns(read_table(spark, path, fmt), wanted).select(*wanted)
+    table = spread(require_columns(read_table(spark, path, fmt), wanted).select(*wanted), id_col)
     table = table.withColumn(id_col, F.col(id_col).cast("string"))
     return table.withColumn(label, label_or_null(F.col(label).cast("string"))) if label else table
 
