@@ -48,10 +48,6 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda left, right: left & right, conditions, F.lit(True))
 
 
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda left, right: left | right, conditions, F.lit(False))
-
-
 def total(terms: Iterable[Column]) -> Column:
     """Left-to-right sum."""
     return reduce(lambda left, right: left + right, terms)

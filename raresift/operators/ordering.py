@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
+from raresift.operators.sizing import LOOKUP_ROWS, small_table
 from raresift.session import materialise
 
 # Rows that may be ranked by one task.
@@ -189,17 +189,17 @@ def ranked_by_key(df: DataFrame, group: str, key: str, rank: str, largest_group:
         order = Window.partitionBy(group).orderBy(key)
         return df.withColumn(rank, (F.row_number().over(order) - 1).cast("bigint"))
     keyed = df.withColumn("_bucket", F.substring(key, 1, digits))
-    sizes = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > HOT_FACTOR * TASK_ROWS).agg(F.collect_set("_bucket").alias("b"), F.max("n").alias("n")).first()
+    counted = _bucket_sizes(keyed, group)
+    hot = counted.filter(F.col("_n") > HOT_FACTOR * TASK_ROWS).agg(F.collect_set("_bucket").alias("b"), F.max("_n").alias("n")).first()
     if hot.b:
         # Many rows under one key: such a bucket is cut further by the content of its rows.
         content = F.md5(F.to_json(F.struct(*df.columns)).cast("binary"))
         finer = F.concat("_bucket", F.substring(content, 1, max(1, digits_for(hot.n))))
         keyed = keyed.withColumn("_bucket", F.when(F.col("_bucket").isin(hot.b), finer).otherwise(F.col("_bucket")))
-    counted = keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+        counted = _bucket_sizes(keyed, group)
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_n")
     offsets = counted.select(group, "_bucket", before.alias("_before"))
-    if bounded_rows(offsets.select(group), LOOKUP_ROWS) is not None:
+    if counted.count() <= LOOKUP_ROWS:
         offsets = F.broadcast(offsets)
     order = Window.partitionBy(group, "_bucket").orderBy(key)
     return (
@@ -209,6 +209,11 @@ def ranked_by_key(df: DataFrame, group: str, key: str, rank: str, largest_group:
     )
 
 
+def _bucket_sizes(keyed: DataFrame, group: str) -> DataFrame:
+    """Rows per bucket, frozen: they are looked at for hot buckets and then used for the offsets."""
+    return materialise(keyed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def numbered(df: DataFrame, order: str, number: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Zero-based position of every row of a table of distinct ``order`` values.
 
