@@ -173,12 +173,11 @@ def fit_dense(
             .select("rows", F.posexplode("weights").alias("place", "weight"))
             .groupBy("place")
             .agg((F.sum(F.col("weight") * F.col("rows")) / F.sum("rows")).alias("weight"))
-            .orderBy("place")
             .collect()  # one number per weight of the network
         )
         if not averaged:
             raise ValueError("cannot train on an empty table")
-        flat = np.array([row.weight for row in averaged])
+        flat = np.array([row.weight for row in sorted(averaged, key=lambda row: row.place)])
     return DenseReconstruction(tuple(features), width, tuple(float(weight) for weight in flat))
 
 
