@@ -6,9 +6,10 @@ import pytest
 from comparing import database, differences
 
 import __spark_entry__ as registered
+from raresift.plans.registry import QUERIES as CORE
 
-ORACLE = registered.oracle_sql()
-QUERIES = registered.queries()
+QUERIES = {name: query.run for name, query in CORE.items()}
+ORACLE = {name: query.sql for name, query in CORE.items() if query.sql is not None}
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
 
 
@@ -36,4 +37,5 @@ def test_entry(spark):
 
 
 def test_registry_is_consistent():
-    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(registered.queries())
+    assert set(registered.oracle_sql()) <= set(registered.queries())
