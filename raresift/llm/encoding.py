@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST_WORDS = 600_000
+MOST_WORDS = 900_000
 LONGEST_KEPT = 48
+#: Bytes of unknown words that are encoded in one call.
+CALL_BYTES = 1_000_000
 _LOADED: dict[str, object] = {}
 _CACHES: dict[str, dict[bytes, bytes]] = {}
 
@@ -28,29 +30,57 @@ def load(path: str):
     return _LOADED[path]
 
 
-def word_encoder(path: str) -> Callable[[], Callable[[bytes], bytes]]:
-    """For a task: a function from UTF-8 text to packed ids (unsigned 32-bit, little-endian).
+def id_width(path: str) -> int:
+    """Bytes per id: two where every id fits."""
+    return 2 if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+
+
+def _encode_words(tokenizer, words: list[bytes], kind: str, cache: dict[bytes, bytes]) -> None:
+    """Add the packed ids of each word. Words are encoded as one text with spaces and told apart by offsets."""
+    at = 0
+    while at < len(words):
+        size, end = 0, at
+        while end < len(words) and size < CALL_BYTES:
+            size += len(words[end])
+            end += 1
+        part = [word.decode() for word in words[at:end]]
+        coded = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(coded.ids, kind)
+        starts = np.fromiter((start for start, _ in coded.offsets), np.int64, len(ids))
+        sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        edges = np.searchsorted(starts, np.append(np.cumsum(sizes) - sizes, sizes.sum())) * ids.itemsize
+        packed = ids.tobytes()
+        edges = edges.tolist()
+        for place, word in enumerate(words[at:end]):
+            cache[word] = packed[edges[place] : edges[place + 1]]
+        at = end
+
+
+def word_encoder(path: str) -> Callable[[], Callable[[list[bytes]], list[bytes]]]:
+    """For a task: a function from UTF-8 texts to packed ids (unsigned, little-endian, ``id_width`` bytes each).
 
     For tokenizers that drop white space. Texts are cut at ASCII white space, which such a tokenizer never joins over.
     """
 
-    def make() -> Callable[[bytes], bytes]:
+    def make() -> Callable[[list[bytes]], list[bytes]]:
         tokenizer = load(path)
+        kind = f"<u{id_width(path)}"
         cache = _CACHES.setdefault(path, {})
 
-        def encode(text: bytes) -> bytes:
-            words = text.split()
-            try:
-                return b"".join([cache[word] for word in words])
-            except KeyError:
-                pass
-            if len(cache) > MOST_WORDS:
+        def encode(texts: list[bytes]) -> list[bytes]:
+            split = [text.split() for text in texts]
+            known = set().union(*split)
+            fresh = [word for word in known if word not in cache]
+            if len(cache) + len(fresh) > MOST_WORDS:
                 cache.clear()
-            fresh = list({word for word in words if word not in cache})
-            coded = tokenizer.encode_batch([word.decode() for word in fresh], add_special_tokens=False)
-            packed = {word: np.array(code.ids, np.uint32).tobytes() for word, code in zip(fresh, coded, strict=True)}
-            cache.update((word, ids) for word, ids in packed.items() if len(word) <= LONGEST_KEPT)
-            return b"".join([packed[word] if word in packed else cache[word] for word in words])
+                fresh = list(known)
+            _encode_words(tokenizer, fresh, kind, cache)
+            find = cache.__getitem__
+            coded = [b"".join(map(find, words)) for words in split]
+            for word in fresh:
+                if len(word) > LONGEST_KEPT:
+                    del cache[word]
+            return coded
 
         return encode
 

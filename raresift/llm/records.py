@@ -4,7 +4,7 @@ A shard is a file of frames. One frame, all numbers little-endian::
 
     length      8 bytes   bytes of the payload
     check       4 bytes   masked CRC-32 of the length
-    payload               document id (8 bytes, signed), then one unsigned 32-bit number per token id
+    payload               document id (8 bytes, signed), bytes per token id (1 byte: 2 or 4), token ids (unsigned)
     check       4 bytes   masked CRC-32 of the payload
     line feed   1 byte    end mark, set by Spark's text sink
 
@@ -22,19 +22,21 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.llm.encoding import word_encoder
+from raresift.llm.encoding import id_width, word_encoder
 from raresift.llm.spread import running_sums
+from raresift.llm.text import slices
 from raresift.session import ensure_checkpoint_dir, ship_package
 
 _MASK_ADD = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
+_RECORD_HEAD = struct.Struct("<qB")
 END_MARK = b"\n"
 #: Bytes of text per shard, roughly; a shard is read by one task.
 SHARD_BYTES = 24_000_000
@@ -50,6 +52,11 @@ def frame(payload: bytes) -> bytes:
     return b"".join((length, _TAIL.pack(masked(length)), payload, _TAIL.pack(masked(payload))))
 
 
+def record(doc_id: int, width: int, ids: bytes) -> bytes:
+    """A payload."""
+    return _RECORD_HEAD.pack(doc_id, width) + ids
+
+
 def read_frames(content: memoryview) -> Iterator[tuple[int, memoryview]]:
     """Offset and payload of each frame; raises ValueError where a length or checksum does not fit."""
     at, size = 0, len(content)
@@ -76,7 +83,8 @@ def read_frames(content: memoryview) -> Iterator[tuple[int, memoryview]]:
 def write_records(
     docs: DataFrame,
     path: str,
-    make_encoder: Callable[[], Callable[[bytes], bytes]],
+    make_encoder: Callable[[], Callable[[list[bytes]], list[bytes]]],
+    width: int,
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -89,23 +97,18 @@ def write_records(
     if shards is None:
         total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
-    last = struct.pack("<I", end_id)
+    last = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
         for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1)
-            made: list[bytes] = []
-            size = 0
-            for place in range(len(ids)):
-                text = texts[place].as_py() or ""
-                made.append(frame(struct.pack("<q", ids[place].as_py()) + encode(text.encode()) + last))
-                size += len(made[-1])
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
-                    made, size = [], 0
-            if made:
+            place = 0
+            for part in slices(batch.column(1)):
+                ids = batch.column(0).slice(place, len(part)).to_pylist()
+                place += len(part)
+                content, edges = part.data.tobytes(), part.offsets.tolist()
+                coded = encode([content[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+                made = [frame(record(doc_id, width, x + last)) for doc_id, x in zip(ids, coded, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     ordered = chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -114,42 +117,52 @@ def write_records(
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """``shard, doc_id, offset, length, n_tokens, ids`` of every record; checks every checksum."""
+def unpack(payload: memoryview) -> tuple[int, np.ndarray]:
+    """Document id and token ids (unsigned 32-bit) of a record."""
+    doc_id, width = _RECORD_HEAD.unpack_from(payload)
+    return doc_id, np.frombuffer(payload, f"<u{width}", offset=_RECORD_HEAD.size).astype("<u4")
+
+
+def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """``shard, doc_id, offset, length, n_tokens, ids_crc32`` and ``ids`` of every record; checks every checksum."""
     ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    names = RECORD if with_ids else RECORD[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in range(batch.num_rows):
                 shard = batch.column(0)[place].as_py()
-                content = batch.column(1)[place].as_buffer()
                 rows: list[tuple] = []
                 size = 0
-                for offset, payload in read_frames(memoryview(content)):
-                    doc_id = struct.unpack_from("<q", payload)[0]
-                    ids = bytes(payload[8:])
-                    rows.append((shard, doc_id, offset, len(payload), len(ids) // 4, ids))
-                    size += len(ids)
+                for offset, payload in read_frames(memoryview(batch.column(1)[place].as_buffer())):
+                    doc_id, ids = unpack(payload)
+                    content = ids.tobytes()
+                    row = (shard, doc_id, offset, len(payload), len(ids), zlib.crc32(content))
+                    rows.append((*row, content) if with_ids else row)
+                    size += len(content) if with_ids else 100
                     if size > 8_000_000:
-                        yield _batch(rows)
+                        yield _batch(rows, names)
                         rows, size = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, names)
 
-    return files.mapInArrow(run, "shard string, doc_id bigint, offset bigint, length bigint, n_tokens bigint, ids binary")
+    return files.mapInArrow(run, ", ".join(f"{name} {KINDS[name][0]}" for name in names))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "doc_id", "offset", "length", "n_tokens", "ids"])
+KINDS = {name: ("bigint", pa.int64()) for name in ("doc_id", "offset", "length", "n_tokens", "ids_crc32")}
+KINDS |= {"shard": ("string", pa.string()), "ids": ("binary", pa.binary())}
+RECORD = ("shard", "doc_id", "offset", "length", "n_tokens", "ids_crc32", "ids")
+
+
+def _batch(rows: list[tuple], names: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array(column, KINDS[name][1]) for name, column in zip(names, zip(*rows, strict=True), strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=list(names))
 
 
 def write_index(spark: SparkSession, path: str, index: str) -> DataFrame:
     """Read all shards back, write the offset index, and return it with the digest of each record's ids."""
-    found = read_records(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    found.write.parquet(index)
+    read_records(spark, path, with_ids=False).write.parquet(index)
     return spark.read.parquet(index)
 
 
@@ -160,7 +173,7 @@ def encode_to_records(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     """
     spark = docs.sparkSession
     path = path or f"{ensure_checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
-    write_records(docs, f"{path}/shards", word_encoder(tokenizer), end_id)
+    write_records(docs, f"{path}/shards", word_encoder(tokenizer), id_width(tokenizer), end_id)
     index = write_index(spark, f"{path}/shards", f"{path}/index")
     summed = running_sums(index, ["doc_id", "shard", "offset"], {"start": "n_tokens"})
     return summed.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
@@ -170,5 +183,4 @@ def record_at(content: bytes | memoryview, offset: int, length: int) -> tuple[in
     """One record of a shard by its index entry: document id and token ids."""
     end = offset + _HEAD.size + length + _TAIL.size + 1
     _, payload = next(read_frames(memoryview(content)[offset:end]))
-    return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, np.uint32, offset=8)
-
+    return unpack(payload)
