@@ -99,6 +99,20 @@ def need(sizes: np.ndarray, percent: int) -> np.ndarray:
     return -(-sizes * percent // 100)
 
 
+def sketches(value: np.ndarray, doc: np.ndarray, count: int) -> dict[str, np.ndarray]:
+    """256 parities per set. Two sets differ in at least as many n-grams as their sketches do in bits."""
+    place, quarter = value & _U(63), (value >> _U(6)) & _U(3)
+    filled, begin = np.unique(doc, return_index=True)
+    found = {}
+    for number, name in enumerate(SKETCH):
+        bits = np.where(quarter == number, _U(1) << place, _U(0))
+        row = np.zeros(count, _U)
+        if len(filled):
+            row[filled] = np.bitwise_xor.reduceat(bits, begin)
+        found[name] = row.view(np.int64)
+    return found
+
+
 def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray, percent: int) -> dict[str, np.ndarray]:
     """Chosen prefixes: figures per document, and the entries of all prefixes (``at`` is their document)."""
     sizes = np.bincount(doc, minlength=count).astype(np.int64)
@@ -130,12 +144,14 @@ def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray,
     key = (middle << 51) | (node & _U((1 << 51) - 1)).astype(np.int64)
     return {
         "n": sizes, "node": node.view(np.int64), "key": key, "matches": matches, "last": last,
-        "token": value[entry].view(np.int64), "at": np.repeat(np.arange(count), length),
+        **sketches(value, doc[order], count), "token": value[entry].view(np.int64), "at": np.repeat(np.arange(count), length),
     }
 
 
-ROWS = "token bigint, doc_id bigint, n bigint, node bigint, key bigint, matches bigint, last bigint"
+SKETCH = ("s0", "s1", "s2", "s3")
 _FIGURES = ("n", "node", "key", "matches", "last")
+NAMES = ["token", "doc_id", *_FIGURES, *SKETCH]
+ROWS = ", ".join(f"{name} bigint" for name in NAMES)
 
 
 def node_rows(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
@@ -149,19 +165,17 @@ def node_rows(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
                 found = prefixes(value, doc, len(texts), table, percent)
                 count = len(texts)
                 ids = batch.column(0).slice(texts.first, count)
-                arrays = [pa.nulls(count, pa.int64()), ids, *[pa.array(found[name]) for name in _FIGURES]]
+                arrays = [pa.nulls(count, pa.int64()), ids, *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
                 at = found["at"]
                 arrays = [pa.array(found["token"]), pa.nulls(len(at), pa.int64())]
                 arrays += [pa.array(found[name][at]) for name in _FIGURES]
+                arrays += [pa.nulls(len(at), pa.int64()) for _ in SKETCH]
                 yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
-NAMES = [entry.split()[0] for entry in ROWS.split(", ")]
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id that edges ``a, b`` reach) of all ids with an edge.
 
@@ -217,8 +231,15 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, per
     return both.select("x", "y", "left", "right").mapInArrow(check, "x bigint, y bigint")
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _least_overlap(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _could_link(a: str, b: str, percent: int) -> Column:
+    """What sizes and sketches of two sets allow; columns are named with the prefixes."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = sum(F.bit_count(F.col(f"{a}{name}").bitwiseXOR(F.col(f"{b}{name}"))) for name in SKETCH)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * _least_overlap(n, m, percent))
 
 
 def join(
@@ -230,13 +251,13 @@ def join(
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     level = spark.sparkContext.broadcast(count_table(texts, size).tobytes())
     rows = materialise(node_rows(texts, level, size, percent))
-    nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key")
+    nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *SKETCH)
     usable = nodes.filter("n > 0 AND doc_id IS NOT NULL")
-    heads = materialise(usable.groupBy("node", "n", "key").agg(F.min("doc_id").alias("head")))
+    heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head")))
     texts = texts.filter("doc_id IS NOT NULL")
 
     # Lists with at least two different nodes, and the most central node of each.
-    entries = rows.filter("token IS NOT NULL").drop("doc_id")
+    entries = rows.filter("token IS NOT NULL").drop("doc_id", *SKETCH)
     lists = entries.groupBy("token").agg(F.max("key").alias("hub"), F.min("key").alias("other")).filter("hub <> other")
     listed = materialise(entries.join(lists.select("token", "hub"), "token"))
 
@@ -244,21 +265,25 @@ def join(
     prefix = F.col("n") + F.col("matches") - F.ceil(F.col("n") * percent / 100)
     met = listed.filter("key <> hub").groupBy("node", "n", "matches", "hub").agg(F.count(F.lit(1)).alias("c"))
     met = met.filter(F.col("c") * 4 >= prefix).groupBy("node", "n").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    hubs = heads.select(F.col("key").alias("hub"), F.col("node").alias("y"), F.col("n").alias("m"))
-    star = met.join(hubs, "hub").filter(_sizes_fit(F.col("n"), F.col("m"), percent) & (F.col("node") != F.col("y")))
-    first = materialise(verified(materialise(star.select(F.col("node").alias("x"), "y")), heads, texts, size, percent))
+    known = ("n", *SKETCH)
+    ends = heads.select(F.col("node").alias("x"), *[F.col(name).alias(f"a_{name}") for name in known])
+    hubs = heads.select(F.col("key").alias("hub"), F.col("node").alias("y"), *[F.col(name).alias(f"b_{name}") for name in known])
+    star = met.select(F.col("node").alias("x"), "hub").join(ends, "x").join(hubs, "hub").filter("x <> y")
+    star = materialise(star.filter(_could_link("a_", "b_", percent)).select("x", "y"))
+    first = materialise(verified(star, heads, texts, size, percent))
     edges = _edges(first, heads)
     labels = components(edges)
     group = heads.join(labels, F.col("head") == F.col("id"), "left").select(
-        "node", "key", F.coalesce("component", "head").alias("label")
+        "node", "key", *SKETCH, F.coalesce("component", "head").alias("label")
     )
     group = materialise(group)
 
     # Second round: all candidates in different components.
-    known = listed.join(group.select("node", "label"), "node")
+    known = listed.join(group.select("node", "label", *SKETCH), "node")
     centre = group.select(F.col("key").alias("hub"), F.col("label").alias("hub_label")).dropDuplicates(["hub"])
-    columns = ["token", "node", "n", "matches", "last", "label", "outside"]
-    placed = materialise(known.join(centre, "hub").withColumn("outside", F.col("label") != F.col("hub_label")).select(columns).distinct())
+    columns = ["token", "node", "n", "matches", "last", "label", "outside", *SKETCH]
+    placed = known.join(centre, "hub").withColumn("outside", F.col("label") != F.col("hub_label"))
+    placed = materialise(placed.select(columns).distinct())
     outside = placed.filter("outside")
     others = placed.join(outside.select("token").distinct(), "token", "left_semi")
     a = outside.select("token", *[F.col(name).alias(f"a_{name}") for name in columns[1:]])
@@ -266,13 +291,13 @@ def join(
     meeting = (
         (F.col("a_label") != F.col("b_label"))
         & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
-        & _sizes_fit(F.col("a_n"), F.col("b_n"), percent)
+        & _could_link("a_", "b_", percent)
     )
     sides = [f"{side}_{name}" for side in "ab" for name in ("n", "matches", "last")]
     counted = a.join(b, "token").filter(meeting).groupBy("a_node", "b_node").agg(
         F.count(F.lit(1)).alias("c"), *[F.max(name).alias(name) for name in sides]
     )
-    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / (100 + percent))
+    overlap = _least_overlap(F.col("a_n"), F.col("b_n"), percent)
 
     def possible(side: str, other: str) -> Column:
         """N-grams of a prefix that ends first and are not shared are missing from the other set."""
