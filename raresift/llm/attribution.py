@@ -26,7 +26,8 @@ from raresift.llm.encoding import LONGEST_KEPT, load
 from raresift.session import ship_package
 
 RULES = ("start", "most", "share")
-MOST_UNITS = 600_000
+MOST_UNITS = 1_000_000
+CALL_UNITS = 400
 #: White space as Unicode defines it.
 _WHITE = "\t-\r \x85\xa0  -     　"
 #: A byte-level tokenizer never merges over these borders: a word with the one space before it, all but the last
@@ -51,9 +52,8 @@ def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
         except KeyError:
             if len(cache) > MOST_UNITS:
                 cache.clear()
-            fresh = list({unit for unit in units if unit not in cache})
-            coded = tokenizer.encode_batch(fresh, add_special_tokens=False)
-            made = {u: np.array(c.offsets, np.int32).tobytes() for u, c in zip(fresh, coded, strict=True)}
+            made: dict[str, bytes] = {}
+            _fill(tokenizer, list({unit for unit in units if unit not in cache}), made)
             cache.update((unit, value) for unit, value in made.items() if len(unit) <= LONGEST_KEPT)
             packed = [made[unit] if unit in made else cache[unit] for unit in units]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
@@ -65,6 +65,21 @@ def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     return run
 
 
+def _fill(tokenizer, units: list[str], made: dict[str, bytes]) -> None:
+    """Add the packed spans of each unit. Words that begin with their space are encoded end to end, many in a call."""
+    spaced = [unit for unit in units if unit[0] == " " and len(unit) > 1 and not unit[1:].isspace()]
+    odd = [unit for unit in units if not (unit[0] == " " and len(unit) > 1 and not unit[1:].isspace())]
+    for unit, code in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+        made[unit] = np.array(code.offsets, np.int32).tobytes()
+    for at in range(0, len(spaced), CALL_UNITS):
+        part = spaced[at : at + CALL_UNITS]
+        pairs = np.array(tokenizer.encode("".join(part), add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
+        ends = np.cumsum([len(unit) for unit in part])
+        edges = np.searchsorted(pairs[:, 0], np.append(0, ends)).tolist()
+        for unit, start, low, high in zip(part, np.append(0, ends).tolist(), edges[:-1], edges[1:], strict=False):
+            made[unit] = (pairs[low:high] - np.int32(start)).tobytes()
+
+
 def line_sections(text: str) -> list[int]:
     """Start of each line; a line ends after its line feed."""
     starts = [0]
