@@ -14,7 +14,7 @@ import numpy as np
 MOST_WORDS = 1_500_000
 LONGEST_KEPT = 48
 #: Bytes of unknown words that are encoded in one call; short calls keep to the processor's cache.
-CALL_BYTES = 4_000
+CALL_BYTES = 2_500
 _LOADED: dict[str, object] = {}
 _CACHES: dict[str, dict[bytes, bytes]] = {}
 
@@ -71,7 +71,7 @@ def word_encoder(path: str) -> Callable[[], Callable[[list[bytes]], list[bytes]]
         def encode(texts: list[bytes]) -> list[bytes]:
             split = [text.lower().split() for text in texts]
             known = set().union(*split)
-            fresh = [word for word in known if word not in cache]
+            fresh = list(known.difference(cache))
             if len(cache) + len(fresh) > MOST_WORDS:
                 cache.clear()
                 fresh = list(known)

@@ -40,6 +40,8 @@ _RECORD_HEAD = struct.Struct("<qB")
 END_MARK = b"\n"
 #: Bytes of text per shard, roughly; a shard is read by one task.
 SHARD_BYTES = 24_000_000
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 8_000_000
 
 
 def masked(data: bytes) -> int:
@@ -103,7 +105,7 @@ def write_records(
         encode = make_encoder()
         for batch in batches:
             place = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), ENCODE_BYTES):
                 ids = batch.column(0).slice(place, len(part)).to_pylist()
                 place += len(part)
                 content, edges = part.data.tobytes(), part.offsets.tolist()
