@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from raresift.session import materialise, ship_package
 
-CHUNK_CHARS = 16_384
-MOST_WORDS = 1_200_000
+CHUNK_CHARS = 65_536
+MOST_WORDS = 900_000
 LONGEST_KEPT = 40
-MOST_PAIRS = 1_500_000
+MOST_PAIRS = 700_000
 SPACE = "▁"
 #: The state where nothing that stands before matters.
 OPEN = 0
@@ -86,7 +86,7 @@ class Model:
         broken = re.escape(self.breaks)
         self.word = re.compile(f"[{broken}]|{SPACE}*[^{SPACE}{broken}]+|{SPACE}+")
         self.border = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<=[{broken}])|(?=[{broken}])")
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -107,11 +107,12 @@ class Model:
         """Whether ``piece`` may follow: the two encode to themselves."""
         if piece < 0:
             return True
-        key = (-1 if before is None or before < 0 else before, piece)
+        left = -1 if before is None or before < 0 else before
+        key = left << 32 | piece
         known = self._pairs.get(key)
         if known is None:
             own = self.pieces[piece]
-            first = [] if key[0] < 0 else [self.pieces[key[0]]]
+            first = [] if left < 0 else [self.pieces[left]]
             known = self.merge("".join([*first, own])) == [*first, own]
             if len(self._pairs) > MOST_PAIRS:
                 self._pairs.clear()
@@ -140,7 +141,7 @@ class Model:
                     break
                 if piece < 0:
                     continue
-                good = pairs.get((key, piece))
+                good = pairs.get(key << 32 | piece)
                 if good is None:
                     good = self.fits(None if key < 0 else key, piece)
                 if good and (end not in best or best[end][0] < weight):
