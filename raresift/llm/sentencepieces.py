@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from raresift.session import materialise, ship_package
+from raresift.llm.text import prepare
+from raresift.session import materialise
 
 CHUNK_CHARS = 65_536
-MOST_WORDS = 900_000
+MOST_WORDS = 700_000
 LONGEST_KEPT = 40
-MOST_PAIRS = 700_000
+MOST_PAIRS = 500_000
 SPACE = "▁"
 #: The state where nothing that stands before matters.
 OPEN = 0
@@ -359,13 +360,15 @@ def decode(model: Model, ids: np.ndarray | list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _parts_encoded(docs: DataFrame, model_path: str, chunk_chars: int, id_col: str, text_col: str):
-    """Encoded rows of the texts of one chunk, and of the chunks of longer texts.
+def _parts_encoded(
+    docs: DataFrame, model_path: str, chunk_chars: int, id_col: str, text_col: str, checked: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Encoded rows of the texts of one chunk (with checks, if wished), and of the chunks of longer texts.
 
     A text of one chunk needs no other and is encoded where it is read; chunks of longer ones are dealt out.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     short = F.char_length("text") < chunk_chars
@@ -377,6 +380,9 @@ def _parts_encoded(docs: DataFrame, model_path: str, chunk_chars: int, id_col: s
             for value in batch.column(2):
                 content = normal(value.as_py())
                 ids.append(Chunk(content, 0, len(content), True, True).trace(model, OPEN, OPEN) if content else b"")
+            if checked:
+                yield _checked(model, batch.column(0), pa.array(np.ones(len(ids), np.int32)), ids)
+                continue
             zeros = np.zeros(len(ids), np.int64)
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             arrays = [batch.column(0), batch.column(1), pa.array(zeros.astype(np.int32)), pa.array(zeros), counts]
@@ -435,7 +441,7 @@ def _parts_encoded(docs: DataFrame, model_path: str, chunk_chars: int, id_col: s
     links = chunks.mapInArrow(matrices, ", ".join(f"{n} {'int' if n == 'chunk' else 'bigint'}" for n in MATRIX))
     paths = links.groupBy("row").applyInArrow(combine, "row bigint, chunk int, entry bigint, leave bigint, before bigint")
     joined = chunks.join(paths, ["row", "chunk"]).select(chunks["*"], "entry", "leave", "before")
-    return chosen.filter(short).mapInArrow(whole, _ddl(FOUND)), joined.mapInArrow(traced, _ddl(FOUND))
+    return chosen.filter(short).mapInArrow(whole, CHECKED if checked else _ddl(FOUND)), joined.mapInArrow(traced, _ddl(FOUND))
 
 
 def encode_chunks(
@@ -481,18 +487,9 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            rows = []
-            for ids in batch.column(2):
-                content = ids.as_py()
-                text = decode(model, np.frombuffer(content, np.uint32).tolist())
-                rows.append((len(content) // 4, zlib.crc32(content), zlib.crc32(text.encode())))
-            counts, checks, texts = (pa.array(column, pa.int64()) for column in (zip(*rows, strict=True) if rows else [[]] * 3))
-            arrays = [batch.column(0), batch.column(1), counts, batch.column(2), checks, texts]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=["doc_id", "n_chunks", "n_tokens", "ids", "ids_crc32", "text_crc32"]
-            )
+            yield _checked(model, batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
-    short, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col)
+    single, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col, checked=True)
     # One text's chunks come together here: it is a row of the result.
     gathered = long.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     empty = F.lit(bytearray()).cast("binary")
@@ -501,7 +498,17 @@ def encode(
         F.size("parts").alias("n_chunks"),
         F.aggregate("parts", empty, lambda done, part: F.concat(done, part["ids"])).alias("ids"),
     )
-    single = short.select("doc_id", F.lit(1).alias("n_chunks"), "ids")
-    return single.unionByName(several).mapInArrow(
-        run, "doc_id bigint, n_chunks int, n_tokens bigint, ids binary, ids_crc32 bigint, text_crc32 bigint"
-    )
+    return single.unionByName(several.mapInArrow(run, CHECKED))
+
+
+CHECKED = "doc_id bigint, n_chunks int, n_tokens bigint, ids binary, ids_crc32 bigint, text_crc32 bigint"
+
+
+def _checked(model: Model, doc_ids: pa.Array, chunks: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    """Rows of documents with the checks of their ids and of the decoded text."""
+    counts = pa.array([len(content) // 4 for content in ids], pa.int64())
+    checks = pa.array([zlib.crc32(content) for content in ids], pa.int64())
+    decoded = (decode(model, np.frombuffer(content, np.uint32).tolist()) for content in ids)
+    texts = pa.array([zlib.crc32(text.encode()) for text in decoded], pa.int64())
+    arrays = [doc_ids, chunks, counts, pa.array(ids, pa.binary()), checks, texts]
+    return pa.RecordBatch.from_arrays(arrays, names=[entry.split()[0] for entry in CHECKED.split(", ")])
