@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from raresift.llm.encoding import LONGEST_KEPT, load
-from raresift.session import ship_package
+from raresift.llm.text import prepare
 
 RULES = ("start", "most", "share")
 MOST_UNITS = 1_000_000
@@ -128,7 +128,7 @@ def attribute_tokens(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = spans(tokenizer)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.llm import text as t
-from raresift.session import materialise, ship_package
+from raresift.session import materialise
 
 COUNTER_BITS = 22
 SLICES = 64
@@ -247,7 +247,7 @@ def join(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: two documents link when ``100 * shared >= percent * all``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    t.prepare(spark)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     level = spark.sparkContext.broadcast(count_table(texts, size).tobytes())
     rows = materialise(node_rows(texts, level, size, percent))

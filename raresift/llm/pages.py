@@ -21,7 +21,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from raresift.session import ship_package
+from raresift.llm.text import prepare
+
 
 WINDOW = 3
 SURGE_CHARS = 80
@@ -209,7 +210,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page. A scan and nothing else."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

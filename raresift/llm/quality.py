@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from raresift.llm import text as t
-from raresift.session import ship_package
 
 #: Largest share of the word characters that may lie inside duplicated n-grams, by n.
 COVERAGE_LIMITS = {5: 0.35, 6: 0.32, 7: 0.30, 8: 0.28, 9: 0.26, 10: 0.25}
@@ -103,7 +102,7 @@ def quality(
                     names=NAMES,
                 )
 
-    ship_package(docs.sparkSession)
+    t.prepare(docs.sparkSession)
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return chosen.mapInArrow(run, SCHEMA)
 

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from raresift.llm.encoding import id_width, word_encoder
 from raresift.llm.spread import running_sums
-from raresift.llm.text import slices
-from raresift.session import ensure_checkpoint_dir, ship_package
+from raresift.llm.text import prepare, slices
+from raresift.session import ensure_checkpoint_dir
 
 _MASK_ADD = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
@@ -94,7 +94,7 @@ def write_records(
 ) -> None:
     """Encode whole documents and write them in ascending order of id as shards below ``path``."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     if shards is None:
         total = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -127,7 +127,7 @@ def unpack(payload: memoryview) -> tuple[int, np.ndarray]:
 
 def read_records(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``shard, doc_id, offset, length, n_tokens, ids_crc32`` and ``ids`` of every record; checks every checksum."""
-    ship_package(spark)
+    prepare(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     names = RECORD if with_ids else RECORD[:-1]
 

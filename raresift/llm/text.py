@@ -12,8 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 2_000_000
+from raresift.session import ship_package
+
+SLICE_BYTES = 1_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -60,6 +63,18 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+#: Rows per Arrow batch. Texts are long: Spark's own default would hold tens of megabytes in each task.
+BATCH_ROWS = 1_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and use small batches unless the session has its own size."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH_CONF, "10000") == "10000":
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+
+
 @dataclass
 class Texts:
     """Bytes of some documents end to end; document ``i`` is ``data[offsets[i]:offsets[i + 1]]``."""

@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from raresift.session import materialise, ship_package
+from raresift.llm.text import prepare
+from raresift.session import materialise
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
@@ -106,7 +107,7 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the best ``k`` rows for every query."""
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     chosen = vectors.select(
         vectors[id_col].cast("bigint").alias("vec_id"),
         whole(vectors[vector_col], factor).alias("v"),

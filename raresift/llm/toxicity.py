@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from raresift.session import materialise, ship_package
+from raresift.llm.text import prepare
+from raresift.session import materialise
 
 FIT_ROWS = 60_000
 #: Terms that pass to the second count; those in most toxic documents come first.
@@ -235,7 +236,7 @@ def _curve(rows: np.ndarray) -> tuple[float, ...]:
 
 def learn_lexicon(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     """Fit lexicon, exception phrases and curve on ``text, toxic`` rows (see ``training_rows``)."""
-    ship_package(rows.sparkSession)
+    prepare(rows.sparkSession)
     rows = materialise(rows)
     sizes = {row.toxic: row.n for row in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for label, n in sizes.items() if label != 1)
@@ -280,7 +281,7 @@ def _automaton(weights: dict[str, float]):
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, matches, total, length`` of every document. A scan and nothing else."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(lexicon.weights) if lexicon.weights else None
@@ -301,7 +302,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """All columns of the documents that score below the threshold. A scan and nothing else."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(lexicon.weights) if lexicon.weights else None
