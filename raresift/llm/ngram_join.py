@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from raresift.llm import text as t
 from raresift.session import materialise
 
-COUNTER_BITS = 22
+COUNTER_BITS = 21
 SLICES = 64
 MOST_MATCHES = 4
 #: What verifying a candidate costs, in list entries read.

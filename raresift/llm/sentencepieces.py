@@ -30,9 +30,9 @@ from raresift.llm.text import prepare
 from raresift.session import materialise
 
 CHUNK_CHARS = 65_536
-MOST_WORDS = 700_000
+MOST_WORDS = 600_000
 LONGEST_KEPT = 40
-MOST_PAIRS = 500_000
+MOST_PAIRS = 400_000
 SPACE = "▁"
 #: The state where nothing that stands before matters.
 OPEN = 0
