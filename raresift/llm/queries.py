@@ -68,12 +68,12 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP6 = """
-WITH whole AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
-parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS place FROM whole),
+WITH listed AS (
+  SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings),
+usable AS (
+  SELECT vec_id FROM listed GROUP BY vec_id HAVING count(*) = count(CASE WHEN isfinite(x) THEN 1 END)),
+parts AS (
+  SELECT vec_id, place, CAST(floor(1024 * x) AS BIGINT) AS x FROM listed WHERE vec_id IN (SELECT vec_id FROM usable)),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
   FROM parts q JOIN parts c ON q.place = c.place AND q.vec_id <> c.vec_id
