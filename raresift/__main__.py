@@ -24,7 +24,7 @@ from raresift.plans.score import score_to_files  # noqa: E402
 from raresift.plans.train import TrainConfig, train  # noqa: E402
 from raresift.schema import preset  # noqa: E402
 from raresift.sources.bundle import load_bundle, save_bundle  # noqa: E402
-from raresift.sources.tables import read_catalogue, read_known_lists, read_table, rewrite_without  # noqa: E402
+from raresift.sources.tables import format_of, read_catalogue, read_known_lists, read_table, rewrite_without  # noqa: E402
 from raresift.streaming.score_stream import score_stream, stream_catalogue  # noqa: E402
 
 
@@ -83,15 +83,16 @@ def run(spark: SparkSession, options: argparse.Namespace) -> object:
         return [row.asDict() for row in quality_report(table, features).collect()]  # one row per feature
     if options.job == "curate":
         first, second, target = (read_table(spark, getattr(options, name), options.format) for name in ("first", "second", "target"))
-        return {"removed": rewrite_without(target, row_delta(first, second), options.output, options.format or "parquet")}
+        return {"removed": rewrite_without(target, row_delta(first, second), options.output, format_of(options.target, options.format))}
     bundle = load_bundle(spark, options.bundles, options.name)
     known = read_known_lists(spark, options.known, options.done, options.id)
     if options.job == "score":
         catalogue = read_catalogue(spark, options.catalogue, bundle.features, options.id, fmt=options.format)
         return score_to_files(catalogue, bundle, options.output, options.id, known, options.output_format, options.shards)
-    schema = read_table(spark, options.catalogue, options.format).schema
-    texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema]) if options.format == "csv" else schema
-    source = stream_catalogue(spark, options.catalogue, texts, options.format or "parquet")
+    kind = format_of(options.catalogue, options.format)
+    schema = read_table(spark, options.catalogue, kind).schema
+    texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema]) if kind == "csv" else schema
+    source = stream_catalogue(spark, options.catalogue, texts, kind)
     query = score_stream(source, bundle, options.output, options.checkpoint, options.id, known, options.output_format)
     query.awaitTermination()
     return {"batches": len(query.recentProgress)}

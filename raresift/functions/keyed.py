@@ -27,6 +27,11 @@ def key_number(key: Column, word: int = 0) -> Column:
     return F.conv(F.substring(key, 1 + 8 * word, 8), 16, 10).cast("bigint")
 
 
+def wide_number(key: Column) -> Column:
+    """60-bit number from the first fifteen hex digits of a key, for draws among very many rows."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(seed: int | str, *parts: Column | str | int) -> Column:
     """Uniform number in [0, 1)."""
     return key_number(draw_key(seed, *parts)) / F.lit(TWO_POW_32)

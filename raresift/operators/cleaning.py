@@ -62,9 +62,8 @@ def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: float = IMPUTE_VALUE) -> DataFrame:
-    return df.withColumns(
-        {name: F.coalesce(F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")), F.lit(value)) for name in columns}
-    )
+    """A constant for every missing value, infinite ones included."""
+    return df.withColumns({name: F.coalesce(finite_or_null(F.col(name).cast("double")), F.lit(value)) for name in columns})
 
 
 def require_target(df: DataFrame, target: str) -> DataFrame:

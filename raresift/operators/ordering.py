@@ -147,6 +147,11 @@ def mark_smallest(
 
 def _against(df: DataFrame, group: str, key: str, cutoffs: Mapping[object, Cutoff], flag: str) -> DataFrame:
     """Compare keys with the cutoffs; ``_tied`` marks the rows a divided cutoff leaves open."""
+    if len(cutoffs) == 1:
+        ((name, cutoff),) = cutoffs.items()
+        mine = F.col(group) == F.lit(name)
+        tied = F.coalesce(mine & F.lit(cutoff.divided) & (F.col(key) == F.lit(cutoff.key)), F.lit(False))
+        return df.withColumns({flag: F.coalesce(mine & (F.col(key) <= F.lit(cutoff.key)), F.lit(False)), "_tied": tied})
     table = small_table(
         df.sparkSession,
         {

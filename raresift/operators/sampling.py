@@ -24,7 +24,7 @@ from raresift.constants import (
     SPECIALIST_ROWS,
     TEST_SHARE,
 )
-from raresift.functions.keyed import draw_key, key_number, standard_normal, uniform
+from raresift.functions.keyed import draw_key, key_number, standard_normal, uniform, wide_number
 from raresift.operators.ordering import mark_smallest, ranked_by_key
 from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
 from raresift.schema import require_columns
@@ -232,7 +232,7 @@ def balanced_bootstrap(
         .join(F.broadcast(classes), "_class")
         .withColumn(
             "_rank",
-            key_number(draw_key(seed, F.col("bag"), F.col("_class"), F.col("draw"))) % F.col("_size"),
+            wide_number(draw_key(seed, F.col("bag"), F.col("_class"), F.col("draw"))) % F.col("_size"),
         )
         .drop("_size")
     )

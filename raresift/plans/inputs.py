@@ -12,7 +12,7 @@ from raresift.session import spread
 
 ORDER_FEATURES = ["total", "day", "customer", "lines", "quantity", "returned", "accepted", "pending"]
 LINE_FEATURES = ["quantity", "price", "discount", "tax"]
-VECTOR_FEATURES = [f"x{place}" for place in range(1, 18)]
+VECTOR_FEATURES = [f"x{place}" for place in range(1, 65)]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -146,7 +146,7 @@ measurements AS (
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Seventeen numbers per row, ten classes."""
+    """All 64 numbers of each row, ten classes."""
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("id"),
         "vec_id",

@@ -98,7 +98,7 @@ BAGS = 3
             "smallest AS (SELECT min(n) AS m FROM class_rows)",
             f"numbers AS (SELECT unnest(range({BAGS} * (SELECT m FROM smallest))) AS i)",
             "draws AS (SELECT CAST(i // m AS INTEGER) AS bag, i % m AS draw, label, n FROM numbers, smallest, class_rows)",
-            "picks AS (SELECT bag, draw, label, CAST(('0x' || substr(md5('42|' || bag || '|' || label || '|' || draw), 1, 8)) AS BIGINT) % n AS place FROM draws)",
+            "picks AS (SELECT bag, draw, label, CAST(('0x' || substr(md5('42|' || bag || '|' || label || '|' || draw), 1, 15)) AS BIGINT) % n AS place FROM draws)",
         ],
         "SELECT bag, draw, label, id FROM picks JOIN placed USING (label, place)",
     ),

@@ -272,14 +272,11 @@ def valid_mask(spark: SparkSession, folder: str) -> DataFrame:
     "impute_constant",
     with_parts(
         [MEASUREMENTS],
-        "SELECT id, CASE WHEN unstable IS NULL OR isnan(unstable) THEN CAST(-999 AS DOUBLE) ELSE unstable END AS unstable, value FROM measurements "
-        "WHERE unstable IS NULL OR NOT isinf(unstable)",
+        "SELECT id, CASE WHEN isfinite(unstable) THEN unstable ELSE CAST(-999 AS DOUBLE) END AS unstable, value FROM measurements",
     ),
 )
 def impute_constant_query(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = measurements(spark, folder).select("id", "unstable", "value")
-    finite = table_.filter(F.col("unstable").isNull() | (F.abs("unstable") != F.lit(float("inf"))))
-    return impute_constant(finite, ["unstable"])
+    return impute_constant(measurements(spark, folder).select("id", "unstable", "value"), ["unstable"])
 
 
 @query(

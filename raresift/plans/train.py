@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from raresift.constants import (
-    CONTAMINANT_CAP,
     FILTER_ISOLATION,
     FILTER_RECONSTRUCTION,
     GATE_THRESHOLD,
@@ -82,15 +81,19 @@ def prepare_training(
 
 
 def load_contaminants(
-    df: DataFrame | None, features: Sequence[str], scaler: MinMax, id_col: str = ID_COLUMN, rows: int = CONTAMINANT_CAP
+    df: DataFrame | None, features: Sequence[str], scaler: MinMax, id_col: str = ID_COLUMN, rows: int | None = None
 ) -> DataFrame | None:
-    """Clean, capped and scaled contaminants; None when there is nothing usable."""
+    """Clean and scaled contaminants, all of them unless ``rows`` asks for a sample; None when nothing is usable.
+
+    An id column is needed for a sample only.
+    """
     if df is None or not set(features) <= set(df.columns):
         return None
-    clean = clean_features(df.select(id_col, *features), features)
+    ids = [id_col] if rows is not None or id_col in df.columns else []
+    clean = clean_features(df.select(*ids, *features), features)
     if clean.isEmpty():
         return None
-    return scaler.transform(cap_rows(clean, id_col, rows))
+    return scaler.transform(clean if rows is None else cap_rows(clean, id_col, rows))
 
 
 @dataclass(frozen=True)

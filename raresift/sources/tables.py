@@ -15,7 +15,7 @@ from raresift.schema import VERDICT_SCHEMA, require_columns
 from raresift.session import spread
 
 
-def _format_of(path: str, given: str | None) -> str:
+def format_of(path: str, given: str | None) -> str:
     if given:
         return given
     name = path.rstrip("/").lower()
@@ -27,7 +27,7 @@ def _format_of(path: str, given: str | None) -> str:
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A table with all its columns. CSV columns come as text, matched to the header of every file."""
-    kind = _format_of(path, fmt)
+    kind = format_of(path, fmt)
     if kind != "csv":
         return spark.read.format(kind).load(path)
     named = spark.read.option("header", True).csv(path).schema
@@ -86,12 +86,12 @@ def count_rows(df: DataFrame) -> int:
 
 
 def write_verdicts(
-    df: DataFrame, path: str, fmt: str = "parquet", shards: int | None = None, compact: bool = True
+    df: DataFrame, path: str, fmt: str = "parquet", shards: int | None = None, compact: bool = False
 ) -> None:
     """Write verdict rows; with ``shards`` into that many folders. No header row ever ends up in the data.
 
-    Verdict rows are far smaller than what they are made from, so one file per task would be a heap of small
-    files. ``compact`` rebalances the rows into files of the advisory partition size, splitting large shards.
+    Rows are written where they are made. ``compact`` moves them first, into files of the advisory partition
+    size: fewer files for the price of a shuffle.
     """
     rows = shard_of(df, "id", shards) if shards else df
     if compact:
