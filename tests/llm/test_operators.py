@@ -217,6 +217,28 @@ def test_repeats_equal_brute_force(spark, folder, make, odd_texts):
     assert {r.doc_id: tuple(r[n] for n in names) for r in whole} == brute_repeats(texts_of(spark, folder), 50)
 
 
+def test_repeats_without_second_marks(spark, folder, monkeypatch):
+    """Anchors of several classes that lack their mark are found and settled in a second turn."""
+    marks, turns = substrings.shared_anchors, []
+
+    def unmarked(*args):
+        shared, mixed = marks(*args)
+        assert mixed.any()
+        return shared, np.zeros_like(mixed)
+
+    def counted(*args):
+        turns.append(args)
+        return anchor_table(*args)
+
+    anchor_table = substrings.anchor_table
+    monkeypatch.setattr(substrings, "shared_anchors", unmarked)
+    monkeypatch.setattr(substrings, "anchor_table", counted)
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    whole = QUERIES["op7_repeated_bytes"].run(spark, folder).collect()
+    assert len(turns) == 1
+    assert {r.doc_id: tuple(r[n] for n in names) for r in whole} == brute_repeats(texts_of(spark, folder), 50)
+
+
 # 8
 def brute_join(texts: dict, size: int, percent: int) -> dict:
     sets = {}
