@@ -63,9 +63,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-#: Rows per Arrow batch. Texts are long: Spark's own default would hold tens of megabytes in each task.
+#: Rows and bytes per Arrow batch. Texts are long: Spark's own defaults would hold tens of megabytes in each task.
 BATCH_ROWS = 1_000
+BATCH_BYTES = "8m"
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -73,6 +75,8 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
     if spark.conf.get(_BATCH_CONF, "10000") == "10000":
         spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    if spark.conf.get(_BYTES_CONF, None) is None:
+        spark.conf.set(_BYTES_CONF, BATCH_BYTES)
 
 
 @dataclass
