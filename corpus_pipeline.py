@@ -12,6 +12,8 @@ from raresift.llm import mixing, ngram_join, sentencepieces, substrings, toxicit
 from raresift.llm.queries import held_out, tokenizer_path
 from raresift.session import materialise
 
+#: Words whose ids a worker keeps in the last stage: workers hold what earlier stages left in the executor too.
+KEPT_WORDS = 300_000
 #: The mix has a random order and the last stage a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
@@ -42,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row."""
-    return sentencepieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return sentencepieces.encode(docs, tokenizer_path("piece_bpe_32k.model"), most_words=KEPT_WORDS)
 
 
 STAGES = [

@@ -86,7 +86,7 @@ def count_table(docs: DataFrame, size: int) -> np.ndarray:
         return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
 
     schema = "slice int, salt int, counts binary"
-    counted = docs.select("text").mapInArrow(count, schema)
+    counted = docs.select("text").mapInArrow(t.tidy("ngram_join", count), schema)
     summed = counted.groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
     table = np.zeros(width, np.uint32)
     for row in summed.collect():  # SLICES rows, 16 MiB in all
@@ -173,7 +173,7 @@ def node_rows(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
                 arrays += [pa.nulls(len(at), pa.int64()) for _ in SKETCH]
                 yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(t.tidy("ngram_join", run), ROWS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,11 +224,11 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, per
                 good.append(100 * shared >= percent * (len(left) + len(right) - shared))
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    chosen = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id bigint, held binary")
+    chosen = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(t.tidy("ngram_join", sets), "doc_id bigint, held binary")
     held = materialise(chosen.join(heads.select(F.col("head").alias("doc_id"), "node"), "doc_id").select("node", "held"))
     left = pairs.join(held.select(F.col("node").alias("x"), F.col("held").alias("left")), "x")
     both = left.join(held.select(F.col("node").alias("y"), F.col("held").alias("right")), "y")
-    return both.select("x", "y", "left", "right").mapInArrow(check, "x bigint, y bigint")
+    return both.select("x", "y", "left", "right").mapInArrow(t.tidy("ngram_join", check), "x bigint, y bigint")
 
 
 def _least_overlap(n: Column, m: Column, percent: int) -> Column:

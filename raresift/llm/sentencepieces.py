@@ -26,17 +26,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from raresift.llm.text import prepare
+from raresift.llm.text import keeps, prepare, tidy
 from raresift.session import materialise
 
 CHUNK_CHARS = 65_536
+#: Words whose ids a worker keeps, and pairs of pieces it knows for each of them.
 MOST_WORDS = 900_000
+PAIRS_PER_WORD = 7 / 9
 LONGEST_KEPT = 40
-MOST_PAIRS = 700_000
 SPACE = "▁"
 #: The state where nothing that stands before matters.
 OPEN = 0
-_MODELS: dict[str, "Model"] = {}
+_MODELS: dict[tuple[str, int], "Model"] = {}
+keeps("sentencepieces", _MODELS.clear)
 
 State = int  # OPEN, or piece and overhang in one number
 
@@ -54,7 +56,7 @@ def _parts(state: State) -> tuple[int | None, int]:
 class Model:
     """Vocabulary and pair rules. Characters outside the vocabulary are pieces with negative numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = MOST_WORDS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -87,6 +89,7 @@ class Model:
         broken = re.escape(self.breaks)
         self.word = re.compile(f"[{broken}]|{SPACE}*[^{SPACE}{broken}]+|{SPACE}+")
         self.border = re.compile(f"(?<=[^{SPACE}])(?={SPACE})|(?<=[{broken}])|(?=[{broken}])")
+        self.most_words, self.most_pairs = most_words, int(PAIRS_PER_WORD * most_words)
         self._pairs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
 
@@ -115,7 +118,7 @@ class Model:
             own = self.pieces[piece]
             first = [] if left < 0 else [self.pieces[left]]
             known = self.merge("".join([*first, own])) == [*first, own]
-            if len(self._pairs) > MOST_PAIRS:
+            if len(self._pairs) > self.most_pairs:
                 self._pairs.clear()
             self._pairs[key] = known
         return known
@@ -171,7 +174,7 @@ class Model:
         best = self.spread(word, 0, None, len(word), len(word))
         packed = np.array(self.back(best, len(word)), np.uint32).tobytes()
         if len(word) <= LONGEST_KEPT:
-            if len(self._words) > MOST_WORDS:
+            if len(self._words) > self.most_words:
                 self._words.clear()
             self._words[word] = packed
         return packed
@@ -293,10 +296,11 @@ class Chunk:
         return np.array(head, np.uint32).tobytes() + model.body(self.text[start:stop]) + np.array(tail, np.uint32).tobytes()
 
 
-def load(path: str) -> Model:
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+def load(path: str, most_words: int = MOST_WORDS) -> Model:
+    key = (path, most_words)
+    if key not in _MODELS:
+        _MODELS[key] = Model(path, most_words)
+    return _MODELS[key]
 
 
 def normal(text: str) -> str:
@@ -361,7 +365,7 @@ def decode(model: Model, ids: np.ndarray | list[int]) -> str:
 
 
 def _parts_encoded(
-    docs: DataFrame, model_path: str, chunk_chars: int, id_col: str, text_col: str, checked: bool = False
+    docs: DataFrame, model_path: str, chunk_chars: int, id_col: str, text_col: str, most_words: int, checked: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Encoded rows of the texts of one chunk (with checks, if wished), and of the chunks of longer texts.
 
@@ -374,7 +378,7 @@ def _parts_encoded(
     short = F.char_length("text") < chunk_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, most_words)
         for batch in batches:
             ids = []
             for value in batch.column(2):
@@ -389,7 +393,7 @@ def _parts_encoded(
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())], names=NAMES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, most_words)
         for batch in batches:
             for doc_id, row, value in zip(*batch.columns, strict=True):
                 for number, part in enumerate(split(normal(value.as_py()), chunk_chars, model.longest + 1)):
@@ -398,7 +402,7 @@ def _parts_encoded(
                     )
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, most_words)
         for batch in batches:
             for entry in batch.to_pylist():
                 rows = _chunk(entry).matrix(model)
@@ -426,7 +430,7 @@ def _parts_encoded(
         )
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, most_words)
         for batch in batches:
             rows = []
             for entry in batch.to_pylist():
@@ -436,22 +440,27 @@ def _parts_encoded(
             yield pa.RecordBatch.from_pylist(rows, FOUND)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = chosen.filter(~short).mapInArrow(cut, _ddl(PARTS)).repartition(partitions, "row", "chunk")
+    parts = chosen.filter(~short).mapInArrow(tidy("sentencepieces", cut), _ddl(PARTS)).repartition(partitions, "row", "chunk")
     chunks = materialise(parts)
-    links = chunks.mapInArrow(matrices, ", ".join(f"{n} {'int' if n == 'chunk' else 'bigint'}" for n in MATRIX))
+    links = chunks.mapInArrow(tidy("sentencepieces", matrices), ", ".join(f"{n} {'int' if n == 'chunk' else 'bigint'}" for n in MATRIX))
     paths = links.groupBy("row").applyInArrow(combine, "row bigint, chunk int, entry bigint, leave bigint, before bigint")
     joined = chunks.join(paths, ["row", "chunk"]).select(chunks["*"], "entry", "leave", "before")
-    return chosen.filter(short).mapInArrow(whole, CHECKED if checked else _ddl(FOUND)), joined.mapInArrow(traced, _ddl(FOUND))
+    return chosen.filter(short).mapInArrow(tidy("sentencepieces", whole), CHECKED if checked else _ddl(FOUND)), joined.mapInArrow(tidy("sentencepieces", traced), _ddl(FOUND))
 
 
 def encode_chunks(
-    docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model_path: str,
+    chunk_chars: int = CHUNK_CHARS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_words: int = MOST_WORDS,
 ) -> DataFrame:
     """``doc_id, row, chunk, before, n_tokens, ids``: ids of each chunk; ``before`` counts those of earlier chunks.
 
     ``row`` tells rows of one id apart. Ids are packed as unsigned 32-bit numbers.
     """
-    short, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col)
+    short, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col, most_words)
     return short.unionByName(long)
 
 
@@ -477,19 +486,25 @@ def _chunk(entry: dict) -> Chunk:
 
 
 def encode(
-    docs: DataFrame, model_path: str, chunk_chars: int = CHUNK_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model_path: str,
+    chunk_chars: int = CHUNK_CHARS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_words: int = MOST_WORDS,
 ) -> DataFrame:
     """``doc_id, n_chunks, n_tokens, ids, ids_crc32, text_crc32``: a row per document with all its ids.
 
     ``text_crc32`` is the check of the decoded ids, equal to the check of the text where decoding gives it back.
+    ``most_words`` trades memory of the workers against time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(model_path, most_words)
         for batch in batches:
             yield _checked(model, batch.column(0), batch.column(1), batch.column(2).to_pylist())
 
-    single, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col, checked=True)
+    single, long = _parts_encoded(docs, model_path, chunk_chars, id_col, text_col, most_words, checked=True)
     # One text's chunks come together here: it is a row of the result.
     gathered = long.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     empty = F.lit(bytearray()).cast("binary")
@@ -498,7 +513,7 @@ def encode(
         F.size("parts").alias("n_chunks"),
         F.aggregate("parts", empty, lambda done, part: F.concat(done, part["ids"])).alias("ids"),
     )
-    return single.unionByName(several.mapInArrow(run, CHECKED))
+    return single.unionByName(several.mapInArrow(tidy("sentencepieces", run), CHECKED))
 
 
 CHECKED = "doc_id bigint, n_chunks int, n_tokens bigint, ids binary, ids_crc32 bigint, text_crc32 bigint"

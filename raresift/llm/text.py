@@ -6,7 +6,8 @@ slices of bounded size (``SLICE_BYTES``, or one document if that is longer), so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +80,46 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BYTES_CONF, BATCH_BYTES)
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+_Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def keeps(user: str, drop: Callable[[], None]) -> None:
+    """``drop`` frees what the tasks of ``user`` keep in a worker process."""
+    _KEPT[user] = drop
+
+
+def _drop_others(user: str) -> None:
+    for other, drop in _KEPT.items():
+        if other != user:
+            drop()
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, for the next task in this executor may be another process."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(user: str, run: _Task) -> _Task:
+    """``run`` as a task of ``user``: what others keep in the worker is dropped first, freed memory is given back last.
+
+    Spark's workers live on from task to task, and with them all caches of earlier operators.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _drop_others(user)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 @dataclass
 class Texts:
     """Bytes of some documents end to end; document ``i`` is ``data[offsets[i]:offsets[i + 1]]``."""

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from raresift.llm.text import prepare
+from raresift.llm.text import keeps, prepare, tidy
 from raresift.session import materialise
 
 FIT_ROWS = 60_000
@@ -177,7 +177,7 @@ def _count(rows: DataFrame, keys, only: str) -> DataFrame:
         if found:
             yield _counted(found)
 
-    counted = rows.filter(only).select("text", "toxic").mapInArrow(run, "key string, toxic int, n bigint")
+    counted = rows.filter(only).select("text", "toxic").mapInArrow(tidy("toxicity", run), "key string, toxic int, n bigint")
     return counted.groupBy("key").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("toxic") == 1, F.lit(0)).otherwise(F.col("n"))).alias("clean"),
@@ -269,6 +269,7 @@ def learn_lexicon(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
 
 
 _BUILT: dict[int, object] = {}
+keeps("toxicity", _BUILT.clear)
 
 
 def _automaton(weights: dict[str, float]):
@@ -297,7 +298,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "matches", "total", "length"])
 
     chosen = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id bigint, score double, matches bigint, total double, length bigint")
+    return chosen.mapInArrow(tidy("toxicity", run), "doc_id bigint, score double, matches bigint, total double, length bigint")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -314,4 +315,4 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD,
                 batch = batch.filter(pa.array(kept, pa.bool_()))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy("toxicity", run), docs.schema)
