@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession, types as T
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from raresift.constants import ID_COLUMN, LABEL_COLUMN, SPECIALIST_THRESHOLD  # noqa: E402
+from raresift.constants import GATE_THRESHOLD, ID_COLUMN, LABEL_COLUMN, SPECIALIST_THRESHOLD  # noqa: E402
 from raresift.operators.cleaning import coerce_features  # noqa: E402
 from raresift.operators.curation import row_delta  # noqa: E402
 from raresift.operators.models import CascadeConfig  # noqa: E402
@@ -52,6 +52,10 @@ def parser() -> argparse.ArgumentParser:
         made.add_argument("--known", nargs="*", default=[], help="tables whose ids are skipped")
         made.add_argument("--done", nargs="*", default=[], help="earlier verdicts whose ids are skipped")
         made.add_argument("--output-format", default="parquet")
+        made.add_argument("--gate-threshold", type=float, default=GATE_THRESHOLD)
+        made.add_argument(
+            "--specialist-threshold", default=str(SPECIALIST_THRESHOLD), help="a number, or 'best' for the one found in training"
+        )
         if name == "score":
             made.add_argument("--shards", type=int, default=None)
         else:
@@ -61,6 +65,14 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _threshold(asked: str, best: float | None) -> float:
+    if asked != "best":
+        return float(asked)
+    if best is None:
+        raise ValueError("the bundle was saved without a best threshold")
+    return best
+
+
 def run(spark: SparkSession, options: argparse.Namespace) -> object:
     if options.job == "train":
         features = preset(options.preset)
@@ -85,15 +97,16 @@ def run(spark: SparkSession, options: argparse.Namespace) -> object:
         first, second, target = (read_table(spark, getattr(options, name), options.format) for name in ("first", "second", "target"))
         return {"removed": rewrite_without(target, row_delta(first, second), options.output, format_of(options.target, options.format))}
     bundle = load_bundle(spark, options.bundles, options.name)
+    limits = {"gate": options.gate_threshold, "threshold": _threshold(options.specialist_threshold, bundle.best_threshold)}
     known = read_known_lists(spark, options.known, options.done, options.id)
     if options.job == "score":
         catalogue = read_catalogue(spark, options.catalogue, bundle.features, options.id, fmt=options.format)
-        return score_to_files(catalogue, bundle, options.output, options.id, known, options.output_format, options.shards)
+        return score_to_files(catalogue, bundle, options.output, options.id, known, options.output_format, options.shards, **limits)
     kind = format_of(options.catalogue, options.format)
     schema = read_table(spark, options.catalogue, kind).schema
     texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema]) if kind == "csv" else schema
     source = stream_catalogue(spark, options.catalogue, texts, kind)
-    query = score_stream(source, bundle, options.output, options.checkpoint, options.id, known, options.output_format)
+    query = score_stream(source, bundle, options.output, options.checkpoint, options.id, known, options.output_format, **limits)
     query.awaitTermination()
     return {"batches": len(query.recentProgress)}
 

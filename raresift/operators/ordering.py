@@ -171,6 +171,9 @@ def _against(df: DataFrame, group: str, key: str, cutoffs: Mapping[object, Cutof
 def _inside(rows: DataFrame, state: Mapping[object, tuple[str, int, int]], depth: int) -> DataFrame:
     """Rows of the groups still open whose key starts like the group's edge bucket."""
     prefix = F.substring("k", 1, depth) if depth else F.lit("")
+    if len(state) == 1:  # a join on a constant group would become a nested loop
+        ((name, (edge, _, _)),) = state.items()
+        return rows.filter((F.col("g") == F.lit(name)) & (prefix == F.lit(edge))).select("g", "k")
     table = small_table(
         rows.sparkSession,
         {"g": list(state), "edge": [edge for edge, _, _ in state.values()]},

@@ -43,10 +43,14 @@ def score(
 
 
 def messages(
-    df: DataFrame, bundle: Bundle, id_col: str = ID_COLUMN, threshold: float = SPECIALIST_THRESHOLD
+    df: DataFrame,
+    bundle: Bundle,
+    id_col: str = ID_COLUMN,
+    gate: float = GATE_THRESHOLD,
+    threshold: float = SPECIALIST_THRESHOLD,
 ) -> DataFrame:
     """``id, message`` for every complete row."""
-    routed = route(scored_rows(df, bundle, id_col), threshold=threshold)
+    routed = route(scored_rows(df, bundle, id_col), gate=gate, threshold=threshold)
     return routed.select(F.col(id_col).cast("string").alias("id"), verdict_message(bundle.labels).alias("message"))
 
 
@@ -58,10 +62,12 @@ def score_to_files(
     known: Sequence[tuple[DataFrame, str]] = (),
     fmt: str = "parquet",
     shards: int | None = None,
+    gate: float = GATE_THRESHOLD,
+    threshold: float = SPECIALIST_THRESHOLD,
 ) -> dict[str, int]:
     """Score and write; rows written and rows per status are counted along the way."""
     progress = Observation("verdicts")
-    counted = score(df, bundle, id_col, known).observe(
+    counted = score(df, bundle, id_col, known, gate, threshold).observe(
         progress,
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("status") == "OK").alias("ok"),

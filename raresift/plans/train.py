@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -148,7 +148,7 @@ def train(
         "generalist": generalist_diagnostics(scored, "code", rare),
         "contaminant_flow": contaminant_flow(bundle.cascade.score(bundle.filtered(noise)), rare_code=MERGED_RARE_CODE),
     }
-    return Trained(bundle, threshold, prepared.profile, reports)
+    return Trained(replace(bundle, best_threshold=threshold), threshold, prepared.profile, reports)
 
 
 def _filters(training, testing, noise, scaler, features, id_col, labels, config) -> tuple[Bundle, DataFrame]:

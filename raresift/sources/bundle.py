@@ -35,6 +35,8 @@ class Bundle:
     threshold: float | None
     cascade: Cascade
     labels: LabelCodes | None = None
+    #: Specialist threshold of the best F1 in the training sweep.
+    best_threshold: float | None = None
 
     @property
     def features(self) -> list[str]:
@@ -75,6 +77,7 @@ def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
         "labels": list(bundle.labels.labels) if bundle.labels else None,
         "models": models,
         "filter": description,
+        "best_threshold": bundle.best_threshold,
     }
     metadata = {
         "features": bundle.features,
@@ -121,4 +124,5 @@ def load_bundle(spark: SparkSession, folder: str, name: str) -> Bundle:
         threshold=metadata.get("ae_threshold"),
         cascade=Cascade(features, **models, rare_codes=tuple(metadata.get("rare_classes", ()))),
         labels=LabelCodes(tuple(parameters["labels"])) if parameters["labels"] else None,
+        best_threshold=parameters.get("best_threshold"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from raresift.constants import ID_COLUMN
+from raresift.constants import GATE_THRESHOLD, ID_COLUMN, SPECIALIST_THRESHOLD
 from raresift.plans.score import score
 from raresift.sources.bundle import Bundle
 
@@ -34,13 +34,15 @@ def score_stream(
     known: Sequence[tuple[DataFrame, str]] = (),
     fmt: str = "parquet",
     once: bool = True,
+    gate: float = GATE_THRESHOLD,
+    threshold: float = SPECIALIST_THRESHOLD,
 ) -> StreamingQuery:
     """Score every new file exactly once and append the verdicts.
 
     The checkpoint remembers which files are done. With ``once`` the query stops when nothing new is left.
     """
     writer = (
-        score(source, bundle, id_col, known)
+        score(source, bundle, id_col, known, gate, threshold)
         .writeStream.outputMode("append")
         .format(fmt)
         .option("checkpointLocation", checkpoint)

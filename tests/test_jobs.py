@@ -263,3 +263,17 @@ def test_rewrite(spark, tmp_path):
 def test_write_without_shards(spark, tmp_path, system, catalogue):
     write_verdicts(score(catalogue, system.bundle), str(tmp_path / "v"), compact=False)
     assert read_verdicts(spark, str(tmp_path / "v")).count() == 760
+
+
+def test_thresholds_reach_the_verdicts(spark, system, catalogue, tmp_path):
+    save_bundle(spark, system.bundle, str(tmp_path))
+    loaded = load_bundle(spark, str(tmp_path), "trial")
+    assert loaded.best_threshold == system.threshold
+
+    def stages(name, **limits):
+        score_to_files(catalogue, loaded, str(tmp_path / name), **limits)
+        return {row.stage for row in read_verdicts(spark, str(tmp_path / name)).select("stage").distinct().collect()}
+
+    assert "Confirmed_Rare" in stages("usual")
+    assert "Confirmed_Rare" not in stages("strict", threshold=1.1)
+    assert stages("shut", gate=1.1) == {"Filter", "Direct_Generalist"}
