@@ -100,7 +100,7 @@ def test_delta_is_a_hash_join(items):
 def test_no_registered_query_uses_nested_loops(spark, folder):
     import __spark_entry__ as registered
 
-    light = ["exclude_known", "exclude_known_stats", "row_delta", "delete_rows", "deletion_counts", "verdict", "confusion", "factorize", "balanced_bootstrap", "score_catalogue"]
+    light = ["exclude_known", "exclude_known_stats", "row_delta", "delete_rows", "deletion_counts", "verdict", "confusion", "factorize", "balanced_bootstrap", "score_catalogue", "cap_sample"]
     for name in light:
         text = plan(registered.queries()[name](spark, folder))
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text, name
