@@ -293,8 +293,15 @@ def join(
         & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
         & _could_link("a_", "b_", percent)
     )
+    # A list shows the pair in either order; one order brings all its shared entries together.
+    swapped = F.col("a_node") > F.col("b_node")
+    ordered = [
+        F.when(swapped, F.col(f"{other}_{name}")).otherwise(F.col(f"{side}_{name}")).alias(f"{side}_{name}")
+        for side, other in ("ab", "ba")
+        for name in ("node", "n", "matches", "last")
+    ]
     sides = [f"{side}_{name}" for side in "ab" for name in ("n", "matches", "last")]
-    counted = a.join(b, "token").filter(meeting).groupBy("a_node", "b_node").agg(
+    counted = a.join(b, "token").filter(meeting).select(*ordered).groupBy("a_node", "b_node").agg(
         F.count(F.lit(1)).alias("c"), *[F.max(name).alias(name) for name in sides]
     )
     overlap = _least_overlap(F.col("a_n"), F.col("b_n"), percent)
