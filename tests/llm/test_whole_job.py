@@ -4,9 +4,46 @@ from __future__ import annotations
 
 import random
 
-from test_operators import brute_join
+import pytest
+from test_operators import brute_join, brute_repeats
 
-from raresift.llm import ngram_join
+from raresift.llm import ngram_join, substrings
+
+
+# 7
+@pytest.mark.parametrize("marked", [True, False])
+def test_repeats_spread_hot_anchors(make, monkeypatch, marked):
+    """One passage between different neighbours: its border anchors have as many classes as there are documents."""
+    draw = random.Random(7)
+    noise = lambda: "".join(draw.choice("abcdefgh") for _ in range(40))
+    passage = "".join(draw.choice("klmnopqr") for _ in range(120))
+    heads, tails = [noise() for _ in range(3)], [noise() for _ in range(3)]
+    texts = [draw.choice([*heads, noise()]) + passage + draw.choice([*tails, noise()]) for _ in range(120)]
+    ids = draw.sample(range(1000), len(texts))
+    largest, spread = [], []
+    solve, hot, marks = substrings.class_verdicts, substrings.hot_verdicts, substrings.shared_anchors
+
+    def gathered(classes, length):
+        largest.append(classes.groupBy("anchor").count().agg({"count": "max"}).first()[0] or 0)
+        return solve(classes, length)
+
+    def scattered(classes, length):
+        spread.append(classes.count())
+        return hot(classes, length)
+
+    def unmarked(*args):
+        shared, mixed = marks(*args)
+        return shared, mixed if marked else mixed * 0
+
+    monkeypatch.setattr(substrings, "HOT_CLASSES", 20)
+    monkeypatch.setattr(substrings, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(substrings, "class_verdicts", gathered)
+    monkeypatch.setattr(substrings, "hot_verdicts", scattered)
+    monkeypatch.setattr(substrings, "shared_anchors", unmarked)
+    names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = substrings.remove_repeats(make(texts, ids), with_text=False).collect()
+    assert {r.doc_id: tuple(r[n] for n in names) for r in found} == brute_repeats(dict(zip(ids, texts, strict=True)), 50)
+    assert max(largest) < 20 and max(spread) >= 20
 
 
 # 8
