@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. Text lengths (without link text) are summed over sliding
-windows of lines. Text surges where a window passes a threshold and dives where a window is empty; the text between the
-surge and the dive that enclose most text is kept. Elements that are page furniture by their name, class, id or
-role (menus, headers, footers, sidebars, notices, adverts, forms, comments) count as empty lines, wide enough to make
-the text dive.
+windows of lines. Text surges where a window passes a threshold and dives where a window is empty. Inside an article
+element that holds enough of the page's text all such stretches are kept, and the short lines between them. Elsewhere
+stretches are joined where only removed furniture lies between them or where they share a container, and the joined
+stretches with most text are kept. Elements that are page furniture by their name, class, id or role (menus, headers,
+footers, sidebars, notices, adverts, forms, comments) are left out. Runs of link-only lines between stretches are no
+text.
 
 Defined cases: null and empty pages give empty text; unclosed and crossing tags end with their parent; an element of
 furniture that is never closed is not dropped; equal rows give equal rows; further columns are not read; an empty
@@ -37,6 +39,8 @@ BLOCKS = (
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody "
     "td tfoot th thead tr ul"
 ).split()
+#: Elements that hold paragraphs.
+CONTAINERS = "article blockquote center dd div fieldset main section td".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 CELLS = ("br", "wbr")
 
@@ -64,13 +68,16 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _MARKS, _RAW, _FURNITURE, _BLOCKS, _VOID = map(frozenset, (MARKS, RAW, FURNITURE, BLOCKS, VOID))
+_CONTAINERS = frozenset(CONTAINERS)
 
 
 @dataclass
 class Line:
     text: str
     weight: int  # characters outside links
-    article: bool = False
+    article: int = 0  # number of the outermost article element around, or 0
+    container: int = 0  # number of the element that holds the line's paragraph, or 0
+    furniture: bool = False  # an empty line where furniture stood
 
 
 @dataclass
@@ -78,16 +85,26 @@ class _State:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     lines: list[Line] = field(default_factory=list)
+    held: list[tuple[str, int]] = field(default_factory=list)  # open containers
 
-    def flush(self, article: bool) -> None:
+    def flush(self, article: int) -> None:
         if self.parts:
             text = _SPACE.sub(" ", unescape("".join(self.parts))).strip()
             if text:
-                self.lines.append(Line(text, max(0, len(text) - self.linked), article))
+                self.lines.append(Line(text, max(0, len(text) - self.linked), article, self.held[-1][1] if self.held else 0))
         self.parts, self.linked = [], 0
 
-    def gap(self) -> None:
-        self.lines.extend(Line("", 0) for _ in range(WINDOW))
+    def gap(self, furniture: bool = False) -> None:
+        self.lines.extend(Line("", 0, furniture=furniture) for _ in range(WINDOW))
+
+    def enter(self, name: str, number: int) -> None:
+        self.held.append((name, number))
+
+    def leave(self, name: str) -> None:
+        for place in range(len(self.held) - 1, -1, -1):
+            if self.held[place][0] == name:
+                del self.held[place:]
+                return
 
 
 def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
@@ -139,7 +156,7 @@ def page_lines(page: str) -> list[Line]:
     """The text lines of a page in order, with empty lines where furniture stood."""
     tags = _tags(page)
     state = _State()
-    at, place, article, link_from = 0, 0, 0, None
+    at, place, depth, article, link_from = 0, 0, 0, 0, None
     while place < len(tags):
         start, end, closes, name, attributes = tags[place]
         if start > at:
@@ -154,38 +171,46 @@ def page_lines(page: str) -> list[Line]:
             elif link_from is not None:
                 state.linked += sum(map(len, state.parts[link_from:]))
                 link_from = None
-        elif name and not closes and name not in _VOID and _is_furniture(name, attributes, article > 0):
+        elif name and not closes and name not in _VOID and _is_furniture(name, attributes, depth > 0):
             last = _closing(tags, place - 1)
             if last is not None:
-                state.flush(article > 0)
+                state.flush(article)
                 link_from = None
-                if article == 0:
-                    state.gap()
+                if depth == 0:
+                    state.gap(furniture=True)
                 at, place = tags[last][1], last + 1
         elif name in _BLOCKS:
-            state.flush(article > 0)
+            state.flush(article)
             link_from = None
+            if name in _CONTAINERS:
+                state.leave(name) if closes else state.enter(name, place)
             if name in ("article", "main"):
                 state.gap()
-                article = article - 1 if closes and article else article + (not closes)
+                depth = depth - 1 if closes and depth else depth + (not closes)
+                article = (article or place) if depth else 0
     if at < len(page):
         state.parts.append(page[at:])
-    state.flush(article > 0)
+    state.flush(article)
     return state.lines
 
 
-def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:
-    """Lines between the surge and the dive that enclose most text."""
-    whole = sum(line.weight for line in lines)
-    inside = sum(line.weight for line in lines if line.article)
-    if inside > 0 and inside >= ARTICLE_SHARE * whole:
-        lines = [line if line.article else Line("", 0) for line in lines]
-    weights = [line.weight for line in lines]
+def _trusted(lines: list[Line]) -> int:
+    """Number of the article element that is trusted, or 0."""
+    sizes: dict[int, int] = {}
+    for line in lines:
+        sizes[line.article] = sizes.get(line.article, 0) + line.weight
+    whole = sum(sizes.values())
+    inside = whole - sizes.pop(0, 0)
+    return max(sizes, key=sizes.get) if inside > 0 and inside >= ARTICLE_SHARE * whole else 0
+
+
+def _stretches(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
+    """First and end line of each stretch between a surge and a dive."""
     sums = [sum(weights[place : place + window]) for place in range(len(weights))]
     if not sums or max(sums) == 0:
         return []
     threshold = min(surge, max(sums))
-    best, best_size = (0, 0), -1
+    found = []
     place = 0
     while place < len(sums):
         if sums[place] < threshold:
@@ -197,11 +222,46 @@ def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE_CHARS
         last = place
         while last < len(sums) and sums[last] > 0:
             last += 1
-        size = sum(weights[first:last])
-        if size > best_size:
-            best, best_size = (first, last), size
+        found.append((first, last))
         place = last + 1
-    return [line.text for line in lines[best[0] : best[1]] if line.text]
+    return found
+
+
+def _groups(lines: list[Line], stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last stretch of each group of stretches that belong together."""
+    held = [{line.container for line in lines[first:last] if line.weight} for first, last in stretches]
+    ends: dict[int, int] = {}  # the last stretch of each container
+    for number, containers in enumerate(held):
+        ends.update(dict.fromkeys(containers - {0}, number))
+    groups = []
+    start = reach = 0
+    for number, containers in enumerate(held):
+        if number > reach:
+            between = lines[stretches[number - 1][1] : stretches[number][0]]
+            near = all(line.furniture or line.weight for line in between) or containers & held[number - 1]
+            if not near:
+                groups.append((start, reach))
+                start = number
+            reach = number
+        reach = max([reach, *(ends[container] for container in containers if container)])
+    return [*groups, (start, reach)]
+
+
+def main_lines(lines: list[Line], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:
+    """All stretches of the trusted article; without one, the joined stretches that enclose most text."""
+    article = _trusted(lines)
+    if article:
+        lines = [line if line.article == article else Line("", 0) for line in lines]
+    weights = [line.weight for line in lines]
+    stretches = _stretches(weights, window, surge)
+    if not stretches:
+        return []
+    groups = [(0, len(stretches) - 1)] if article else _groups(lines, stretches)
+    sizes = [sum(weights[stretches[a][0] : stretches[b][1]]) for a, b in groups]
+    a, b = groups[sizes.index(max(sizes))]
+    inside = {place for first, last in stretches[a : b + 1] for place in range(first, last)}
+    places = range(stretches[a][0], stretches[b][1])
+    return [lines[place].text for place in places if lines[place].text and (weights[place] or place in inside)]
 
 
 def main_text(page: str | None) -> str:

@@ -7,7 +7,31 @@ import random
 import pytest
 from test_operators import brute_join, brute_repeats
 
-from raresift.llm import ngram_join, substrings
+from raresift.llm import ngram_join, pages, substrings
+
+
+# 10
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div><p>A</p><aside>Side</aside><p>B</p></div>",
+        "<div><p>A</p></div><div class='ad'>Buy</div><div><p>short</p></div><form>Sign up</form><div><p>B</p></div>",
+        "<div><p>A</p><ul>L</ul><p>B</p></div><ul>L</ul><div><p>C</p></div>",
+        "<div><p>A</p><ul>L</ul><div><p>short</p></div><ul>L</ul><p>B</p></div>",
+        "<article><p>A</p><ul>L</ul><p>short</p><ul>L</ul><p>B</p></article><p>C</p>",
+        "<main><p>A</p><article><p>B</p></article></main><p>C</p>",
+        "<article><p>A</p><p>B</p></article><article><p>C</p></article>",
+    ],
+)
+def test_main_text_is_not_cut(page):
+    prose = {name: " ".join([f"Sentence {name} of the text."] * size) for name, size in (("A", 9), ("B", 7), ("C", 5))}
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(4))
+    whole = page.replace(">L<", f">{links}<")
+    for name, text in prose.items():
+        whole = whole.replace(f">{name}<", f">{text}<")
+    expected = [prose["A"], *(["short"] if "short" in page else []), prose["B"]]
+    lines = pages.main_text(whole).split("\n\n")
+    assert [line for line in lines if not line.startswith("Link ")] == expected
 
 
 # 7
