@@ -30,14 +30,11 @@ from raresift.llm.text import keeps, prepare, tidy
 from raresift.session import materialise
 
 FIT_ROWS = 60_000
-#: Terms that pass to the second count; those in most toxic documents come first.
-CANDIDATE_TERMS = 20_000
 LEAST_DOCS = 5
 LEAST_WEIGHT = 2.5
 #: Log-likelihood ratio of a term's counts, against chance.
 LEAST_EVIDENCE = 30.0
 STEMS = (4, 5, 6, 7)
-MOST_PHRASES = 5_000
 THRESHOLD = 0.7
 
 # Letters that look like Latin ones.
@@ -198,6 +195,17 @@ def _evidence(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return 2 * sum(seen * math.log(seen * total / (row * size)) for (seen, size), row in zip(cells, rows, strict=True) if seen)
 
 
+def _passes(n_toxic: int, n_clean: int) -> Column:
+    """The rules of ``choose_terms`` on counted rows, a little wider, so that rounding cannot lose a term."""
+    toxic, clean, total = F.col("toxic"), F.col("clean"), n_toxic + n_clean
+    weight = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+    seen = toxic + clean
+    cells = ((toxic, seen, n_toxic), (clean, seen, n_clean), (n_toxic - toxic, total - seen, n_toxic), (n_clean - clean, total - seen, n_clean))
+    parts = [F.when(n > 0, n * F.log(n.cast("double") * total / (row * size))).otherwise(0.0) for n, row, size in cells]
+    evidence = 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+    return (toxic >= LEAST_DOCS) & (weight >= LEAST_WEIGHT - 1e-6) & (evidence >= LEAST_EVIDENCE - 1e-6)
+
+
 def choose_terms(counts: Sequence[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
     """Weights of the terms that mark toxic documents; a beginning replaces what it covers."""
     weights: dict[str, float] = {}
@@ -243,12 +251,8 @@ def learn_lexicon(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     given = frozenset(" ".join(phrase.lower().split()) for phrase in exceptions)
     if not n_toxic or not n_clean:
         return Lexicon(exceptions=given)
-    common = _count(rows, terms, "toxic = 1").filter(F.col("toxic") >= LEAST_DOCS)
-    candidates = {row.key: row.toxic for row in common.orderBy(F.desc("toxic"), "key").limit(CANDIDATE_TERMS).collect()}
-    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(candidates))
-    clean = _count(rows, lambda text: terms(text) & wanted.value, "toxic <> 1").collect()  # as many as candidates
-    in_clean = {row.key: row.clean for row in clean}
-    weights = choose_terms([(k, n, in_clean.get(k, 0)) for k, n in candidates.items()], n_toxic, n_clean)
+    common = _count(rows, terms, "true").filter(_passes(n_toxic, n_clean))
+    weights = choose_terms([tuple(row) for row in common.orderBy(F.desc("toxic"), "key").collect()], n_toxic, n_clean)
     if not weights:
         return Lexicon(exceptions=given)
 
@@ -260,7 +264,7 @@ def learn_lexicon(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     harmless = _count(rows, phrases, "true").filter(
         (F.col("clean") >= 3) & (F.col("clean") * n_toxic > 20 * F.col("toxic") * n_clean)
     )
-    learnt = harmless.orderBy(F.desc("clean"), "key").limit(MOST_PHRASES).collect()
+    learnt = harmless.collect()
     lexicon = Lexicon(weights, given | {row.key for row in learnt})
     scored = score(rows, lexicon).join(rows.select("doc_id", "toxic"), "doc_id")
     shaped = scored.select((F.col("toxic") == 1).cast("double"), "total", F.col("length").cast("double")).collect()

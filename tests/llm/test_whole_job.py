@@ -7,7 +7,7 @@ import random
 import pytest
 from test_operators import brute_join, brute_repeats
 
-from raresift.llm import ngram_join, pages, substrings
+from raresift.llm import ngram_join, pages, substrings, toxicity
 
 
 # 10
@@ -34,6 +34,18 @@ def test_main_text_is_not_cut(page):
     assert [line for line in lines if not line.startswith("Link ")] == expected
 
 
+# 1
+def test_toxicity_weighs_rare_terms(spark):
+    """An insult in few toxic documents is found beside any number of words that more of them hold."""
+    rows = []
+    for i in range(300):
+        common = " ".join("".join(chr(97 + w // 26**place % 26) for place in range(4)) for w in range(i % 2, 22_000, 2))
+        toxic = i < 30
+        rows.append((i, common + (" wretch" if i < 10 else "") if toxic or i < 40 else "calm words", int(toxic)))
+    learnt = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4))
+    assert "wretch" in learnt.weights or "wret*" in learnt.weights
+
+
 # 7
 @pytest.mark.parametrize("marked", [True, False])
 def test_repeats_spread_hot_anchors(make, monkeypatch, marked):
