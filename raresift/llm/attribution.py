@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from raresift.llm.encoding import LONGEST_KEPT, load
+from raresift.llm.encoding import LONGEST_KEPT, added_strings, load
 from raresift.llm.text import prepare
 
 RULES = ("start", "most", "share")
@@ -39,11 +39,15 @@ SCHEMA = "doc_id bigint, section int, start bigint, end bigint, n_tokens double,
 
 
 def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
-    """For a task: the start and end character of every token of a text."""
+    """For a task: the start and end character of every token. Texts with an added token are encoded whole."""
     tokenizer = load(path)
+    added = added_strings(path)
     cache = _SPANS.setdefault(path, {})
 
     def run(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if any(string in text for string in added):
+            pairs = np.array(tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+            return pairs[:, 0], pairs[:, 1]
         units = _UNIT.findall(text)
         if not units:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -20,16 +20,19 @@ _CACHES: dict[str, dict[bytes, bytes]] = {}
 
 
 def load(path: str):
-    """The tokenizer, loaded once per process; strings of its special tokens count as ordinary text."""
+    """The tokenizer as its file has it, loaded once per process."""
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _LOADED[path] = tokenizer
+        _LOADED[path] = Tokenizer.from_file(path)
     return _LOADED[path]
 
 
+def added_strings(path: str) -> list[str]:
+    """Strings that the tokenizer takes as units of their own before it looks at words."""
+    return [token.content for token in load(path).get_added_tokens_decoder().values()]
+
+
 def id_width(path: str) -> int:
     """Bytes per id: two where every id fits."""
     return 2 if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
@@ -60,16 +63,22 @@ def word_encoder(path: str) -> Callable[[], Callable[[list[bytes]], list[bytes]]
     """For a task: a function from UTF-8 texts to packed ids (unsigned, little-endian, ``id_width`` bytes each).
 
     For tokenizers that drop white space and case. Texts are cut at ASCII white space, which such a tokenizer never
-    joins over, and A-Z are lowered first, so that fewer words differ.
+    joins over, and A-Z are lowered first, so that fewer words differ. A text with an added token in any case is
+    encoded whole, by the library.
     """
 
     def make() -> Callable[[list[bytes]], list[bytes]]:
         tokenizer = load(path)
         kind = f"<u{id_width(path)}"
         cache = _CACHES.setdefault(path, {})
+        added = [string.lower().encode() for string in added_strings(path)]
 
         def encode(texts: list[bytes]) -> list[bytes]:
-            split = [text.lower().split() for text in texts]
+            lowered = [text.lower() for text in texts]
+            whole = [place for place, text in enumerate(lowered) if any(string in text for string in added)]
+            for place in whole:
+                lowered[place] = b""
+            split = [text.split() for text in lowered]
             known = set().union(*split)
             fresh = list(known.difference(cache))
             if len(cache) + len(fresh) > MOST_WORDS:
@@ -81,6 +90,8 @@ def word_encoder(path: str) -> Callable[[], Callable[[list[bytes]], list[bytes]]
             for word in fresh:
                 if len(word) > LONGEST_KEPT:
                     del cache[word]
+            for place in whole:
+                coded[place] = np.array(tokenizer.encode(texts[place].decode(), add_special_tokens=False).ids, kind).tobytes()
             return coded
 
         return encode

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from test_operators import brute_join, brute_repeats
 
-from raresift.llm import ngram_join, pages, substrings, toxicity
+from raresift.llm import attribution, encoding, ngram_join, pages, substrings, toxicity
+from raresift.llm.queries import tokenizer_path
+
+
+# 2, 5
+def test_added_tokens_are_encoded_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["end of <|endoftext|> text", "a<|startoftext|>b  <|endoftext|><|endoftext|>", "<|ENDOFTEXT|> plain", "plain"]
+    path = tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    kind = f"<u{encoding.id_width(path)}"
+    for text, coded in zip(texts, encoding.word_encoder(path)()([text.encode() for text in texts]), strict=True):
+        assert np.frombuffer(coded, kind).tolist() == library.encode(text, add_special_tokens=False).ids
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, find = Tokenizer.from_file(path), attribution.spans(path)
+    for text in texts:
+        pairs = library.encode(text, add_special_tokens=False).offsets
+        assert list(zip(*(side.tolist() for side in find(text)), strict=True)) == pairs
 
 
 # 10
