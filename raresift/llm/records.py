@@ -4,7 +4,8 @@ A shard is a file of frames. One frame, all numbers little-endian::
 
     length      8 bytes   bytes of the payload
     check       4 bytes   masked CRC-32 of the length
-    payload               document id (8 bytes, signed), bytes per token id (1 byte: 2 or 4), token ids (unsigned)
+    payload               document id (8 bytes, signed), bytes per token id (1 byte: 2 or 4; 128 is added where the id is
+                          missing, which is then written as 0), token ids (unsigned)
     check       4 bytes   masked CRC-32 of the payload
     line feed   1 byte    end mark, set by Spark's text sink
 
@@ -13,7 +14,7 @@ useful. Shards are written by Spark's text sink in ascending document order (sha
 they go wherever Spark can write and failed or doubled tasks leave nothing behind. The index (Parquet) has one row
 per record: ``shard, doc_id, offset, length, n_tokens``.
 
-Defined cases: a null or empty text is the end id alone; equal ids and rows are kept as they are; further columns are
+Defined cases: a null or empty text is the end id alone; rows without an id keep a missing id and come first; equal ids and rows are kept as they are; further columns are
 not read; an empty table gives no records and an empty index.
 """
 
@@ -37,6 +38,8 @@ _MASK_ADD = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _TAIL = struct.Struct("<I")
 _RECORD_HEAD = struct.Struct("<qB")
+#: Flag beside the bytes per token id: the document has no id.
+_NO_ID = 128
 END_MARK = b"\n"
 #: Bytes of text per shard, roughly; a shard is read by one task.
 SHARD_BYTES = 24_000_000
@@ -54,8 +57,10 @@ def frame(payload: bytes) -> bytes:
     return b"".join((length, _TAIL.pack(masked(length)), payload, _TAIL.pack(masked(payload))))
 
 
-def record(doc_id: int, width: int, ids: bytes) -> bytes:
+def record(doc_id: int | None, width: int, ids: bytes) -> bytes:
     """A payload."""
+    if doc_id is None:
+        return _RECORD_HEAD.pack(0, width | _NO_ID) + ids
     return _RECORD_HEAD.pack(doc_id, width) + ids
 
 
@@ -113,15 +118,19 @@ def write_records(
                 made = [frame(record(doc_id, width, x + last)) for doc_id, x in zip(ids, coded, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    ordered = chosen.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = chosen.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(
+        F.asc_nulls_first("doc_id"), "text"
+    )
     frames = ordered.mapInArrow(run, "value binary")
     # A cast keeps the bytes as they are; the text sink writes them and its line feed.
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
-def unpack(payload: memoryview) -> tuple[int, np.ndarray]:
-    """Document id and token ids (unsigned 32-bit) of a record."""
+def unpack(payload: memoryview) -> tuple[int | None, np.ndarray]:
+    """Document id, or None, and token ids (unsigned 32-bit) of a record."""
     doc_id, width = _RECORD_HEAD.unpack_from(payload)
+    if width & _NO_ID:
+        doc_id, width = None, width ^ _NO_ID
     return doc_id, np.frombuffer(payload, f"<u{width}", offset=_RECORD_HEAD.size).astype("<u4")
 
 
@@ -181,7 +190,7 @@ def encode_to_records(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     return summed.select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "length")
 
 
-def record_at(content: bytes | memoryview, offset: int, length: int) -> tuple[int, np.ndarray]:
+def record_at(content: bytes | memoryview, offset: int, length: int) -> tuple[int | None, np.ndarray]:
     """One record of a shard by its index entry: document id and token ids."""
     end = offset + _HEAD.size + length + _TAIL.size + 1
     _, payload = next(read_frames(memoryview(content)[offset:end]))

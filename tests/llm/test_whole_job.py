@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from test_operators import brute_join, brute_repeats
 
-from raresift.llm import attribution, encoding, ngram_join, pages, substrings, toxicity
+from raresift.llm import attribution, encoding, ngram_join, pages, records, substrings, toxicity
 from raresift.llm.queries import tokenizer_path
 
 
@@ -53,6 +53,18 @@ def test_main_text_is_not_cut(page):
     assert [line for line in lines if not line.startswith("Link ")] == expected
 
 
+def test_records_without_id(make, tmp_path):
+    texts, ids = ["one", "two words", None, "three more words", "five"], [7, None, None, -3, 0]
+    read = records.encode_to_records(make(texts, ids), tokenizer_path("word_bpe_49k.json"), 1, f"file://{tmp_path}/r")
+    rows = sorted(read.collect(), key=lambda row: row.start)
+    assert [row.doc_id for row in rows] == [None, None, -3, 0, 7]
+    assert [row.n_tokens for row in rows] == [1, 3, 4, 2, 2]
+    assert [row.start for row in rows] == [0, 1, 4, 8, 10]
+    for row in rows:
+        with open(row.shard.removeprefix("file:"), "rb") as file:
+            assert records.record_at(file.read(), row.offset, row.length)[0] == row.doc_id
+
+
 # 1
 def test_toxicity_weighs_rare_terms(spark):
     """An insult in few toxic documents is found beside any number of words that more of them hold."""
