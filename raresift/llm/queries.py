@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.llm import attribution, mixing, ngram_join, pages, quality, records, sentencepieces, substrings, topk, toxicity
+from raresift.llm import attribution, licenses, mixing, ngram_join, pages, quality, records, sentencepieces, substrings, topk, toxicity
+from raresift.llm.license_sql import license_sql
 from raresift.plans.registry import Query, Runner
 
 QUERIES: dict[str, Query] = {}
@@ -113,3 +114,9 @@ def op3_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(_table(spark, folder, "documents"), size=4, percent=85)
+
+
+@query("op13_license_scan", license_sql())
+def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.detect(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
