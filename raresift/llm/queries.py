@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.llm import attribution, licenses, mixing, ngram_join, pages, quality, records, sentencepieces, substrings, topk, toxicity
+from raresift.llm import attribution, lexical, licenses, mixing, ngram_join, pages, quality, records, sentencepieces, substrings, topk, toxicity
 from raresift.llm.license_sql import license_sql
 from raresift.plans.registry import Query, Runner
 
@@ -120,3 +120,32 @@ def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op13_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.detect(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+UPPER, LOWER = licenses.UPPER, licenses.LOWER
+OP11 = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT row, doc_id, terms, len(terms) AS n FROM texts WHERE len(terms) > 0),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sized),
+counted AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM sized) GROUP BY ALL),
+held AS (SELECT term, count(*) AS df FROM counted GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term
+  FROM benchmark),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM held, sums),
+scored AS (
+  SELECT item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weighed USING (term) JOIN sized USING (row), sums GROUP BY item_id, doc_id, row),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_lexical_search", OP11)
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)

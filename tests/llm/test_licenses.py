@@ -76,13 +76,13 @@ def test_overlaps_equal_sql(make, monkeypatch):
 
 
 def test_odd_texts(make, odd_texts):
-    texts = [*odd_texts, "MIT LICENSE", "mit license\0mit license", "mit ÜBER license", "Kelvin KMIT License", "mit.license " * 20_000]
+    texts = [*odd_texts, "MIT LICENSE", "mit license\0mit license", "mit ÜBER license", "Kelvin KMIT License", "mit.license " * 3_000]
     docs = make(texts + texts, ids=[None, *range(2 * len(texts) - 1)])
     made = licenses.detect(docs)
     assert made.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", *licenses.FOUND]
     assert against_sql(made, docs) == ""
-    row = made.filter("n_base = 20000").first()
-    assert (row.first_word, row.last_word, row.labels) == (0, 39_998, "mit")
+    row = made.filter("n_base = 3000").first()
+    assert (row.first_word, row.last_word, row.labels) == (0, 5_998, "mit")
     assert licenses.detect(make([])).count() == 0
 
 

@@ -345,7 +345,7 @@ def test_pipeline(spark, folder):
 
 def test_every_operator_is_registered():
     names = registered.queries()
-    assert {int(name[2:].split("_")[0]) for name in names if name.startswith("op") and name[2].isdigit()} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in names if name.startswith("op") and name[2].isdigit()} == set(range(1, 14))
     assert "pipeline" in names
 
 
