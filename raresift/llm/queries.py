@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from raresift.llm import attribution, lexical, licenses, mixing, ngram_join, pages, quality, records, sentencepieces, substrings, topk, toxicity
+from raresift.llm import attribution, lexical, licenses, mixing, ngram_join, pages, quality, records, resampling, sentencepieces, substrings, topk, toxicity
 from raresift.llm.license_sql import license_sql
 from raresift.plans.registry import Query, Runner
 
@@ -149,3 +149,48 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 @query("op11_lexical_search", OP11)
 def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=10)
+
+
+OP12 = f"""
+WITH RECURSIVE bits(byte, turn, v) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL
+  SELECT byte, turn + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE turn < 8),
+steps AS (SELECT byte, v FROM bits WHERE turn = 8),
+sources AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{licenses.WORD}') AS words
+  FROM documents),
+placed AS (SELECT row, unnest(words) AS word FROM sources),
+wanted AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{licenses.WORD}')) AS word FROM benchmark),
+state(word, code, place, s) AS (
+  SELECT word, hex(word), 0, CAST(4294967295 AS BIGINT) FROM (SELECT word FROM placed UNION SELECT word FROM wanted)
+  UNION ALL
+  SELECT word, code, place + 1, xor(s >> 8, v) FROM state
+  JOIN steps ON byte = (xor(s, CAST('0x' || substr(code, 2 * place + 1, 2) AS BIGINT)) & 255) WHERE 2 * place < len(code)),
+hashed AS (SELECT word, xor(s, 4294967295) % 10000 AS bucket FROM state WHERE 2 * place = len(code)),
+mine AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS s FROM placed JOIN hashed USING (word) GROUP BY bucket),
+theirs AS (SELECT bucket, CAST(count(*) AS DOUBLE) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM mine) AS all_s, (SELECT coalesce(sum(t), 0) FROM theirs) AS all_t),
+gained AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000)) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM mine LEFT JOIN theirs USING (bucket), totals),
+summed AS (
+  SELECT row, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+  FROM placed JOIN hashed USING (word) JOIN gained USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT row, doc_id, CAST(len(words) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM sources LEFT JOIN summed USING (row)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+able AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS able
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN rank <= 10 * able // 100 THEN rank END AS BIGINT) AS rank
+FROM scored LEFT JOIN able USING (row)
+"""
+
+
+@query("op12_target_resampling", OP12)
+def op12_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    made = resampling.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), percent=10)
+    return made.select("doc_id", "n_features", "weight", "score", "rank")
