@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from raresift.functions.keyed import draw_key
-from raresift.operators.ordering import exact_percentile
 from raresift.operators.sampling import cap_rows
+from raresift.operators.selection import exact_percentile
 from raresift.session import materialise, ship_package
 
 EULER_GAMMA = 0.5772156649015329

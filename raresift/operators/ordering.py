@@ -23,9 +23,6 @@ DIGITS_PER_PASS = 4
 KEY_DIGITS = 32
 # A bucket of keys is hot when it holds this many times the rows it should.
 HOT_FACTOR = 8
-# Quantile sketches are off by at most one part in SKETCH_ACCURACY; brackets leave ten times that on each side.
-SKETCH_ACCURACY = 10_000
-MARGIN = 1e-3
 
 
 def digits_for(rows: int, rows_per_bucket: int = TASK_ROWS) -> int:
@@ -241,79 +238,3 @@ def numbered(df: DataFrame, order: str, number: str, task_rows: int = TASK_ROWS)
         .withColumn(number, F.col(number) + F.col("_before"))
         .drop("_part", "_before")
     )
-
-
-def exact_percentile(df: DataFrame, column: str, percentile: float, task_rows: int = TASK_ROWS) -> float | None:
-    """Percentile with linear interpolation between the two nearest values, as NumPy defines it.
-
-    A quantile sketch brackets the answer, counting proves where it lies, and the bracket is narrowed until
-    its rows fit one task. Missing values are ignored; None when there is no value.
-    """
-    values = df.select(F.col(column).cast("double").alias("v"))
-    near = [max(0.0, percentile / 100.0 - MARGIN), min(1.0, percentile / 100.0 + MARGIN)]
-    whole = values.agg(F.count("v").alias("n"), _sketch(near)).first()
-    if whole.n == 0:
-        return None
-    place = (whole.n - 1) * percentile / 100.0
-    lower = math.floor(place)
-    upper = min(lower + 1, whole.n - 1)
-    first, second = _values_at(values, whole.n, lower, upper, task_rows, whole.q)
-    return first + (second - first) * (place - lower)
-
-
-def _sketch(shares: list[float]):
-    return F.percentile_approx("v", shares, SKETCH_ACCURACY).alias("q")
-
-
-def _values_at(
-    values: DataFrame, rows: int, lower: int, upper: int, task_rows: int, bracket: list[float] | None
-) -> tuple[float, float]:
-    """Values at two neighbouring zero-based ranks.
-
-    Values outside the bracket are blanked, not filtered: a filter would be pushed below the expression that
-    makes the value and evaluate it a second time.
-    """
-    inside, below, margin = rows, 0, MARGIN
-    v = F.col("v")
-    while inside > task_rows:
-        if bracket is None:
-            left = max(0.0, (lower - below) / inside - margin)
-            right = min(1.0, (upper - below + 1) / inside + margin)
-            bracket = values.agg(_sketch([left, right])).first().q
-        low, high = bracket
-        bracket = None
-        seen = values.agg(
-            F.count_if(v < low).alias("under"),
-            F.count_if(v == low).alias("at_low"),
-            F.count_if((v > low) & (v < high)).alias("middle"),
-            F.count_if(v == high).alias("at_high"),
-            F.min(F.when(v > low, v)).alias("after_low"),
-            F.max(F.when(v < high, v)).alias("before_high"),
-        ).first()
-        start = below + seen.under
-        middle = start + seen.at_low
-        end = middle + (seen.middle if low < high else 0)
-        finish = end + (seen.at_high if low < high else 0)
-        if lower < start or upper >= finish:
-            # The sketch missed: widen the bracket.
-            margin *= 10
-            continue
-        if lower >= middle and upper < end:
-            values = values.select(F.when((v > low) & (v < high), v).alias("v"))
-            below, inside = middle, seen.middle
-            continue
-        # At least one rank falls on a bracket end, and its neighbour is next to that end.
-        first = low if lower < middle else (seen.before_high if lower < end else high)
-        second = low if upper < middle else (seen.after_low if upper < end else high)
-        return first, second
-    counted = values.groupBy("v").agg(F.count("v").alias("n")).filter("n > 0")
-    upto = F.sum("n").over(Window.partitionBy().orderBy("v")) + below
-    pair = (
-        counted.withColumn("upto", upto)
-        .agg(
-            F.min(F.when(F.col("upto") > lower, F.col("v"))).alias("first"),
-            F.min(F.when(F.col("upto") > upper, F.col("v"))).alias("second"),
-        )
-        .first()
-    )
-    return pair.first, pair.second

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.constants import ANOMALY_PERCENTILE
 from raresift.functions.values import total
-from raresift.operators.ordering import exact_percentile
+from raresift.operators.selection import exact_percentile
 from raresift.session import ship_package
 
 

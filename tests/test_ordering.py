@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raresift.operators import ordering
-from raresift.operators.ordering import exact_percentile, mark_smallest, numbered, ranked_by_key, smallest_key_cutoffs
+from raresift.operators.ordering import mark_smallest, numbered, ranked_by_key, smallest_key_cutoffs
 
 
 @pytest.fixture(scope="module")
@@ -80,27 +80,3 @@ def test_numbered(spark, task_rows):
     values = spark.createDataFrame([(f"v{i:04d}",) for i in random.Random(1).sample(range(9000), 700)], "v string")
     found = numbered(values, "v", "n", task_rows).collect()
     assert [row.n for row in sorted(found, key=lambda row: row.v)] == list(range(700))
-
-
-TABLES = {
-    "spread": np.random.default_rng(1).normal(size=4001),
-    "third_equal": np.r_[np.full(1500, 0.25), np.random.default_rng(2).uniform(size=3000)],
-    "few_values": np.random.default_rng(3).integers(0, 4, 3000).astype(float),
-    "all_equal": np.full(2000, 7.0),
-    "two": np.array([1.0, 2.0]),
-    "one": np.array([3.0]),
-}
-
-
-@pytest.mark.parametrize("name", TABLES)
-@pytest.mark.parametrize("percentile", [0.0, 1.0, 50.0, 95.0, 99.99, 100.0])
-def test_percentile_equals_numpy(spark, name, percentile):
-    values = TABLES[name]
-    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3).cache()
-    for task_rows in (200_000, 20, 1):
-        assert exact_percentile(rows, "v", percentile, task_rows) == pytest.approx(np.percentile(values, percentile), abs=1e-12)
-    rows.unpersist()
-
-
-def test_percentile_of_nothing(spark):
-    assert exact_percentile(spark.createDataFrame([], "v double"), "v", 95.0) is None
