@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from raresift.functions.values import all_of
-from raresift.operators.sizing import broadcast_if_small
+from raresift.operators.bits import may_be_listed
+from raresift.operators.sizing import broadcast_if_small, measure
 from raresift.schema import MissingColumns, require_columns
 from raresift.session import materialise
 
@@ -24,13 +25,22 @@ def union_ids(lists: Sequence[tuple[DataFrame, str]], name: str = "id") -> DataF
 
 
 def exclude_known(df: DataFrame, lists: Sequence[tuple[DataFrame, str]], id_col: str) -> DataFrame:
-    """Rows whose id is on none of the lists. A row without id matches nothing and stays."""
+    """Rows whose id is on none of the lists. A row without id matches nothing and stays.
+
+    A list measured to be small is broadcast. Of a longer one only a bit table is, and rows that are certainly on no list
+    stay where they are; the rest, few but for the listed ones, are joined.
+    """
     require_columns(df, [id_col])
     if not lists:
         return df
     # Written once: it is measured here and read again by the join, on a stream by every batch.
-    known = broadcast_if_small(materialise(union_ids(lists, "_known")), "_known")
-    return df.join(known, F.col(id_col).cast("string") == F.col("_known"), "left_anti")
+    known = materialise(union_ids(lists, "_known"))
+    on_list = F.col(id_col).cast("string") == F.col("_known")
+    size = measure(known, "_known")
+    if size.small():
+        return df.join(F.broadcast(known), on_list, "left_anti")
+    listed = may_be_listed(known, "_known", size.rows)(F.col(id_col))
+    return df.filter(~listed).unionByName(df.filter(listed).join(known, on_list, "left_anti"))
 
 
 def known_source_stats(df: DataFrame, lists: Mapping[str, tuple[DataFrame, str]], id_col: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -27,6 +27,7 @@ from raresift.operators.metrics import with_balanced_weight
 from raresift.operators.profiling import importance_table, missing_counts
 from raresift.operators.sampling import augmented_specialist_sample, group_counts, specialist_sample
 from raresift.operators.sizing import small_table
+from raresift.operators.trees import TreeEnsemble, fit_balanced_forest, fit_boosted
 from raresift.schema import require_columns, split_by_type
 from raresift.session import ensure_checkpoint_dir
 
@@ -44,23 +45,16 @@ def with_vector(df: DataFrame, features: Sequence[str], output: str = VECTOR) ->
 class CodedModel:
     """A fitted model whose internal classes 0..k-1 stand for the given codes."""
 
-    model: Model | None  # None when only one class was seen
+    model: Model | TreeEnsemble | None  # None when only one class was seen
     codes: tuple[int, ...]
 
     def probabilities(self, df: DataFrame, output: str) -> DataFrame:
         """Add the class probabilities as an array, in the order of ``codes``."""
         if len(self.codes) == 1:
             return df.withColumn(output, F.array(F.lit(1.0)))
-        made = self.model.transform(df)
-        if "probability" in made.columns:
-            values = vector_to_array("probability")
-        else:
-            # One-against-rest leaves a margin per class: squash each, then share out.
-            odds = F.transform(vector_to_array("rawPrediction"), lambda raw: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * raw)))
-            made = made.withColumn("_odds", odds)
-            whole = F.aggregate("_odds", F.lit(0.0), lambda left, right: left + right)
-            values = F.transform("_odds", lambda odd: odd / whole)
-        return made.withColumn(output, values).select(*df.columns, output)
+        if isinstance(self.model, TreeEnsemble):
+            return df.withColumn(output, self.model.probability(vector_to_array(VECTOR)))
+        return self.model.transform(df).withColumn(output, vector_to_array("probability")).select(*df.columns, output)
 
     def classify(self, df: DataFrame, label: str, confidence: str) -> DataFrame:
         """Add the most likely code and its probability."""
@@ -110,15 +104,31 @@ def forest(trees: int, depth: int, seed: int = SEED) -> RandomForestClassifier:
     )
 
 
-def boosted(rounds: int, depth: int, rate: float, seed: int = SEED) -> GBTClassifier:
-    return GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True, checkpointInterval=10
-    )
+def _fit_bagged(df: DataFrame, code: str, id_col: str, features: Sequence[str], trees: int, depth: int, seed: int) -> CodedModel:
+    """A forest whose trees see all classes alike; the draws are keyed by id."""
+    indexed, codes = _reindexed(df.select(id_col, code, *features), code, "_label")
+    if not codes:
+        raise ValueError("cannot fit a classifier without rows")
+    if len(codes) == 1:
+        return CodedModel(None, codes)
+    return CodedModel(fit_balanced_forest(indexed, features, "_label", id_col, len(codes), trees, depth, seed), codes)
+
+
+def _fit_softmax(df: DataFrame, code: str, features: Sequence[str], rounds: int, depth: int, rate: float, weighted: bool) -> CodedModel:
+    """Boosted trees for any number of classes, all classes in one loss."""
+    indexed, codes = _reindexed(df.select(code, *features), code, "_label")
+    if not codes:
+        raise ValueError("cannot fit a classifier without rows")
+    if len(codes) == 1:
+        return CodedModel(None, codes)
+    if weighted:
+        indexed = with_balanced_weight(indexed, code, "_weight")
+    return CodedModel(fit_boosted(indexed, features, "_label", len(codes), "_weight" if weighted else None, rounds, depth, rate), codes)
 
 
 @dataclass(frozen=True)
 class CascadeConfig:
-    """Sizes of the three models. The defaults are the published ones; depth is Spark's own choice to make."""
+    """Sizes of the three models. The defaults are the published ones; the depth of both forests is set here."""
 
     rare_codes: tuple[int, ...] = RARE_CODES
     gate_trees: int = 300
@@ -134,7 +144,7 @@ class CascadeConfig:
 
 @dataclass(frozen=True)
 class Cascade:
-    """Gatekeeper, specialist and generalist over the same features."""
+    """Gatekeeper (balanced bags), specialist (forest) and generalist (softmax boosting) over the same features."""
 
     features: tuple[str, ...]
     gatekeeper: CodedModel
@@ -143,7 +153,7 @@ class Cascade:
     rare_codes: tuple[int, ...] = field(default=RARE_CODES)
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Add ``p_rare, spec_label, spec_conf, gen_label, gen_conf``. All models run inside the JVM."""
+        """Add ``p_rare, spec_label, spec_conf, gen_label, gen_conf``: no row moves; own trees score Arrow batches."""
         scored = with_vector(df, self.features)
         scored = self.gatekeeper.probability_of(scored, MERGED_RARE_CODE, "p_rare")
         scored = self.specialist.classify(scored, "spec_label", "spec_conf")
@@ -157,7 +167,7 @@ def train_cascade(
     """Fit the three models on a scaled table with integer class codes."""
     rare = config.rare_codes
     merged = df.withColumn("_merged", merged_code(F.col(code), rare))
-    gatekeeper = _fit(forest(config.gate_trees, config.gate_depth, config.seed), merged, "_merged", features, weighted=True)
+    gatekeeper = _fit_bagged(merged, "_merged", id_col, features, config.gate_trees, config.gate_depth, config.seed)
 
     if config.use_augmentation:
         table = augmented_specialist_sample(df, features, code, id_col, rare, seed=config.seed)
@@ -168,11 +178,9 @@ def train_cascade(
     )
 
     common = df.filter(~F.col(code).isin(*rare))
-    if len(group_counts(common, code)) == 2:
-        estimator = boosted(config.generalist_rounds, config.generalist_depth, config.generalist_rate, config.seed)
-    else:
-        estimator = forest(config.generalist_rounds, config.generalist_depth, config.seed)
-    generalist = _fit(estimator, common, code, features, weighted=True)
+    generalist = _fit_softmax(
+        common, code, features, config.generalist_rounds, config.generalist_depth, config.generalist_rate, weighted=True
+    )
     return Cascade(tuple(features), gatekeeper, specialist, generalist, tuple(rare))
 
 
@@ -186,14 +194,11 @@ def train_classifier(
     depth: int | None = None,
     seed: int = SEED,
 ) -> CodedModel:
-    """A classifier over all classes: a forest (``rf``) or boosted trees (``xgb``)."""
+    """A classifier over all classes: a forest (``rf``) or boosted trees with one loss for all classes (``xgb``)."""
     if kind == "rf":
         return _fit(forest(trees, depth or 10, seed), df, code, features, balanced)
     if kind == "xgb":
-        single = boosted(trees, depth or 6, 0.1, seed)
-        if len(group_counts(df, code)) <= 2:
-            return _fit(single, df, code, features, balanced)
-        return _fit(OneVsRest(classifier=single), df, code, features, balanced)
+        return _fit_softmax(df, code, features, trees, depth or 6, 0.1, balanced)
     raise ValueError(f"unknown classifier {kind!r}: use 'rf' or 'xgb'")
 
 

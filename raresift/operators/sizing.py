@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -26,14 +27,26 @@ def small_table(spark: SparkSession, columns: dict[str, Sequence], types: dict[s
     return spark.createDataFrame(pa.table(arrays))
 
 
-def broadcast_if_small(ids: DataFrame, column: str, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+@dataclass(frozen=True)
+class Size:
+    rows: int
+    text_bytes: int
+
+    def small(self, rows: int | None = None, size: int | None = None) -> bool:
+        """Within the bounds of a broadcast."""
+        return self.rows <= (BROADCAST_ROWS if rows is None else rows) and self.text_bytes <= (BROADCAST_BYTES if size is None else size)
+
+
+def measure(ids: DataFrame, column: str) -> Size:
+    """Rows of a list, and bytes of its ids as text."""
+    length = F.octet_length(F.col(column).cast("string"))
+    return Size(*ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first())
+
+
+def broadcast_if_small(ids: DataFrame, column: str) -> DataFrame:
     """Hint a broadcast only when the list was counted and measured to be small.
 
     A longer list is left to the planner, which shuffles both sides on the id and splits skewed
     partitions at run time.
     """
-    measured = ids.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.col(column).cast("string"))), F.lit(0)).alias("bytes"),
-    ).first()
-    return F.broadcast(ids) if measured.n <= rows and measured.bytes <= size else ids
+    return F.broadcast(ids) if measure(ids, column).small() else ids

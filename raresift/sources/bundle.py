@@ -1,4 +1,4 @@
-"""A trained system as one folder: Spark ML models, parameters and metadata."""
+"""A trained system as one folder: models (Spark ML's, and own trees as node tables), parameters and metadata."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.ml.classification import GBTClassificationModel, OneVsRestModel, RandomForestClassificationModel
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from raresift.constants import FILTER_ISOLATION, FILTER_RECONSTRUCTION
@@ -15,12 +15,10 @@ from raresift.operators.isolation import IsolationFilter, NODE_SCHEMA, isolation
 from raresift.operators.models import Cascade, CodedModel
 from raresift.operators.reconstruction import DenseReconstruction, LinearReconstruction, above, reconstruction_from
 from raresift.operators.scaling import MinMax
+from raresift.operators.trees import TreeEnsemble, load_ensemble
 
-MODEL_KINDS = {
-    "RandomForestClassificationModel": RandomForestClassificationModel,
-    "GBTClassificationModel": GBTClassificationModel,
-    "OneVsRestModel": OneVsRestModel,
-}
+OWN_TREES = "TreeEnsemble"
+MODEL_KINDS = {"RandomForestClassificationModel": RandomForestClassificationModel}
 MODEL_NAMES = ("gatekeeper", "specialist", "generalist")
 
 
@@ -66,7 +64,10 @@ def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
     for name in MODEL_NAMES:
         coded: CodedModel = getattr(bundle.cascade, name)
         models[name] = {"codes": list(coded.codes), "kind": type(coded.model).__name__ if coded.model else None}
-        if coded.model:
+        if isinstance(coded.model, TreeEnsemble):
+            models[name]["trees"] = coded.model.describe()
+            coded.model.save(spark, f"{place}/{name}")
+        elif coded.model:
             coded.model.write().overwrite().save(f"{place}/{name}")
     description = bundle.filter_model.describe()
     if isinstance(bundle.filter_model, IsolationFilter):
@@ -92,6 +93,14 @@ def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
     return place
 
 
+def _load_model(spark: SparkSession, place: str, entry: dict):
+    if entry["kind"] is None:
+        return None
+    if entry["kind"] == OWN_TREES:
+        return load_ensemble(spark, place, entry["trees"])
+    return MODEL_KINDS[entry["kind"]].load(place)
+
+
 def load_bundle(spark: SparkSession, folder: str, name: str) -> Bundle:
     place = f"{folder.rstrip('/')}/{name}"
     try:
@@ -101,12 +110,7 @@ def load_bundle(spark: SparkSession, folder: str, name: str) -> Bundle:
             raise FileNotFoundError(f"no bundle at {place}") from error
         raise
     parameters = json.loads(_read_text(spark, f"{place}/parameters"))
-    models = {
-        model: CodedModel(
-            MODEL_KINDS[entry["kind"]].load(f"{place}/{model}") if entry["kind"] else None, tuple(entry["codes"])
-        )
-        for model, entry in parameters["models"].items()
-    }
+    models = {name: CodedModel(_load_model(spark, f"{place}/{name}", entry), tuple(entry["codes"])) for name, entry in parameters["models"].items()}
     features = tuple(metadata["features"])
     filter_type = metadata.get("filter_type", FILTER_ISOLATION)
     description = parameters["filter"]

@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from raresift.operators.bits import MOST_BITS, may_be_listed, table_bits
 from raresift.operators.cascade import route, verdicts
 from raresift.operators.cleaning import clean_features
 from raresift.operators.curation import exclude_known, row_delta
@@ -51,8 +52,10 @@ def test_long_lists_are_not_broadcast(monkeypatch, items):
     from raresift.operators import sizing
 
     known = [(items.filter("discount > 0.09").select("id"), "id")]
-    monkeypatch.setattr(sizing.broadcast_if_small, "__defaults__", (10, 10))
-    with_hint = plan(exclude_known(items, known, "id"))
+    plain = {tuple(row) for row in exclude_known(items, known, "id").collect()}
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 10)
+    split = exclude_known(items, known, "id")
+    assert {tuple(row) for row in split.collect()} == plain
     spark = items.sparkSession
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -60,7 +63,33 @@ def test_long_lists_are_not_broadcast(monkeypatch, items):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text and shuffles(text) == 2
-    assert "LeftAnti" in with_hint
+    assert "LeftAnti" in text and "Python" not in text
+
+
+def test_five_million_ids_shuffle_no_clean_row(spark):
+    """Rows that are on no list pass through a branch without exchange; what the join gets is the listed rows and few more."""
+    listed = spark.range(5_000_000).select((F.col("id") * 3).cast("string").alias("id"))
+    rows = spark.range(200_000).select(F.when(F.col("id") % 1000 == 7, None).otherwise((F.col("id") * 3 + F.col("id") % 2).cast("string")).alias("id"))
+    made = exclude_known(rows, [(listed, "id")], "id")
+    text = plan(made)
+    assert shuffles(text) == 2 and text.count("Union") == 1
+    clean, joined = re.split(r"\n\s*[+:]- (?=.*Join)", text, maxsplit=1)
+    assert "Exchange" not in clean and "LeftAnti" in joined
+    kept = rows.filter("id IS NULL OR CAST(id AS bigint) % 3 = 1")
+    assert made.count() == kept.count()
+    assert made.exceptAll(kept).isEmpty()
+
+
+def test_bit_table_misses_no_listed_id(spark):
+    ids = spark.range(20_000).select(F.col("id").cast("string").alias("id"))
+    for most in (1 << 28, 1 << 12):
+        test = may_be_listed(ids, "id", 20_000, most)
+        found = spark.range(40_000).agg(F.count_if(test(F.col("id")) & (F.col("id") < 20_000)), F.count_if(test(F.col("id")))).first()
+        assert found[0] == 20_000
+        if most == 1 << 28:
+            assert found[1] < 20_400  # at most two in a hundred of the others
+    assert spark.range(1).select(test(F.lit(None).cast("string"))).first()[0] is False
+    assert table_bits(0) == 64 and table_bits(10**12) == MOST_BITS
 
 
 def test_split_and_samples_move_no_row(items):
