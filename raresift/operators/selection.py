@@ -3,7 +3,7 @@
 A double's bits, with those of negative numbers turned over, sort like the number itself. One pass counts the leading 16
 bits of all values; the digit in which each wanted rank falls is found by running sums, and the next pass counts the
 next 16 bits of the values that share it. After four passes at most every rank has all its 64 bits: no sketch, no
-sort, no bracket that can miss. Counts are combined per batch and per task before they are shuffled.
+sort, no bracket that can miss. Once few values share the digits found so far, these values themselves are fetched. Counts are combined per batch and per task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from raresift.session import ship_package
 DIGIT_BITS = 16
 PASSES = 64 // DIGIT_BITS
 _SIGN = np.uint64(1 << 63)
+#: Values that the driver may fetch in place of further passes.
+FETCHED = 200_000
 COUNTED = "place int, prefix bigint, digit int, n bigint"
 
 
@@ -35,6 +37,18 @@ def from_ordered_bits(bits: int) -> float:
     return float(np.array([plain], np.uint64).view(np.float64)[0])
 
 
+def _known_only(bits: np.ndarray, leading: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return bits[:0]
+    at = np.minimum(np.searchsorted(known, leading), len(known) - 1)
+    return bits[known[at] == leading]
+
+
+def _bits_of(column: pa.Array) -> np.ndarray:
+    values = column.drop_null().to_numpy(zero_copy_only=False)
+    return ordered_bits(values[~np.isnan(values)])
+
+
 def _count_digits(df: DataFrame, columns: Sequence[str], known: list[np.ndarray] | None, turn: int) -> DataFrame:
     """``place, prefix, digit, n`` of the values whose leading bits are among the ``known`` ones of their column."""
     shift = np.uint64(64 - DIGIT_BITS * (turn + 1))
@@ -44,12 +58,9 @@ def _count_digits(df: DataFrame, columns: Sequence[str], known: list[np.ndarray]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for place in range(batch.num_columns):
-                values = batch.column(place).drop_null().to_numpy(zero_copy_only=False)
-                leading = ordered_bits(values[~np.isnan(values)]) >> shift
+                leading = _bits_of(batch.column(place)) >> shift
                 if known is not None:
-                    wanted = known[place]
-                    at = np.minimum(np.searchsorted(wanted, leading >> above), max(0, len(wanted) - 1))
-                    leading = leading[wanted[at] == leading >> above] if len(wanted) else leading[:0]
+                    leading = _known_only(leading, leading >> above, known[place])
                 found, counts = np.unique(leading, return_counts=True)
                 prefix = found >> above if turn else np.zeros(len(found), np.uint64)
                 yield pa.RecordBatch.from_arrays(
@@ -66,8 +77,24 @@ def _count_digits(df: DataFrame, columns: Sequence[str], known: list[np.ndarray]
     return counted.groupBy("place", "prefix", "digit").agg(F.sum("n").alias("n"))
 
 
-def _advance(counted: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int]]:
-    """Digit and rank within it of each wanted (place, prefix, rank); one row per wanted rank comes back."""
+def _fetch(df: DataFrame, columns: Sequence[str], known: list[np.ndarray], turn: int) -> list[np.ndarray]:
+    """Ordered bits of all values of each column that share the bits found up to ``turn``, in order."""
+    shift = np.uint64(64 - DIGIT_BITS * (turn + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in range(batch.num_columns):
+                bits = _bits_of(batch.column(place))
+                found = _known_only(bits, bits >> shift, known[place])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), place, np.int32)), pa.array(found.view(np.int64))], ["place", "bits"])
+
+    rows = df.select(*columns).mapInArrow(run, "place int, bits bigint").toArrow()  # FETCHED at most
+    place, bits = rows.column("place").to_numpy(), rows.column("bits").to_numpy().view(np.uint64)
+    return [np.sort(bits[place == own]) for own in range(len(columns))]
+
+
+def _advance(counted: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], tuple[int, int, int]]:
+    """Digit, rank within it and its count, of each wanted (place, prefix, rank); one row per wanted rank comes back."""
     spark = counted.sparkSession
     kinds = {"place": pa.int32(), "prefix": pa.int64(), "rank": pa.int64()}
     asked = small_table(spark, {name: [entry[i] for entry in wanted] for i, name in enumerate(kinds)}, kinds)
@@ -75,7 +102,7 @@ def _advance(counted: DataFrame, wanted: list[tuple[int, int, int]]) -> dict[tup
     # At most 65,536 digits per prefix.
     upto = counted.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
     hit = upto.join(F.broadcast(asked), ["place", "prefix"]).filter("rank >= before AND rank < upto")
-    return {(row.place, row.prefix, row.rank): (row.digit, row.rank - row.before) for row in hit.collect()}
+    return {(row.place, row.prefix, row.rank): (row.digit, row.rank - row.before, row.n) for row in hit.collect()}
 
 
 def _signed(prefix: int) -> int:
@@ -102,12 +129,21 @@ def values_at_ranks(df: DataFrame, columns: Sequence[str], ranks: Sequence[Seque
         counted = _count_digits(doubles, names, known, turn)
         wanted = sorted({(place, _signed(bits), within) for (place, _), (bits, within) in state.items()})
         found = _advance(counted, wanted)
+        sizes: dict[tuple[int, int], int] = {}
         for (place, rank), (bits, within) in state.items():
-            digit, left = found[place, _signed(bits), within]
+            digit, left, size = found[place, _signed(bits), within]
             state[place, rank] = (bits << DIGIT_BITS | digit, left)
+            sizes[place, bits << DIGIT_BITS | digit] = size
         known = [
             np.array(sorted({bits for (own, _), (bits, _) in state.items() if own == place}), np.uint64) for place in range(len(names))
         ]
+        if turn + 1 < PASSES and sum(sizes.values()) <= FETCHED:
+            fetched = _fetch(doubles, names, known, turn)
+            shift = 64 - DIGIT_BITS * (turn + 1)
+            for (place, rank), (bits, within) in state.items():
+                first = int(np.searchsorted(fetched[place], np.uint64(bits << shift)))
+                state[place, rank] = (int(fetched[place][first + within]), 0)
+            break
     return [[from_ordered_bits(state[place, rank][0]) for rank in own] for place, own in enumerate(ranks)]
 
 

@@ -30,6 +30,8 @@ BINS = 64
 FOREST_BINS = 32
 #: Histogram cells that a task holds at once.
 CELLS = 4_000_000
+#: Partial histograms that the driver adds up itself; more are added up and split by tasks.
+DIRECT_BYTES = 32 * 1024 * 1024
 #: Rounds of boosting between two writings of the rows' margins.
 MARGIN_ROUNDS = 8
 #: Partial sums of one node that meet in one task.
@@ -251,13 +253,30 @@ def _task_parts(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBa
         )
 
 
-def _grow(trees: dict[int, _Tree], splits: DataFrame, level: int) -> dict[tuple[int, int], tuple[list[float], list[float]]]:
-    """Put the found splits into the trees; sums of both sides by (tree, node)."""
+Sides = dict[tuple[int, int], tuple[list[float], list[float]]]
+
+
+def _grow(trees: dict[int, _Tree], parts: DataFrame, width: int, split: Callable[[int, int, np.ndarray], tuple | None], tasks: int) -> Sides:
+    """Put the best splits of all open nodes into the trees; sums of both sides by (tree, node).
+
+    Sums are whole numbers, so it does not matter where they are added.
+    """
+    nodes = sum(len(tree.open) for tree in trees.values())
+    found = []
+    if tasks * nodes * width * 8 <= DIRECT_BYTES:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for row in parts.collect():
+            own = np.frombuffer(row.sums, np.float64)
+            sums[row.tree, row.node] = sums[row.tree, row.node] + own if (row.tree, row.node) in sums else own
+        for (tree, node), whole in sums.items():
+            best = split(tree, node, whole)
+            found += [(tree, node, *best)] if best else []
+    else:
+        found = _best_splits(parts, width, split, tasks).collect()  # one row per node
     made = {}
-    for row in splits.collect():  # one row per node split on this level
-        tree = trees[row.tree]
-        tree.feature[row.node], tree.cut[row.node] = row.feature, row.cut
-        made[row.tree, row.node] = (row.left, row.right)
+    for tree, node, feature, cut, left, right in found:
+        trees[tree].feature[node], trees[tree].cut[node] = feature, cut
+        made[tree, node] = (left, right)
     return made
 
 
@@ -346,7 +365,7 @@ def fit_boosted(
             if not any(tree.open for tree in current):
                 break
             parts = rows.mapInArrow(_boosting_task(current, recent, level, wide, bins, unit), PART_COLUMNS)
-            found = _grow(dict(enumerate(current)), _best_splits(parts, 2 * wide * bins, _Gain(wide, bins, unit), tasks), level)
+            found = _grow(dict(enumerate(current)), parts, 2 * wide * bins, _Gain(wide, bins, unit), tasks)
             for place, tree in enumerate(current):
                 for node in tree.open:
                     if (place, node) in found:
@@ -528,8 +547,9 @@ def fit_balanced_forest(
     shares: dict[tuple[int, int], list[float]] = {}
     for level in range(depth):
         for group in _groups(grown, cells):
-            parts = rows.mapInArrow(_forest_task({tree: grown[tree] for tree in group}, level, seed, steps, wide, varying, some, bins, classes), PART_COLUMNS)
-            found = _grow(grown, _best_splits(parts, cells, _Purity(seed, varying, some, bins, classes), tasks), level)
+            mine = {tree: grown[tree] for tree in group}
+            parts = rows.mapInArrow(_forest_task(mine, level, seed, steps, wide, varying, some, bins, classes), PART_COLUMNS)
+            found = _grow(mine, parts, cells, _Purity(seed, varying, some, bins, classes), tasks)
             for tree in group:
                 own, following = grown[tree], []
                 for node in own.open:

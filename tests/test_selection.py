@@ -31,7 +31,9 @@ def test_bits_sort_like_values():
     assert [from_ordered_bits(int(b)) for b in bits] == list(values)
 
 
-def test_many_columns_at_once(spark):
+@pytest.mark.parametrize("fetched", [0, 9_000, 200_000])
+def test_many_columns_at_once(spark, monkeypatch, fetched):
+    monkeypatch.setattr(selection, "FETCHED", fetched)
     longest = max(len(values) for values in TABLES.values())
     frame = pd.DataFrame({name: np.r_[values, np.full(longest - len(values), np.nan)] for name, values in TABLES.items()})
     rows = spark.createDataFrame(frame)
@@ -41,7 +43,9 @@ def test_many_columns_at_once(spark):
         assert found == pytest.approx(np.percentile(values, PERCENTILES), rel=1e-12, abs=1e-12)
 
 
-def test_odd_values(spark):
+@pytest.mark.parametrize("fetched", [0, 200_000])
+def test_odd_values(spark, monkeypatch, fetched):
+    monkeypatch.setattr(selection, "FETCHED", fetched)
     rows = spark.createDataFrame([(float(v),) for v in ODD] + [(None,), (math.nan,)], "v double")
     assert values_at_ranks(rows, ["v"], [range(len(ODD))])[0] == list(np.sort(ODD))
 
@@ -54,6 +58,7 @@ def test_columns_without_values(spark):
 
 def test_four_passes(spark, monkeypatch):
     passes = []
+    monkeypatch.setattr(selection, "FETCHED", 0)
     counted = selection._count_digits
     monkeypatch.setattr(selection, "_count_digits", lambda *given: passes.append(1) or counted(*given))
     rows = spark.createDataFrame([(float(v),) for v in TABLES["close"]], "v double")

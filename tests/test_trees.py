@@ -74,9 +74,10 @@ def test_boosting_does_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(trees, "MARGIN_ROUNDS", 2)
     monkeypatch.setattr(trees, "FAN_IN", 2)
     rows = spark.createDataFrame(frame(700, 3, 3)).withColumn("w", F.col("label") * 0.37 + 0.2)
-    made = [
-        fit_boosted(rows.repartition(parts, "id"), FEATURES, "label", 3, "w", rounds=5, depth=3).nodes for parts in (1, 7)
-    ]
+    made = []
+    for parts, direct in ((1, trees.DIRECT_BYTES), (7, 0)):
+        monkeypatch.setattr(trees, "DIRECT_BYTES", direct)
+        made.append(fit_boosted(rows.repartition(parts, "id"), FEATURES, "label", 3, "w", rounds=5, depth=3).nodes)
     assert made[0] == made[1]
 
 
@@ -130,6 +131,7 @@ def test_forest_finds_the_rare_class(spark, monkeypatch):
     data = pd.DataFrame({"id": np.arange(6000), "label": label, "a": draw.normal(size=6000) + 3 * label, "b": draw.normal(size=6000), "c": 5.0})
     rows = spark.createDataFrame(data)
     model = fit_balanced_forest(rows, FEATURES, "label", "id", 2, trees=12, depth=5)
+    monkeypatch.setattr(trees, "DIRECT_BYTES", 0)
     assert model.nodes == fit_balanced_forest(rows.repartition(3), FEATURES, "label", "id", 2, trees=12, depth=5).nodes
     share = model.walker()(data[FEATURES].to_numpy())[:, 1]
     assert share[label == 1].mean() > 0.75 and share[label == 0].mean() < 0.3
