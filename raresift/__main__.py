@@ -1,4 +1,4 @@
-"""Jobs for ``spark-submit``: train, score, stream, curate and quality.
+"""Jobs for ``spark-submit``: train, score, stream, curate, contaminants, importance, columns and quality.
 
     spark-submit raresift/__main__.py train --training t.csv --contaminants c.csv --bundles models --name run1
     spark-submit raresift/__main__.py score --catalogue c.parquet --bundles models --name run1 --output verdicts
@@ -15,16 +15,17 @@ from pyspark.sql import SparkSession, types as T
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from raresift.constants import GATE_THRESHOLD, ID_COLUMN, LABEL_COLUMN, SPECIALIST_THRESHOLD  # noqa: E402
+from raresift.constants import CONTAMINANT_LABEL_COLUMN, GATE_THRESHOLD, ID_COLUMN, LABEL_COLUMN, SPECIALIST_THRESHOLD  # noqa: E402
 from raresift.operators.cleaning import coerce_features  # noqa: E402
 from raresift.operators.curation import row_delta  # noqa: E402
-from raresift.operators.models import CascadeConfig  # noqa: E402
+from raresift.operators.cleaning import drop_columns  # noqa: E402
+from raresift.operators.models import CascadeConfig, feature_importance  # noqa: E402
 from raresift.operators.profiling import quality_report  # noqa: E402
 from raresift.plans.score import score_to_files  # noqa: E402
-from raresift.plans.train import TrainConfig, train  # noqa: E402
+from raresift.plans.train import TrainConfig, profile_contaminants, train  # noqa: E402
 from raresift.schema import preset  # noqa: E402
 from raresift.sources.bundle import load_bundle, save_bundle  # noqa: E402
-from raresift.sources.tables import format_of, read_catalogue, read_known_lists, read_table, rewrite_without  # noqa: E402
+from raresift.sources.tables import format_of, read_catalogue, read_known_lists, read_optional_table, read_table, rewrite_without  # noqa: E402
 from raresift.streaming.score_stream import score_stream, stream_catalogue  # noqa: E402
 
 
@@ -61,6 +62,15 @@ def parser() -> argparse.ArgumentParser:
         else:
             made.add_argument("--checkpoint", required=True)
     job("curate", "first", "second", "target", "output")
+    made = job("contaminants", "catalogue", "output")
+    made.add_argument("--preset", default="default")
+    made.add_argument("--label", default=CONTAMINANT_LABEL_COLUMN)
+    made = job("importance", "catalogue", "output", "target")
+    made.add_argument("--preset", default="default")
+    made.add_argument("--numbers", nargs="*", default=None, help="columns read as numbers; the preset's when left out")
+    made.add_argument("--trees", type=int, default=100)
+    made.add_argument("--depth", type=int, default=10)
+    job("columns", "catalogue", "output").add_argument("--drop", nargs="+", required=True)
     job("quality", "catalogue").add_argument("--preset", default="default")
     return top
 
@@ -83,12 +93,31 @@ def run(spark: SparkSession, options: argparse.Namespace) -> object:
             cascade=CascadeConfig(use_augmentation=options.augment),
         )
         labelled = read_catalogue(spark, options.training, features, options.id, options.label, options.format)
-        junk = read_table(spark, options.contaminants, options.format) if options.contaminants else None
+        # A path without a table is no reason to stop: the fit then uses noise, and the answer says so.
+        junk = read_optional_table(spark, options.contaminants, options.format)
         made = train(labelled, junk, features, options.label, options.id, config)
         place = save_bundle(spark, made.bundle, options.bundles)
         for name, report in {**made.profile, **made.reports}.items():
             report.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{place}/reports/{name}")
-        return {"bundle": place, "threshold": made.threshold, "filter": made.bundle.filter_type}
+        return {"bundle": place, "threshold": made.threshold, "filter": made.bundle.filter_type, "contaminants": junk is not None}
+    if options.job == "contaminants":
+        features = preset(options.preset)
+        reports = profile_contaminants(read_table(spark, options.catalogue, options.format), features, options.label)
+        for name, report in reports.items():
+            report.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{options.output}/{name}")
+        return {"reports": sorted(reports)}
+    if options.job == "importance":
+        table = read_table(spark, options.catalogue, options.format)
+        numbers = [name for name in options.numbers or preset(options.preset) if name in table.columns]
+        table = coerce_features(table, numbers)
+        found = feature_importance(table, options.target, options.id, options.trees, options.depth)
+        found.coalesce(1).write.mode("overwrite").option("header", True).csv(options.output)
+        return {"features": [row.feature for row in found.collect()]}  # a bounded top list
+    if options.job == "columns":
+        kind = format_of(options.catalogue, options.format)
+        writer = drop_columns(read_table(spark, options.catalogue, kind), options.drop).write.mode("overwrite").format(kind)
+        (writer.option("header", True) if kind == "csv" else writer).save(options.output)
+        return {"columns": read_table(spark, options.output, kind).columns}
     if options.job == "quality":
         features = preset(options.preset)
         table = coerce_features(read_catalogue(spark, options.catalogue, features, options.id, fmt=options.format), features)

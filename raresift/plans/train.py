@@ -8,6 +8,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, functions as F
 
 from raresift.constants import (
+    CONTAMINANT_LABEL_COLUMN,
     FILTER_ISOLATION,
     FILTER_RECONSTRUCTION,
     GATE_THRESHOLD,
@@ -27,6 +28,7 @@ from raresift.operators.metrics import best_threshold, choose_filter, classifica
 from raresift.operators.models import Cascade, CascadeConfig, train_cascade
 from raresift.operators.profiling import (
     class_distribution,
+    contaminant_report,
     counts_from_patterns,
     inclusion_from_patterns,
     missing_patterns,
@@ -96,6 +98,21 @@ def load_contaminants(
     return scaler.transform(clean if rows is None else cap_rows(clean, id_col, rows))
 
 
+def profile_contaminants(
+    df: DataFrame | None, features: Sequence[str], label: str = CONTAMINANT_LABEL_COLUMN
+) -> dict[str, DataFrame]:
+    """What a contaminant table holds: missing values, which features miss together, complete rows, kinds.
+
+    Text that is no number and infinite values count as missing. Kinds come from ``label`` where the table has it, else from
+    the first usual label column. Nothing without a table or without all features.
+    """
+    if df is None or not set(features) <= set(df.columns):
+        return {}
+    table = normalise_missing(coerce_features(df, features), features)
+    made = contaminant_report(table, features, label if label in df.columns else None)
+    return {f"contaminant_{name}": report for name, report in made.items()}
+
+
 @dataclass(frozen=True)
 class Trained:
     bundle: Bundle
@@ -112,7 +129,11 @@ def train(
     id_col: str = ID_COLUMN,
     config: TrainConfig = TrainConfig(),
 ) -> Trained:
-    """Fit scaler, both filters and the cascade; keep the better filter; report on the held-out rows."""
+    """Fit scaler, both filters and the cascade; keep the better filter; report on the held-out rows.
+
+    Contaminants are profiled as they come (reports ``contaminant_missing``, ``_inclusion``, ``_rows``, ``_kinds``). Where
+    there are none, or none with all features in numbers, uniform noise takes their place.
+    """
     features = list(features)
     prepared = prepare_training(df, features, label, id_col)
     # The raw table is read once more; the split and every fit below work on what is written here.
@@ -124,6 +145,7 @@ def train(
     training = scaler.transform(fitted).select(*kept)
     testing = scaler.transform(held_out).select(*kept)
     noise = load_contaminants(contaminants, features, scaler, id_col)
+    about_noise = profile_contaminants(contaminants, features)
     if noise is None:
         noise = uniform_noise(df.sparkSession, features, seed=config.seed)
 
@@ -146,6 +168,7 @@ def train(
         "specialist": specialist_report,
         "specialist_counts": specialist_counts,
         "generalist": generalist_diagnostics(scored, "code", rare),
+        **about_noise,
         "contaminant_flow": contaminant_flow(bundle.cascade.score(bundle.filtered(noise)), rare_code=MERGED_RARE_CODE),
     }
     return Trained(replace(bundle, best_threshold=threshold), threshold, prepared.profile, reports)

@@ -53,24 +53,26 @@ def read_catalogue(
     return table.withColumn(label, label_or_null(F.col(label).cast("string"))) if label else table
 
 
-def read_ids(spark: SparkSession, path: str, id_col: str = ID_COLUMN, fmt: str | None = None) -> DataFrame:
-    """The id column of a list, as text."""
-    return require_columns(read_table(spark, path, fmt), [id_col]).select(F.col(id_col).cast("string").alias(id_col))
-
-
-def read_optional_ids(spark: SparkSession, path: str | None, id_col: str = ID_COLUMN, fmt: str | None = None) -> DataFrame:
-    """Like ``read_ids``, but empty when there is no such path. A list that exists and cannot be read raises."""
-    empty = spark.createDataFrame([], T.StructType([T.StructField(id_col, T.StringType())]))
+def read_optional_table(spark: SparkSession, path: str | None, fmt: str | None = None) -> DataFrame | None:
+    """Like ``read_table``, but None when there is no such path. A table that exists and cannot be read raises."""
     if not path:
-        return empty
+        return None
     try:
-        return read_ids(spark, path, id_col, fmt)
+        return read_table(spark, path, fmt)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return empty
+            return None
         raise
 
 
+def read_optional_ids(spark: SparkSession, path: str | None, id_col: str = ID_COLUMN, fmt: str | None = None) -> DataFrame:
+    """The id column of a list, as text; empty when there is no such path."""
+    table = read_optional_table(spark, path, fmt)
+    if table is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(id_col, T.StringType())]))
+    return require_columns(table, [id_col]).select(F.col(id_col).cast("string").alias(id_col))
+
+
 def read_known_lists(
     spark: SparkSession, source_lists: Sequence[str | None], verdict_lists: Sequence[str | None] = (), id_col: str = ID_COLUMN
 ) -> list[tuple[DataFrame, str]]:

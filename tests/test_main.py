@@ -6,6 +6,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from raresift import __main__ as jobs
 from raresift.constants import FEATURE_PRESETS
@@ -39,8 +40,9 @@ def test_train_score_and_stream(spark, files, capsys, monkeypatch):
     small = jobs.CascadeConfig(gate_trees=5, gate_depth=4, specialist_trees=5, specialist_depth=4, generalist_rounds=2, generalist_depth=2)
     monkeypatch.setattr(jobs, "CascadeConfig", lambda use_augmentation: small)
     common = ["--bundles", str(files / "models"), "--name", "run1"]
-    jobs.main(["train", "--training", str(files / "training.csv"), *common], spark)
+    jobs.main(["train", "--training", str(files / "training.csv"), "--contaminants", str(files / "absent.csv"), *common], spark)
     trained = json.loads(capsys.readouterr().out)
+    assert trained["contaminants"] is False
     assert trained["filter"] in ("Autoencoder", "IsolationForest")
     assert spark.read.option("header", True).csv(f"{trained['bundle']}/reports/classes").count() == 5
     jobs.main(
@@ -61,3 +63,19 @@ def test_curate(spark, tmp_path, capsys):
     jobs.main(["curate", *sum(([f"--{name}", str(tmp_path / name)] for name in ("first", "second", "target")), []), "--output", str(tmp_path / "new")], spark)
     assert json.loads(capsys.readouterr().out) == {"removed": 1}
     assert [row.k for row in spark.read.parquet(str(tmp_path / "new")).collect()] == [3]
+
+
+def test_contaminants_importance_and_columns(spark, files, tmp_path, capsys):
+    names = FEATURE_PRESETS["default"]
+    junk = spark.read.option("header", True).csv(str(files / "training.csv")).withColumnRenamed("bestclassification_1", "bestclassification")
+    junk.withColumn(names[0], F.when(F.col("sourceid") % 2 == 0, "?").otherwise(F.col(names[0]))).write.option("header", True).csv(str(tmp_path / "junk.csv"))
+    jobs.main(["contaminants", "--catalogue", str(tmp_path / "junk.csv"), "--output", str(tmp_path / "about")], spark)
+    assert json.loads(capsys.readouterr().out)["reports"] == [f"contaminant_{name}" for name in ("inclusion", "kinds", "missing", "rows")]
+    missing = {row["column"]: int(row["missing"]) for row in spark.read.option("header", True).csv(str(tmp_path / "about/contaminant_missing")).collect()}
+    assert missing == {names[0]: 120}
+    jobs.main(
+        ["importance", "--catalogue", str(files / "training.csv"), "--target", "bestclassification_1", "--output", str(tmp_path / "top"), "--trees", "5", "--depth", "4"], spark
+    )
+    assert set(json.loads(capsys.readouterr().out)["features"]) <= set(names)
+    jobs.main(["columns", "--catalogue", str(files / "training.csv"), "--drop", names[0], "absent", "--output", str(tmp_path / "less.csv")], spark)
+    assert json.loads(capsys.readouterr().out)["columns"] == ["sourceid", *names[1:], "bestclassification_1"]
