@@ -23,6 +23,7 @@ from raresift.constants import (
 from raresift.functions.values import position_of_max
 from raresift.operators.cleaning import id_like_columns, impute_constant, require_target
 from raresift.operators.encoding import factorize, merged_code
+from raresift.operators.incontext import ContextClassifier, fit_context
 from raresift.operators.metrics import with_balanced_weight
 from raresift.operators.profiling import importance_table, missing_counts
 from raresift.operators.sampling import augmented_specialist_sample, group_counts, specialist_sample
@@ -45,14 +46,14 @@ def with_vector(df: DataFrame, features: Sequence[str], output: str = VECTOR) ->
 class CodedModel:
     """A fitted model whose internal classes 0..k-1 stand for the given codes."""
 
-    model: Model | TreeEnsemble | None  # None when only one class was seen
+    model: Model | TreeEnsemble | ContextClassifier | None  # None when only one class was seen
     codes: tuple[int, ...]
 
     def probabilities(self, df: DataFrame, output: str) -> DataFrame:
         """Add the class probabilities as an array, in the order of ``codes``."""
         if len(self.codes) == 1:
             return df.withColumn(output, F.array(F.lit(1.0)))
-        if isinstance(self.model, TreeEnsemble):
+        if isinstance(self.model, TreeEnsemble | ContextClassifier):
             return df.withColumn(output, self.model.probability(vector_to_array(VECTOR)))
         return self.model.transform(df).withColumn(output, vector_to_array("probability")).select(*df.columns, output)
 
@@ -114,6 +115,16 @@ def _fit_bagged(df: DataFrame, code: str, id_col: str, features: Sequence[str],
     return CodedModel(fit_balanced_forest(indexed, features, "_label", id_col, len(codes), trees, depth, seed), codes)
 
 
+def _fit_context(df: DataFrame, code: str, features: Sequence[str], views: int, seed: int) -> CodedModel:
+    """A classifier over the rows of a bounded sample."""
+    indexed, codes = _reindexed(df.select(code, *features), code, "_label")
+    if not codes:
+        raise ValueError("cannot fit a classifier without rows")
+    if len(codes) == 1:
+        return CodedModel(None, codes)
+    return CodedModel(fit_context(indexed, features, "_label", len(codes), views, seed), codes)
+
+
 def _fit_softmax(df: DataFrame, code: str, features: Sequence[str], rounds: int, depth: int, rate: float, weighted: bool) -> CodedModel:
     """Boosted trees for any number of classes, all classes in one loss."""
     indexed, codes = _reindexed(df.select(code, *features), code, "_label")
@@ -128,13 +139,12 @@ def _fit_softmax(df: DataFrame, code: str, features: Sequence[str], rounds: int,
 
 @dataclass(frozen=True)
 class CascadeConfig:
-    """Sizes of the three models. The defaults are the published ones; the depth of both forests is set here."""
+    """Sizes of the three models. The defaults are the published ones; the gate's depth is set here."""
 
     rare_codes: tuple[int, ...] = RARE_CODES
     gate_trees: int = 300
     gate_depth: int = 10
-    specialist_trees: int = 32
-    specialist_depth: int = 10
+    specialist_views: int = 32
     generalist_rounds: int = 200
     generalist_depth: int = 6
     generalist_rate: float = 0.1
@@ -144,7 +154,7 @@ class CascadeConfig:
 
 @dataclass(frozen=True)
 class Cascade:
-    """Gatekeeper (balanced bags), specialist (forest) and generalist (softmax boosting) over the same features."""
+    """Gatekeeper (balanced bags), specialist (bounded context) and generalist (softmax boosting) over the same features."""
 
     features: tuple[str, ...]
     gatekeeper: CodedModel
@@ -173,9 +183,7 @@ def train_cascade(
         table = augmented_specialist_sample(df, features, code, id_col, rare, seed=config.seed)
     else:
         table = specialist_sample(df, code, id_col, rare, seed=config.seed)
-    specialist = _fit(
-        forest(config.specialist_trees, config.specialist_depth, config.seed), table, "spec_code", features, weighted=False
-    )
+    specialist = _fit_context(table, "spec_code", features, config.specialist_views, config.seed)
 
     common = df.filter(~F.col(code).isin(*rare))
     generalist = _fit_softmax(

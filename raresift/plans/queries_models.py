@@ -233,7 +233,7 @@ def dense_recon(spark: SparkSession, folder: str) -> DataFrame:
 TRIAL = TrainConfig(
     name="trial",
     isolation_trees=100,
-    cascade=CascadeConfig(gate_trees=30, gate_depth=6, specialist_trees=16, specialist_depth=6, generalist_rounds=10, generalist_depth=4),
+    cascade=CascadeConfig(gate_trees=30, gate_depth=6, specialist_views=16, generalist_rounds=10, generalist_depth=4),
 )
 
 

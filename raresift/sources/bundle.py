@@ -1,4 +1,4 @@
-"""A trained system as one folder: models (Spark ML's, and own trees as node tables), parameters and metadata."""
+"""A trained system as one folder: models (Spark ML's own format, or a table of nodes or context rows), parameters and metadata."""
 
 from __future__ import annotations
 
@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from raresift.constants import FILTER_ISOLATION, FILTER_RECONSTRUCTION
 from raresift.operators.encoding import LabelCodes
+from raresift.operators.incontext import ContextClassifier, load_context
 from raresift.operators.isolation import IsolationFilter, NODE_SCHEMA, isolation_from, strange
 from raresift.operators.models import Cascade, CodedModel
 from raresift.operators.reconstruction import DenseReconstruction, LinearReconstruction, above, reconstruction_from
 from raresift.operators.scaling import MinMax
 from raresift.operators.trees import TreeEnsemble, load_ensemble
 
-OWN_TREES = "TreeEnsemble"
+OWN_KINDS = {"TreeEnsemble": load_ensemble, "ContextClassifier": load_context}
 MODEL_KINDS = {"RandomForestClassificationModel": RandomForestClassificationModel}
 MODEL_NAMES = ("gatekeeper", "specialist", "generalist")
 
@@ -64,8 +65,8 @@ def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
     for name in MODEL_NAMES:
         coded: CodedModel = getattr(bundle.cascade, name)
         models[name] = {"codes": list(coded.codes), "kind": type(coded.model).__name__ if coded.model else None}
-        if isinstance(coded.model, TreeEnsemble):
-            models[name]["trees"] = coded.model.describe()
+        if isinstance(coded.model, TreeEnsemble | ContextClassifier):
+            models[name]["about"] = coded.model.describe()
             coded.model.save(spark, f"{place}/{name}")
         elif coded.model:
             coded.model.write().overwrite().save(f"{place}/{name}")
@@ -96,8 +97,8 @@ def save_bundle(spark: SparkSession, bundle: Bundle, folder: str) -> str:
 def _load_model(spark: SparkSession, place: str, entry: dict):
     if entry["kind"] is None:
         return None
-    if entry["kind"] == OWN_TREES:
-        return load_ensemble(spark, place, entry["trees"])
+    if entry["kind"] in OWN_KINDS:
+        return OWN_KINDS[entry["kind"]](spark, place, entry["about"])
     return MODEL_KINDS[entry["kind"]].load(place)
 
 

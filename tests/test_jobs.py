@@ -30,7 +30,7 @@ from raresift.streaming.score_stream import score_stream, stream_catalogue
 FEATURES = ["f1", "f2", "f3"]
 CLASSES = ["RRab", "RRc", "RRd", "ablazhko", "anomalous"]
 CENTRES = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 0], [0, 10, 4], [4, 10, 0]], dtype=float)
-SMALL = CascadeConfig(gate_trees=10, gate_depth=5, specialist_trees=32, specialist_depth=5, generalist_rounds=5, generalist_depth=3)
+SMALL = CascadeConfig(gate_trees=10, gate_depth=5, specialist_views=32, generalist_rounds=5, generalist_depth=3)
 CONFIG = TrainConfig(name="trial", isolation_trees=30, reconstruction_width=2, cascade=SMALL)
 
 

@@ -37,7 +37,7 @@ def test_quality(spark, files, capsys):
 
 
 def test_train_score_and_stream(spark, files, capsys, monkeypatch):
-    small = jobs.CascadeConfig(gate_trees=5, gate_depth=4, specialist_trees=5, specialist_depth=4, generalist_rounds=2, generalist_depth=2)
+    small = jobs.CascadeConfig(gate_trees=5, gate_depth=4, specialist_views=5, generalist_rounds=2, generalist_depth=2)
     monkeypatch.setattr(jobs, "CascadeConfig", lambda use_augmentation: small)
     common = ["--bundles", str(files / "models"), "--name", "run1"]
     jobs.main(["train", "--training", str(files / "training.csv"), "--contaminants", str(files / "absent.csv"), *common], spark)
