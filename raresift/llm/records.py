@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from raresift.llm.encoding import id_width, word_encoder
 from raresift.llm.spread import running_sums
-from raresift.llm.text import prepare, slices
+from raresift.llm.text import Texts, prepare, slices, tidy
 from raresift.session import ensure_checkpoint_dir
 
 _MASK_ADD = 0xA282EAD8
@@ -90,7 +90,7 @@ def read_frames(content: memoryview) -> Iterator[tuple[int, memoryview]]:
 def write_records(
     docs: DataFrame,
     path: str,
-    make_encoder: Callable[[], Callable[[list[bytes]], list[bytes]]],
+    make_encoder: Callable[[], Callable[[Texts], list[bytes]]],
     width: int,
     end_id: int,
     id_col: str = "doc_id",
@@ -113,15 +113,14 @@ def write_records(
             for part in slices(batch.column(1), ENCODE_BYTES):
                 ids = batch.column(0).slice(place, len(part)).to_pylist()
                 place += len(part)
-                content, edges = part.data.tobytes(), part.offsets.tolist()
-                coded = encode([content[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+                coded = encode(part)
                 made = [frame(record(doc_id, width, x + last)) for doc_id, x in zip(ids, coded, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
     ordered = chosen.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(
         F.asc_nulls_first("doc_id"), "text"
     )
-    frames = ordered.mapInArrow(run, "value binary")
+    frames = ordered.mapInArrow(tidy("records", run), "value binary")
     # A cast keeps the bytes as they are; the text sink writes them and its line feed.
     frames.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
