@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from raresift.constants import (
     DEFAULT_SWEEP_THRESHOLD,
@@ -17,9 +17,13 @@ from raresift.constants import (
 from raresift.functions.values import share
 from raresift.operators.encoding import LabelCodes
 from raresift.operators.sampling import group_counts
+from raresift.operators.selection import counts_of, values_at_ranks
 from raresift.operators.sizing import small_table
 from raresift.schema import require_columns
 
+#: Thresholds that a sweep over observed scores tries at most.
+MOST_THRESHOLDS = 10_000
+
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """``truth, predicted, rows`` for the pairs that occur."""
@@ -211,7 +215,11 @@ def threshold_sweep(
         )
         for i, value in places
     ]
-    return counted.select(F.inline(F.array(*entries))).withColumns(
+    return _rates(counted.select(F.inline(F.array(*entries))))
+
+
+def _rates(figures: DataFrame) -> DataFrame:
+    return figures.withColumns(
         {
             "precision": share(F.col("tp"), F.col("tp") + F.col("fp")),
             "recall": share(F.col("tp"), F.col("tp") + F.col("fn")),
@@ -220,6 +228,55 @@ def threshold_sweep(
     )
 
 
+def observed_thresholds(df: DataFrame, score: str, most: int = MOST_THRESHOLDS) -> list[float]:
+    """Distinct scores of a table in ascending order; of more than ``most`` those at evenly spaced ranks."""
+    size = counts_of(df, [score])[0]
+    ranks = sorted({size * place // most for place in range(most)}) if size else []
+    return sorted(set(values_at_ranks(df, [score], [ranks])[0]))
+
+
+def sweep_scores(
+    df: DataFrame, truth: Column, able: Column, score: str, thresholds: Sequence[float] | None = None, most: int = MOST_THRESHOLDS
+) -> DataFrame:
+    """The same table for claims of the form "``able`` and score at least the threshold", at any number of thresholds.
+
+    Without ``thresholds`` all observed scores of able rows are tried. A row is counted once, under the number of
+    thresholds that its score reaches (a binary search inside the JVM); sums over these counts give every
+    threshold's figures, so the data is read once and a row per threshold is shuffled.
+    """
+    rows = df.select(F.coalesce(truth, F.lit(False)).alias("_truth"), F.when(able, F.col(score).cast("double")).alias("_score"))
+    if thresholds is None:
+        thresholds = observed_thresholds(rows, "_score", most)
+    spark, rising = df.sparkSession, sorted(range(len(thresholds)), key=lambda place: thresholds[place])
+    steps = [1 << power for power in reversed(range(max(1, len(rising).bit_length())))]
+    # One text, which the planner folds into a literal array.
+    listed = F.split(F.lit(",".join(repr(float(thresholds[place])) for place in rising)), ",").cast("array<double>")
+
+    def further(passed: Column, step: Column) -> Column:
+        ahead = passed + step
+        return F.when((ahead <= len(rising)) & (F.get(listed, ahead - 1) <= F.col("_score")), ahead).otherwise(passed)
+
+    reached = F.when(F.col("_score").isNull(), 0).otherwise(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further))
+    counted = (
+        rows.withColumn("_reached", reached)
+        .groupBy("_reached")
+        .agg(F.count_if("_truth").alias("_rare"), F.count_if(~F.col("_truth")).alias("_common"))
+    )
+    kinds = {"_rank": pa.int32(), "place": pa.int32(), "threshold": pa.float64()}
+    places = {"_rank": range(len(rising) + 1), "place": [-1, *rising], "threshold": [None, *[float(thresholds[place]) for place in rising]]}
+    joined = small_table(spark, places, kinds).join(counted, F.col("_rank") == F.col("_reached"), "left")
+    # One row per threshold.
+    from_here = Window.partitionBy().orderBy(F.desc("_rank"))
+    figures = joined.select(
+        "place",
+        "threshold",
+        F.sum(F.coalesce("_rare", F.lit(0))).over(from_here).alias("tp"),
+        F.sum(F.coalesce("_common", F.lit(0))).over(from_here).alias("fp"),
+        F.sum(F.coalesce("_rare", F.lit(0))).over(Window.partitionBy()).alias("_all"),
+    )
+    return _rates(figures.filter("place >= 0").select("place", "threshold", "tp", "fp", (F.col("_all") - F.col("tp")).alias("fn")))
+
+
 def best_threshold(sweep: DataFrame) -> float:
     """Threshold of the best F1, the earlier one on ties; the default when no F1 is above zero."""
     best = sweep.filter("f1 > 0").orderBy(F.desc("f1"), "place").limit(1).collect()

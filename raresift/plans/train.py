@@ -19,12 +19,12 @@ from raresift.constants import (
     SPECIALIST_THRESHOLD,
     TEST_SHARE,
 )
-from raresift.operators.cascade import confirmed, route, suspected
+from raresift.operators.cascade import route, suspected
 from raresift.operators.cleaning import clean_features, coerce_features, normalise_missing
 from raresift.operators.diagnosis import contaminant_flow, gate_diagnostics, generalist_diagnostics, specialist_diagnostics
 from raresift.operators.encoding import LabelCodes, fit_labels, merged_code
 from raresift.operators.isolation import fit_isolation, strange
-from raresift.operators.metrics import best_threshold, choose_filter, classification_report, filter_rates, threshold_sweep
+from raresift.operators.metrics import best_threshold, choose_filter, classification_report, filter_rates, sweep_scores
 from raresift.operators.models import Cascade, CascadeConfig, train_cascade
 from raresift.operators.profiling import (
     class_distribution,
@@ -50,7 +50,8 @@ class TrainConfig:
     reconstruction: str = "linear"  # or "dense"
     reconstruction_width: int | None = None
     epochs: int = 100
-    sweep: tuple[float, ...] = (SPECIALIST_THRESHOLD,)
+    #: Specialist thresholds to try; None tries all scores observed on held-out rows.
+    sweep: tuple[float, ...] | None = (SPECIALIST_THRESHOLD,)
     cascade: CascadeConfig = field(default_factory=CascadeConfig)
     seed: int = SEED
 
@@ -152,8 +153,8 @@ def train(
     bundle, rates = _filters(training, testing, noise, scaler, features, id_col, prepared.labels, config)
     rare = config.cascade.rare_codes
     scored = materialise(bundle.cascade.score(testing))
-    sweep = threshold_sweep(
-        scored, F.col("code").isin(*rare), lambda value: suspected(GATE_THRESHOLD) & confirmed(value), config.sweep
+    sweep = sweep_scores(
+        scored, F.col("code").isin(*rare), suspected(GATE_THRESHOLD) & (F.col("spec_label") == MERGED_RARE_CODE), "spec_conf", config.sweep
     )
     threshold = best_threshold(sweep)
     routed = route(scored, threshold=threshold).withColumn("merged", merged_code(F.col("code"), rare))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from raresift.operators.metrics import (
     confusion_matrix,
     evaluate_predictions,
     filter_rates,
+    sweep_scores,
     threshold_sweep,
     with_balanced_weight,
 )
@@ -174,3 +176,27 @@ def test_sweep(spark):
     assert found == {0.5: (2, 1, 0, pytest.approx(0.8)), 0.9: (1, 0, 1, pytest.approx(2 / 3)), 0.99: (0, 0, 2, 0.0)}
     assert best_threshold(swept) == 0.5
     assert best_threshold(swept.filter("threshold > 0.95")) == 0.5
+
+
+def test_sweep_over_scores_equals_one_threshold_at_a_time(spark):
+    draw = np.random.default_rng(8)
+    values = [(int(y), float(np.round(s, 2)), bool(a)) for y, s, a in zip(draw.integers(0, 3, 400), draw.uniform(0, 1, 400), draw.random(400) < 0.7)]
+    rows = spark.createDataFrame([*values, (2, None, True), (2, 0.5, None)], "y int, s double, a boolean")
+    asked = [0.9, 0.1, 0.5, 0.5, -1.0, 2.0]
+    truth, able = F.col("y") == 2, F.col("a")
+    one = threshold_sweep(rows, truth, lambda value: able & (F.col("s") >= value), asked)
+    many = sweep_scores(rows, truth, able, "s", asked).orderBy("place")
+    assert [tuple(row) for row in many.select(one.columns).collect()] == [tuple(row) for row in one.orderBy("place").collect()]
+    every = sweep_scores(rows, truth, able, "s")
+    seen = sorted({s for _, s, a in values if a})
+    assert [row.threshold for row in every.orderBy("place").collect()] == seen
+    assert sweep_scores(rows.limit(0), truth, able, "s").count() == 0
+
+
+def test_ten_thousand_thresholds_in_one_aggregate(spark):
+    rows = spark.range(30_000).select((F.col("id") % 3 == 0).alias("t"), (F.col("id") / 30_000).alias("s"))
+    found = sweep_scores(rows, F.col("t"), F.lit(True), "s", [step / 10_000 for step in range(10_000)])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Range (0, 30000") == 1 and "Python" not in text
+    row = found.filter("place = 5000").first()
+    assert (row.tp, row.fp, row.fn) == (5000, 10000, 5000) and found.count() == 10_000
