@@ -61,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
             made.add_argument("--shards", type=int, default=None)
         else:
             made.add_argument("--checkpoint", required=True)
+            made.add_argument("--once-per-id", action="store_true", help="remember scored ids; skip one that arrives again")
     job("curate", "first", "second", "target", "output")
     made = job("contaminants", "catalogue", "output")
     made.add_argument("--preset", default="default")
@@ -135,7 +136,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> object:
     schema = read_table(spark, options.catalogue, kind).schema
     texts = T.StructType([T.StructField(field.name, T.StringType()) for field in schema]) if kind == "csv" else schema
     source = stream_catalogue(spark, options.catalogue, texts, kind)
-    query = score_stream(source, bundle, options.output, options.checkpoint, options.id, known, options.output_format, **limits)
+    query = score_stream(source, bundle, options.output, options.checkpoint, options.id, known, options.output_format, **limits, once_per_id=options.once_per_id)
     query.awaitTermination()
     return {"batches": len(query.recentProgress)}
 

@@ -43,6 +43,18 @@ def exclude_known(df: DataFrame, lists: Sequence[tuple[DataFrame, str]], id_col:
     return df.filter(~listed).unionByName(df.filter(listed).join(known, on_list, "left_anti"))
 
 
+def once_per_id(df: DataFrame, id_col: str) -> DataFrame:
+    """One row per id; rows without id all stay.
+
+    On a stream the ids seen so far are kept as state, so that a row is also dropped when its id came in an earlier batch,
+    before a restart too. The state grows with the distinct ids; for very many keep it in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    require_columns(df, [id_col])
+    nameless = F.col(id_col).isNull()
+    return df.filter(~nameless).dropDuplicates([id_col]).unionByName(df.filter(nameless))
+
+
 def known_source_stats(df: DataFrame, lists: Mapping[str, tuple[DataFrame, str]], id_col: str) -> DataFrame:
     """Per list: distinct ids on it and rows of ``df`` it removes; then the rows any list removes and the rest.
 

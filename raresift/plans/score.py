@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from raresift.constants import GATE_THRESHOLD, ID_COLUMN, SPECIALIST_THRESHOLD
 from raresift.operators.cascade import route, verdict_message, verdicts
 from raresift.operators.cleaning import clean_features
-from raresift.operators.curation import exclude_known
+from raresift.operators.curation import exclude_known, once_per_id
 from raresift.schema import project_features
 from raresift.sources.bundle import Bundle
 from raresift.sources.tables import write_verdicts
@@ -23,10 +23,11 @@ def clean_catalogue(
 
 
 def scored_rows(
-    df: DataFrame, bundle: Bundle, id_col: str = ID_COLUMN, known: Sequence[tuple[DataFrame, str]] = ()
+    df: DataFrame, bundle: Bundle, id_col: str = ID_COLUMN, known: Sequence[tuple[DataFrame, str]] = (), once: bool = False
 ) -> DataFrame:
-    """Clean, scaled rows with every score column."""
-    rows = bundle.scaler.transform(clean_catalogue(df, bundle.features, id_col, known))
+    """Clean, scaled rows with every score column; with ``once`` an id is scored a single time."""
+    clean = clean_catalogue(df, bundle.features, id_col, known)
+    rows = bundle.scaler.transform(once_per_id(clean, id_col) if once else clean)
     return bundle.cascade.score(bundle.filtered(rows))
 
 
@@ -37,9 +38,11 @@ def score(
     known: Sequence[tuple[DataFrame, str]] = (),
     gate: float = GATE_THRESHOLD,
     threshold: float = SPECIALIST_THRESHOLD,
+    once: bool = False,
 ) -> DataFrame:
-    """One verdict row per complete, unknown source. Stateless and free of shuffles when the lists are small."""
-    return verdicts(route(scored_rows(df, bundle, id_col, known), gate=gate, threshold=threshold), id_col, bundle.labels)
+    """One verdict row per complete, unknown source. Stateless and free of shuffles unless an id is to be scored ``once``."""
+    rows = scored_rows(df, bundle, id_col, known, once)
+    return verdicts(route(rows, gate=gate, threshold=threshold), id_col, bundle.labels)
 
 
 def messages(

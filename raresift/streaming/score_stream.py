@@ -36,13 +36,15 @@ def score_stream(
     once: bool = True,
     gate: float = GATE_THRESHOLD,
     threshold: float = SPECIALIST_THRESHOLD,
+    once_per_id: bool = False,
 ) -> StreamingQuery:
     """Score every new file exactly once and append the verdicts.
 
-    The checkpoint remembers which files are done. With ``once`` the query stops when nothing new is left.
+    The checkpoint remembers which files are done. With ``once`` the query stops when nothing new is left. With
+    ``once_per_id`` it also remembers the ids scored: one that arrives again, in any later batch or run, is skipped.
     """
     writer = (
-        score(source, bundle, id_col, known, gate, threshold)
+        score(source, bundle, id_col, known, gate, threshold, once_per_id)
         .writeStream.outputMode("append")
         .format(fmt)
         .option("checkpointLocation", checkpoint)

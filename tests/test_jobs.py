@@ -167,6 +167,25 @@ def test_stream_equals_batch(spark, system, catalogue, tmp_path, per_batch):
     assert sorted(map(tuple, spark.read.parquet(outgoing).collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_stream_scores_an_id_once_over_restarts(spark, system, catalogue, tmp_path, monkeypatch):
+    from raresift.operators import sizing
+
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)  # the long way of the id list, on a stream too
+    rows = catalogue.select("sourceid", *FEATURES).limit(60).cache()
+    first, again = rows.limit(40), rows
+    incoming, outgoing = str(tmp_path / "in"), str(tmp_path / "out")
+    known = [(rows.limit(5).select("sourceid"), "sourceid")]
+    nameless = rows.limit(1).withColumn("sourceid", F.lit(None).cast("string"))
+    for part in (first.unionByName(first.limit(3)), again.unionByName(nameless), nameless):
+        part.coalesce(1).write.mode("append").option("header", True).csv(incoming)
+        source = stream_catalogue(spark, incoming, rows.schema)
+        score_stream(source, system.bundle, outgoing, str(tmp_path / "progress"), known=known, once_per_id=True).awaitTermination()
+    listed = {row[0] for row in known[0][0].collect()}
+    ids = [row.id for row in spark.read.parquet(outgoing).collect()]
+    assert sorted(filter(None, ids)) == sorted({row.sourceid for row in rows.collect()} - listed)
+    assert ids.count(None) == 2
+
+
 def test_contaminants(spark, system, junk):
     scaler = system.bundle.scaler
     assert load_contaminants(junk, FEATURES, scaler, "sourceid", 100).count() == 100
