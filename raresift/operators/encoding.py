@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.constants import MERGED_RARE_CODE, RARE_CODES
 from raresift.operators.ordering import numbered
-from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
+from raresift.operators.sizing import CLASS_ROWS, LOOKUP_ROWS, bounded_rows, small_table
 from raresift.schema import require_columns
 from raresift.session import materialise
 
@@ -53,9 +53,9 @@ class LabelCodes:
 
 def fit_labels(df: DataFrame, label: str) -> LabelCodes:
     """Labels of a class column. A column with more values than a lookup holds is not a class column."""
-    rows = bounded_rows(_distinct_labels(df, label), LOOKUP_ROWS)
+    rows = bounded_rows(_distinct_labels(df, label), CLASS_ROWS)
     if rows is None:
-        raise ValueError(f"{label!r} has more than {LOOKUP_ROWS} values; use factorize for such columns")
+        raise ValueError(f"{label!r} has more than {CLASS_ROWS} values; use factorize for such columns")
     return LabelCodes(tuple(sorted(row.label for row in rows)))
 
 

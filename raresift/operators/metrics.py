@@ -16,10 +16,10 @@ from raresift.constants import (
 )
 from raresift.functions.values import share
 from raresift.operators.encoding import LabelCodes
-from raresift.operators.sampling import group_counts
 from raresift.operators.selection import counts_of, values_at_ranks
-from raresift.operators.sizing import small_table
+from raresift.operators.sizing import broadcast_if_small, small_table
 from raresift.schema import require_columns
+from raresift.session import materialise
 
 #: Thresholds that a sweep over observed scores tries at most.
 MOST_THRESHOLDS = 10_000
@@ -130,17 +130,14 @@ def report_from_pairs(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def with_balanced_weight(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Weight ``n / (classes * rows of the class)`` per row; the class counts are looked up, not windowed."""
-    counts = group_counts(df, label)
-    rows = sum(counts.values())
-    names = list(counts)
-    kind = pa.string() if any(isinstance(name, str) for name in names) else pa.int64()
-    table = small_table(
-        df.sparkSession,
-        {"_class": names, weight: [rows / (len(names) * counts[name]) for name in names]},
-        {"_class": kind, weight: pa.float64()},
-    )
-    return df.join(F.broadcast(table), F.col(label) == F.col("_class"), "left").drop("_class")  # one row per class
+    """Weight ``n / (classes * rows of the class)`` per row; rows without class get none.
+
+    The class counts are looked up, not windowed; a table of more classes than a broadcast holds is joined by shuffle.
+    """
+    counts = materialise(df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+    rows, classes = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    weights = counts.select("_class", (F.lit(float(rows or 0)) / (F.lit(float(classes)) * F.col("_n"))).alias(weight))
+    return df.join(broadcast_if_small(weights, "_class"), F.col(label) == F.col("_class"), "left").drop("_class")
 
 
 def evaluate_predictions(

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from raresift.operators.sizing import LOOKUP_ROWS, small_table
+from raresift.operators.sizing import LOOKUP_ROWS, column_type, small_table
 from raresift.session import materialise
 
 # Rows that may be ranked by one task.
@@ -81,7 +81,7 @@ def smallest_key_cutoffs(
         wanted = small_table(
             df.sparkSession,
             {"g": list(state), "need": [need for _, need, _ in state.values()]},
-            {"g": _arrow_type(list(state)), "need": pa.int64()},
+            {"g": column_type(list(state)), "need": pa.int64()},
         )
         edge = (
             counted.withColumn("upto", running)
@@ -156,7 +156,7 @@ def _against(df: DataFrame, group: str, key: str, cutoffs: Mapping[object, Cutof
             "_cutoff": [cutoff.key for cutoff in cutoffs.values()],
             "_divided": [cutoff.divided for cutoff in cutoffs.values()],
         },
-        {"_group": _arrow_type(list(cutoffs)), "_cutoff": pa.string(), "_divided": pa.bool_()},
+        {"_group": column_type(list(cutoffs)), "_cutoff": pa.string(), "_divided": pa.bool_()},
     )
     # One row per class; the callers have checked their number.
     joined = df.join(F.broadcast(table), F.col(group) == F.col("_group"), "left")
@@ -174,15 +174,11 @@ def _inside(rows: DataFrame, state: Mapping[object, tuple[str, int, int]], depth
     table = small_table(
         rows.sparkSession,
         {"g": list(state), "edge": [edge for edge, _, _ in state.values()]},
-        {"g": _arrow_type(list(state)), "edge": pa.string()},
+        {"g": column_type(list(state)), "edge": pa.string()},
     )
     return rows.withColumn("edge", prefix).join(F.broadcast(table), ["g", "edge"], "left_semi").select("g", "k")
 
 
-def _arrow_type(values: list) -> pa.DataType:
-    return pa.string() if any(isinstance(value, str) for value in values) else pa.int64()
-
-
 def ranked_by_key(df: DataFrame, group: str, key: str, rank: str, largest_group: int) -> DataFrame:
     """Zero-based rank by key within each group.
 

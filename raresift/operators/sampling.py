@@ -26,15 +26,15 @@ from raresift.constants import (
 )
 from raresift.functions.keyed import draw_key, key_number, standard_normal, uniform, wide_number
 from raresift.operators.ordering import mark_smallest, ranked_by_key
-from raresift.operators.sizing import LOOKUP_ROWS, bounded_rows, small_table
+from raresift.operators.sizing import CLASS_ROWS, bounded_rows, column_type, small_table
 from raresift.schema import require_columns
 
 
 def group_counts(df: DataFrame, group: str) -> dict:
     """Rows per value of a class column; refuses a column that is no class column."""
-    rows = bounded_rows(df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")), LOOKUP_ROWS)
+    rows = bounded_rows(df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")), CLASS_ROWS)
     if rows is None:
-        raise ValueError(f"{group!r} has more than {LOOKUP_ROWS} values and is no class column")
+        raise ValueError(f"{group!r} has more than {CLASS_ROWS} values and is no class column")
     return {row.g: row.n for row in rows if row.g is not None}
 
 
@@ -218,9 +218,8 @@ def balanced_bootstrap(
         df.filter(F.col(label).isNotNull()).withColumn("_key", draw_key(seed, F.col(id_col))), label, "_key", "_rank", largest
     ).drop("_key")
     names = list(counts)
-    kind = pa.string() if any(isinstance(name, str) for name in names) else pa.int64()
     classes = small_table(
-        df.sparkSession, {"_class": names, "_size": list(counts.values())}, {"_class": kind, "_size": pa.int64()}
+        df.sparkSession, {"_class": names, "_size": list(counts.values())}, {"_class": column_type(names), "_size": pa.int64()}
     )
     draws = (
         df.sparkSession.range(bags * smallest)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 # Lookup tables up to this many rows are held by the driver and broadcast.
 LOOKUP_ROWS = 10_000
+# Values that a class column may have: its counts and cutoffs are held by the driver and broadcast.
+CLASS_ROWS = 1_000_000
 # Id lists up to this many rows and bytes are broadcast.
 BROADCAST_ROWS = 4_000_000
 BROADCAST_BYTES = 128 * 1024 * 1024
@@ -43,6 +45,11 @@ def measure(ids: DataFrame, column: str) -> Size:
     return Size(*ids.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first())
 
 
+def column_type(values: Sequence) -> pa.DataType:
+    """Arrow type of the values of one column."""
+    return pa.array(list(values)).type if len(values) else pa.int64()
+
+
 def broadcast_if_small(ids: DataFrame, column: str) -> DataFrame:
     """Hint a broadcast only when the list was counted and measured to be small.
 

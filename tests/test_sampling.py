@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from raresift.operators.metrics import with_balanced_weight
 from raresift.operators.sampling import (
     allocate,
     augmented_specialist_sample,
@@ -139,3 +140,17 @@ def test_bootstrap_is_balanced(table):
 def test_shards_cover_all_rows(table):
     found = Counter(row.shard for row in shard_of(table, "id", 4).collect())
     assert set(found) == {0, 1, 2, 3} and sum(found.values()) == 2000 and min(found.values()) > 400
+
+
+def test_very_many_classes_and_boolean_ones(spark):
+    """10,001 classes are split and weighed like few; a class may be true or false."""
+    rows = spark.range(30_003).select(F.col("id"), F.concat(F.lit("c"), F.col("id") % 10_001).alias("label"))
+    marked = stratified_split(rows, "label", "id", 0.5)
+    assert marked.filter("is_test").count() == 15_002
+    per_class = marked.groupBy("label").agg(F.count_if("is_test").alias("n"))
+    assert per_class.count() == 10_001 and per_class.filter("n NOT BETWEEN 1 AND 2").count() == 0
+    weighed = with_balanced_weight(rows, "label").agg(F.min("weight"), F.max("weight")).first()
+    assert weighed[0] == weighed[1] == pytest.approx(1.0)
+    flags = spark.range(100).select("id", (F.col("id") < 20).alias("label"))
+    assert stratified_split(flags, "label", "id", 0.2).filter("is_test").groupBy("label").count().orderBy("label").collect() == [(False, 16), (True, 4)]
+    assert {(row.label, row.weight) for row in with_balanced_weight(flags, "label").collect()} == {(True, 2.5), (False, 0.625)}
