@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from raresift.functions.values import mean_squared_error, position_of_max
+from raresift.functions.values import mean_squared_error, position_of_max, total
 from raresift.operators.cascade import route, verdicts
 from raresift.operators.cleaning import clean_features
 from raresift.operators.curation import exclude_known
@@ -20,11 +20,9 @@ from raresift.plans.inputs import (
     LINES,
     LINE_FEATURES,
     ORDER_FEATURES,
-    SQL_SCORES,
     VECTORS,
     VECTOR_FEATURES,
     lines,
-    made_scores,
     measurements,
     orders,
     vectors,
@@ -142,6 +140,43 @@ def load_contaminants_query(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- the flagship: score a catalogue -------------------------------------------------------------
 
+#: Weights per scaled feature and shift of three logistic scorers, given as the reconstruction above is.
+GIVEN_SCORERS = {
+    "gate": ((7.0, -5.0, 4.0, 2.0), -6.0),
+    "specialist": ((-3.0, 2.0, 9.0, -6.0), 0.5),
+    "generalist": ((-4.0, 6.0, 1.0, 3.0), -1.5),
+}
+
+
+def given_chance(name: str) -> Column:
+    weights, shift = GIVEN_SCORERS[name]
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total([*[F.col(x) * F.lit(w) for x, w in zip(LINE_FEATURES, weights)], F.lit(shift)])))
+
+
+def given_scores() -> dict[str, Column]:
+    """Score columns of a cascade whose three models are the given scorers over the scaled features."""
+    rare, common = given_chance("specialist"), given_chance("generalist")
+    return {
+        "p_rare": given_chance("gate"),
+        "spec_label": F.when(rare >= 0.5, F.lit(2)).otherwise(F.lit(99)),
+        "spec_conf": F.greatest(rare, F.lit(1.0) - rare),
+        "gen_label": F.when(common >= 0.5, F.lit(0)).otherwise(F.lit(1)),
+        "gen_conf": F.greatest(common, F.lit(1.0) - common),
+    }
+
+
+def sql_chance(name: str) -> str:
+    weights, shift = GIVEN_SCORERS[name]
+    summed = " + ".join([*[f"{x} * {_double(w)}" for x, w in zip(LINE_FEATURES, weights)], _double(shift)])
+    return f"({_double(1.0)} / ({_double(1.0)} + exp(-({summed}))))"
+
+
+SQL_GIVEN_SCORES = f"""{sql_chance('gate')} AS p_rare,
+       CASE WHEN {sql_chance('specialist')} >= 0.5 THEN 2 ELSE 99 END AS spec_label,
+       greatest({sql_chance('specialist')}, 1 - {sql_chance('specialist')}) AS spec_conf,
+       CASE WHEN {sql_chance('generalist')} >= 0.5 THEN 0 ELSE 1 END AS gen_label,
+       greatest({sql_chance('generalist')}, 1 - {sql_chance('generalist')}) AS gen_conf"""
+
 
 def raw_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with one feature written as text, in places badly."""
@@ -170,8 +205,7 @@ SQL_SCORING = [
     sql_reconstruction("scaled_training", "training_errors"),
     sql_reconstruction("scaled_catalogue", "errors"),
     "cut AS (SELECT quantile_cont(filter_score, 0.95) AS threshold FROM training_errors)",
-    f"drawn AS (SELECT id, {SQL_SCORES} FROM errors)",
-    "scored AS (SELECT drawn.* REPLACE (errors.filter_score AS filter_score), errors.filter_score > threshold AS is_anomaly FROM drawn JOIN errors USING (id), cut)",
+    f"scored AS (SELECT id, {SQL_GIVEN_SCORES}, filter_score, filter_score > threshold AS is_anomaly FROM errors, cut)",
     SQL_ROUTED,
 ]
 
@@ -180,7 +214,8 @@ SQL_SCORING = [
 def score_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """Exclude known ids, clean, scale, filter, route: one verdict row per source.
 
-    The models of the cascade are replaced by keyed draws, so that SQL can check every row.
+    The models are given ones (a projection and three logistic scorers over the scaled features), so that SQL can check
+    every row.
     """
     catalogue = raw_catalogue(spark, folder)
     # Read by the scale and by every pass of the percentile, so the coercion is paid once.
@@ -193,8 +228,7 @@ def score_catalogue(spark: SparkSession, folder: str) -> DataFrame:
         (source.filter((F.col("flag") == "A") & (F.col("tax") >= 0.08)).select("id"), "id"),
     ]
     rows = clean_features(exclude_known(catalogue.select("id", *LINE_FEATURES), known, "id"), LINE_FEATURES)
-    scores = {name: column for name, column in made_scores().items() if name != "filter_score"}
-    scored = GIVEN.score(scaler.transform(rows)).withColumns(scores).withColumn("is_anomaly", above(threshold))
+    scored = GIVEN.score(scaler.transform(rows)).withColumns(given_scores()).withColumn("is_anomaly", above(threshold))
     return verdicts(route(scored), "id", FLAGS)
 
 
