@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from raresift.constants import ID_COLUMN
 from raresift.functions.values import label_or_null
@@ -125,3 +126,64 @@ def rewrite_without(target: DataFrame, listed: DataFrame, new_path: str, fmt: st
         writer = delete_rows(target, listed).write.mode("overwrite").format(fmt)
         (writer.option("header", True) if fmt == "csv" else writer).save(new_path)
     return removed
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Name of the newest committed version of a versioned table, None when there is none.
+
+    A version counts once its name stands below ``commits``, where it is put by one small append after all its data
+    is written. What a killed write left is named nowhere and never read.
+    """
+    try:
+        return spark.read.text(f"{root}/commits").agg(F.max("value")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_version(spark: SparkSession, root: str, version: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """A version of the table, the current one by default. Later writes do not touch it."""
+    name = version or current_version(spark, root)
+    if name is None:
+        raise FileNotFoundError(f"no committed version below {root}")
+    return read_table(spark, f"{root}/data/{name}", fmt)
+
+
+def write_version(df: DataFrame, root: str, fmt: str = "parquet") -> str:
+    """Write the next version beside the others; it becomes the current one when it is complete."""
+    name = _new_version(df.sparkSession, root)
+    _write_data(df, f"{root}/data/{name}", fmt)
+    _commit(df.sparkSession, root, name)
+    return name
+
+
+def rewrite_version_without(spark: SparkSession, root: str, listed: DataFrame, fmt: str = "parquet") -> int:
+    """Make a version without the listed rows and return how many went; readers keep the version they have.
+
+    The table is joined once: rows are counted before and after the join while they are written. When none was
+    listed the current version stays.
+    """
+    name = _new_version(spark, root)
+    before, after = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("rows")
+    kept = delete_rows(read_version(spark, root, fmt=fmt).observe(before, count), listed).observe(after, count)
+    _write_data(kept, f"{root}/data/{name}", fmt)
+    removed = before.get["rows"] - after.get["rows"]
+    if removed:
+        _commit(spark, root, name)
+    return removed
+
+
+def _new_version(spark: SparkSession, root: str) -> str:
+    current = current_version(spark, root)
+    return f"{int(current.split('-')[0]) + 1 if current else 1:012d}-{uuid.uuid4().hex}"
+
+
+def _write_data(df: DataFrame, path: str, fmt: str) -> None:
+    writer = df.write.format(fmt)
+    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+
+
+def _commit(spark: SparkSession, root: str, name: str) -> None:
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{root}/commits")

@@ -16,13 +16,17 @@ from raresift.plans.train import TrainConfig, load_contaminants, train
 from raresift.sources.bundle import load_bundle, save_bundle
 from raresift.sources.tables import (
     count_rows,
+    current_version,
     read_catalogue,
     read_known_lists,
     read_optional_ids,
     read_table,
     read_verdicts,
+    read_version,
+    rewrite_version_without,
     rewrite_without,
     write_verdicts,
+    write_version,
 )
 from raresift.schema import MissingColumns
 from raresift.streaming.score_stream import score_stream, stream_catalogue
@@ -296,3 +300,22 @@ def test_thresholds_reach_the_verdicts(spark, system, catalogue, tmp_path):
     assert "Confirmed_Rare" in stages("usual")
     assert "Confirmed_Rare" not in stages("strict", threshold=1.1)
     assert stages("shut", gate=1.1) == {"Filter", "Direct_Generalist"}
+
+
+def test_versions_outlive_a_killed_write(spark, tmp_path):
+    root = f"file://{tmp_path}/table"
+    with pytest.raises(FileNotFoundError):
+        read_version(spark, root)
+    rows = spark.range(100).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("v"))
+    first = write_version(rows.unionByName(rows.limit(5)), root)
+    reader = read_version(spark, root)
+    assert rewrite_version_without(spark, root, rows.filter("id < 20")) == 25
+    assert reader.count() == 105 and read_version(spark, root).count() == 80  # readers keep what they have
+    second = current_version(spark, root)
+    broken = F.udf(lambda value: 1 // (value - 70), "bigint")
+    with pytest.raises(Exception):
+        write_version(read_version(spark, root).withColumn("v", broken("id")), root)
+    assert current_version(spark, root) == second and read_version(spark, root).count() == 80
+    assert rewrite_version_without(spark, root, rows.filter("id < 20")) == 0 and current_version(spark, root) == second
+    assert read_version(spark, root, first).count() == 105
+    assert rewrite_version_without(spark, root, rows) == 80 and read_version(spark, root).columns == ["id", "v"]
