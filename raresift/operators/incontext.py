@@ -52,7 +52,7 @@ class ContextClassifier:
         @F.pandas_udf("array<double>")
         def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                x = np.array(batch.tolist(), dtype=float).reshape(len(batch), len(self.features))
+                x = np.concatenate(batch.to_list() or [[]]).astype(float).reshape(len(batch), len(self.features))
                 yield pd.Series(list(answer(x)))
 
         return probabilities(values)

@@ -3,27 +3,26 @@
 A double's bits, with those of negative numbers turned over, sort like the number itself. One pass counts the leading 16
 bits of all values; the digit in which each wanted rank falls is found by running sums, and the next pass counts the
 next 16 bits of the values that share it. After four passes at most every rank has all its 64 bits: no sketch, no
-sort, no bracket that can miss. Once few values share the digits found so far, these values themselves are fetched. Counts are combined per batch and per task before they are shuffled.
+sort, no bracket that can miss. Once few values share the digits found so far, these values themselves are fetched. Counts are combined per task before they are shuffled, and all of it
+runs inside the JVM.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from raresift.operators.sizing import small_table
-from raresift.session import ship_package
 
 DIGIT_BITS = 16
 PASSES = 64 // DIGIT_BITS
 _SIGN = np.uint64(1 << 63)
 #: Values that the driver may fetch in place of further passes.
 FETCHED = 200_000
-COUNTED = "place int, prefix bigint, digit int, n bigint"
 
 
 def ordered_bits(values: np.ndarray) -> np.ndarray:
@@ -37,59 +36,43 @@ def from_ordered_bits(bits: int) -> float:
     return float(np.array([plain], np.uint64).view(np.float64)[0])
 
 
-def _known_only(bits: np.ndarray, leading: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return bits[:0]
-    at = np.minimum(np.searchsorted(known, leading), len(known) - 1)
-    return bits[known[at] == leading]
+def _keyed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``place, key`` of every value: the column's number and the ordered bits, as a 64-bit number read without sign."""
+    value = F.col("value")
+    plain = F.when(value == 0, F.lit(0.0)).otherwise(value)  # one zero
+    # Spark has no function for the bits of a double; the Java method runs inside the JVM.
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), plain).cast("bigint")
+    turned = F.when(F.col("bits") < 0, F.bitwise_not("bits")).otherwise(F.col("bits").bitwiseXOR(F.lit(-(1 << 63))))
+    listed = df.select(F.posexplode(F.array(*columns)).alias("place", "value")).filter(value.isNotNull() & ~F.isnan(value))
+    return listed.select("place", bits.alias("bits")).select("place", turned.alias("key"))
 
 
-def _bits_of(column: pa.Array) -> np.ndarray:
-    values = column.drop_null().to_numpy(zero_copy_only=False)
-    return ordered_bits(values[~np.isnan(values)])
+def _sharing(keyed: DataFrame, known: list[np.ndarray], shift: int) -> DataFrame:
+    """Values whose bits above ``shift`` are among the ``known`` ones of their column."""
+    entries = [(place, _signed(int(bits))) for place, own in enumerate(known) for bits in own]
+    kinds = {"place": pa.int32(), "prefix": pa.int64()}
+    # One row per wanted rank at most.
+    wanted = small_table(keyed.sparkSession, {name: [entry[i] for entry in entries] for i, name in enumerate(kinds)}, kinds)
+    return keyed.withColumn("prefix", F.shiftrightunsigned("key", shift)).join(F.broadcast(wanted), ["place", "prefix"], "left_semi")
 
 
 def _count_digits(df: DataFrame, columns: Sequence[str], known: list[np.ndarray] | None, turn: int) -> DataFrame:
     """``place, prefix, digit, n`` of the values whose leading bits are among the ``known`` ones of their column."""
-    shift = np.uint64(64 - DIGIT_BITS * (turn + 1))
-    above = np.uint64(DIGIT_BITS)
-    mask = np.uint64((1 << DIGIT_BITS) - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place in range(batch.num_columns):
-                leading = _bits_of(batch.column(place)) >> shift
-                if known is not None:
-                    leading = _known_only(leading, leading >> above, known[place])
-                found, counts = np.unique(leading, return_counts=True)
-                prefix = found >> above if turn else np.zeros(len(found), np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(found), place, np.int32)),
-                        pa.array(prefix.view(np.int64)),
-                        pa.array((found & mask).astype(np.int32)),
-                        pa.array(counts.astype(np.int64)),
-                    ],
-                    ["place", "prefix", "digit", "n"],
-                )
-
-    counted = df.select(*columns).mapInArrow(run, COUNTED)
-    return counted.groupBy("place", "prefix", "digit").agg(F.sum("n").alias("n"))
+    shift = 64 - DIGIT_BITS * (turn + 1)
+    keyed = _keyed(df, columns)
+    if known is None:
+        rows = keyed.withColumn("prefix", F.lit(0).cast("bigint"))
+    else:
+        rows = _sharing(keyed, known, shift + DIGIT_BITS)
+    leading = F.shiftrightunsigned("key", shift) if shift else F.col("key")
+    digit = leading.bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).cast("int")
+    return rows.groupBy("place", "prefix", digit.alias("digit")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _fetch(df: DataFrame, columns: Sequence[str], known: list[np.ndarray], turn: int) -> list[np.ndarray]:
     """Ordered bits of all values of each column that share the bits found up to ``turn``, in order."""
-    shift = np.uint64(64 - DIGIT_BITS * (turn + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for place in range(batch.num_columns):
-                bits = _bits_of(batch.column(place))
-                found = _known_only(bits, bits >> shift, known[place])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), place, np.int32)), pa.array(found.view(np.int64))], ["place", "bits"])
-
-    rows = df.select(*columns).mapInArrow(run, "place int, bits bigint").toArrow()  # FETCHED at most
-    place, bits = rows.column("place").to_numpy(), rows.column("bits").to_numpy().view(np.uint64)
+    rows = _sharing(_keyed(df, columns), known, 64 - DIGIT_BITS * (turn + 1)).select("place", "key").toArrow()  # FETCHED at most
+    place, bits = rows.column("place").to_numpy(), rows.column("key").to_numpy().view(np.uint64)
     return [np.sort(bits[place == own]) for own in range(len(columns))]
 
 
@@ -117,7 +100,6 @@ def counts_of(df: DataFrame, columns: Sequence[str]) -> list[int]:
 
 def values_at_ranks(df: DataFrame, columns: Sequence[str], ranks: Sequence[Sequence[int]]) -> list[list[float]]:
     """Values at zero-based ranks of each column; ranks must lie below the number of its values."""
-    ship_package(df.sparkSession)
     doubles = df.select(*[F.col(name).cast("double").alias(f"c{place}") for place, name in enumerate(columns)])
     names = doubles.columns
     # Every wanted rank as (place, bits so far, rank among the values with these bits).
