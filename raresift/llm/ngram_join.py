@@ -3,8 +3,12 @@
 A document is its set of distinct n-grams. All sets are ordered alike, rarer n-grams first. If two sets are similar
 enough, their prefixes of ``n - need + l`` n-grams share at least ``l``; where prefixes of different ``l`` meet, the smaller
 ``l`` counts. Each document lengthens its prefix as long as the estimated cost falls: reading more lists against
-verifying fewer candidates. Frequencies come from a table of counters over all n-grams of all documents; its size is
-fixed, and it steers only the order, never the result.
+verifying fewer candidates.
+
+Frequencies are counted over all documents. Documents are cut into chunks of a few megabytes; each chunk sends its
+distinct n-grams to ranges of n-grams, four bytes each, and every range answers each chunk with one byte per n-gram. The
+number of ranges follows the size of all texts, so a range stays a task of bounded size. N-grams of one document come
+first in a prefix and need no list.
 
 Equal sets are one node. Candidates are linked in two rounds. First every node is verified against the most central
 node (the one with the most frequent n-grams) of its lists, which joins most of a large group at linear cost. Then all
@@ -12,8 +16,9 @@ candidate pairs of nodes in *different* components so far are verified, so no li
 group of thousands of copies never expands into its pairs. Sets are told apart by 64-bit sums.
 
 Defined cases: null and empty texts have no n-grams and are alone; a text with fewer words than ``n`` has one n-gram,
-the whole; rows with equal ids are one document to others but keep their own rows; rows without id are returned without
-a component; further columns are not read; an empty table gives an empty result.
+the whole; rows with equal ids are one document that holds all their texts, so what links to one of them is linked to
+all, and each keeps its own row; rows without id are returned without a component; further columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from raresift.llm import text as t
 from raresift.session import materialise
 
-COUNTER_BITS = 21
-SLICES = 64
+#: Text bytes per chunk of documents (a longer document is a chunk), and per range of n-grams.
+CHUNK_BYTES = 4_000_000
+RANGE_BYTES = 8_000_000
+#: Copies of a hub's row, over which the nodes that meet it are dealt.
+HUB_COPIES = 16
 MOST_MATCHES = 4
 #: What verifying a candidate costs, in list entries read.
 VERIFY_COST = 8.0
@@ -59,39 +67,69 @@ def shingles(texts: t.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], doc[new]
 
 
-def count_table(docs: DataFrame, size: int) -> np.ndarray:
-    """Estimated documents per n-gram, as eighths of its logarithm; one byte per counter."""
-    width = 1 << COUNTER_BITS
-    part = width // SLICES
+def range_bits(texts: DataFrame) -> int:
+    """Leading hash bits that number the ranges of n-grams."""
+    held = texts.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    return min(24, max(2, (held // RANGE_BYTES).bit_length()))
+
+
+def _codes(value: np.ndarray, bits: int) -> np.ndarray:
+    """Range number and 32 further bits of each n-gram. N-grams with equal codes are counted as one."""
+    return value >> _U(32 - bits)
+
+
+_CHUNKS = "chunk bigint, doc_id bigint, text string, part int, codes binary, counts binary"
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def chunked(texts: DataFrame, size: int, bits: int) -> DataFrame:
+    """Rows of texts with the number of their chunk, and a row for each chunk and range that it has n-grams of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros(width, np.uint32)
+        names = _names(_CHUNKS)
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for texts in t.slices(batch.column(0)):
-                value, _ = shingles(texts, size)
-                total += np.bincount((value >> _U(64 - COUNTER_BITS)).astype(np.int64), minlength=width).astype(np.uint32)
-        if total.any():
-            salt = TaskContext.get().partitionId() % SLICES
-            rows = [total[place * part : (place + 1) * part].tobytes() for place in range(SLICES)]
-            arrays = [pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["slice", "salt", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.uint64)
-        for row in table.column("counts"):
-            total += np.frombuffer(row.as_py(), np.uint32)
-        total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-        return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
-
-    schema = "slice int, salt int, counts binary"
-    counted = docs.select("text").mapInArrow(t.tidy("ngram_join", count), schema)
-    summed = counted.groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    table = np.zeros(width, np.uint32)
-    for row in summed.collect():  # SLICES rows, 16 MiB in all
-        table[row.slice * part : (row.slice + 1) * part] = np.frombuffer(row.counts, np.uint32)
-    return np.minimum(255, np.floor(8 * np.log2(1.0 + table))).astype(np.uint8)
+            for found in t.slices(batch.column(1), CHUNK_BYTES):
+                count = len(found)
+                rows = batch.slice(found.first, count)
+                empty = [pa.nulls(count, kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+                arrays = [pa.array(np.full(count, chunk)), rows.column(0), rows.column(1), *empty]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                code, times = np.unique(_codes(shingles(found, size)[0], bits), return_counts=True)
+                part = (code >> _U(32)).astype(np.int32)
+                low, times = code.astype(np.uint32), times.astype(np.uint32)
+                parts, begin = np.unique(part, return_index=True)
+                edges = [*begin.tolist(), len(code)]
+                cut = list(zip(edges[:-1], edges[1:], strict=True))
+                arrays = [pa.array(np.full(len(parts), chunk)), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.string())]
+                arrays += [pa.array(parts)]
+                arrays += [pa.array([row[a:b].tobytes() for a, b in cut], pa.binary()) for row in (low, times)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                chunk += 1
+
+    return texts.select("doc_id", "text").mapInArrow(t.tidy("ngram_join", run), _CHUNKS)
+
+
+def levels(chunks: DataFrame) -> DataFrame:
+    """``chunk, part, levels``: eighths of the logarithm of each n-gram's documents, in the order that the chunk sent."""
+
+    def answer(sent: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(row.as_buffer(), np.uint32) for row in sent.column("codes")]
+        times = np.concatenate([np.frombuffer(row.as_buffer(), np.uint32) for row in sent.column("counts")])
+        code, at = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(at, weights=times, minlength=len(code))
+        level = np.minimum(255, np.floor(8 * np.log2(total))).astype(np.uint8)[at]
+        edges = np.cumsum([0, *map(len, rows)])
+        cut = [level[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"chunk": sent.column("chunk"), "part": sent.column("part"), "levels": pa.array(cut, pa.binary())})
+
+    sent = chunks.filter("part IS NOT NULL").select("chunk", "part", "codes", "counts")
+    return sent.groupBy("part").applyInArrow(answer, "chunk bigint, part int, levels binary")
+
+
+def _names(schema: str) -> list[str]:
+    return [column.split()[0] for column in schema.split(", ")]
 
 
 def need(sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -113,15 +151,26 @@ def sketches(value: np.ndarray, doc: np.ndarray, count: int) -> dict[str, np.nda
     return found
 
 
+def set_numbers(value: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
+    """A number per set, equal for equal sets; entries are in order of ``doc``."""
+    sizes = np.bincount(doc, minlength=count)
+    begin = np.cumsum(sizes) - sizes
+    with np.errstate(over="ignore"):
+        spread = np.concatenate([np.zeros(1, _U), np.cumsum(t.mix(value + _U(1)))])
+        return t.mix(spread[begin + sizes] - spread[begin] + sizes.astype(_U))
+
+
 def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray, percent: int) -> dict[str, np.ndarray]:
-    """Chosen prefixes: figures per document, and the entries of all prefixes (``at`` is their document)."""
+    """Chosen prefixes: figures per document, and the entries of all prefixes that other documents have (``at`` is their
+    document). ``level``: of each entry, 0 where no other document has it."""
     sizes = np.bincount(doc, minlength=count).astype(np.int64)
-    estimate = level[(value >> _U(64 - COUNTER_BITS)).astype(np.int64)].astype(np.int64)
+    node = set_numbers(value, doc, count)
+    estimate = level.astype(np.int64)
     rank = (estimate << 55) | (value >> _U(9)).astype(np.int64)
     order = np.lexsort((rank, doc))
     value, rank, estimate = value[order], rank[order], estimate[order]
     begin = np.cumsum(sizes) - sizes
-    cost = np.concatenate([[0.0], np.cumsum(np.exp2(estimate / 8.0))])
+    cost = np.concatenate([[0.0], np.cumsum(np.where(estimate > 0, np.exp2(estimate / 8.0), 0.0))])
     has = sizes > 0
     wanted = need(sizes, percent)
     best = np.full(count, np.inf)
@@ -136,15 +185,14 @@ def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray,
     entry = np.arange(length.sum()) + np.repeat(begin - (np.cumsum(length) - length), length)
     summed = np.concatenate([[0], np.cumsum(estimate)])
     middle = (summed[begin + sizes] - summed[begin]) * 15 // np.maximum(sizes, 1)  # 12 bits
-    with np.errstate(over="ignore"):
-        spread = np.concatenate([np.zeros(1, _U), np.cumsum(t.mix(value + _U(1)))])
-        node = t.mix(spread[begin + sizes] - spread[begin] + sizes.astype(_U))
     last = np.zeros(count, np.int64)
     last[has] = rank[(begin + length - 1)[has]]
     key = (middle << 51) | (node & _U((1 << 51) - 1)).astype(np.int64)
+    at = np.repeat(np.arange(count), length)
+    shared = estimate[entry] > 0
     return {
         "n": sizes, "node": node.view(np.int64), "key": key, "matches": matches, "last": last,
-        **sketches(value, doc[order], count), "token": value[entry].view(np.int64), "at": np.repeat(np.arange(count), length),
+        **sketches(value, doc[order], count), "token": value[entry][shared].view(np.int64), "at": at[shared],
     }
 
 
@@ -154,26 +202,33 @@ NAMES = ["token", "doc_id", *_FIGURES, *SKETCH]
 ROWS = ", ".join(f"{name} bigint" for name in NAMES)
 
 
-def node_rows(docs: DataFrame, level, size: int, percent: int) -> DataFrame:
-    """A row per document without token, and a row per prefix entry without document. ``level``: a broadcast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(level.value, np.uint8)
-        for batch in batches:
-            for texts in t.slices(batch.column(1)):
-                value, doc = shingles(texts, size)
-                found = prefixes(value, doc, len(texts), table, percent)
-                count = len(texts)
-                ids = batch.column(0).slice(texts.first, count)
-                arrays = [pa.nulls(count, pa.int64()), ids, *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
-                yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
-                at = found["at"]
-                arrays = [pa.array(found["token"]), pa.nulls(len(at), pa.int64())]
-                arrays += [pa.array(found[name][at]) for name in _FIGURES]
-                arrays += [pa.nulls(len(at), pa.int64()) for _ in SKETCH]
-                yield pa.RecordBatch.from_arrays(arrays, names=NAMES)
-
-    return docs.select("doc_id", "text").mapInArrow(t.tidy("ngram_join", run), ROWS)
+def node_rows(chunks: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """A row per document without token, and a row per prefix entry without document."""
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        made = []
+        answers = answers.sort_by("part")
+        level = np.frombuffer(b"".join(row.as_py() for row in answers.column("levels")), np.uint8)
+        for texts in t.slices(rows.column("text"), max(1, rows.nbytes)):  # all of them: a chunk is small or one text
+            value, doc = shingles(texts, size)
+            code = _codes(value, bits)
+            known = np.unique(code)
+            if len(known) != len(level):
+                raise RuntimeError("a chunk's texts and the answers it got do not belong together")
+            count = len(texts)
+            found = prefixes(value, doc, count, level[np.searchsorted(known, code)], percent)
+            ids = rows.column("doc_id").combine_chunks()
+            arrays = [pa.nulls(count, pa.int64()), ids, *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
+            made.append(pa.Table.from_arrays(arrays, names=NAMES))
+            at = found["at"]
+            arrays = [pa.array(found["token"]), pa.nulls(len(at), pa.int64())]
+            arrays += [pa.array(found[name][at]) for name in _FIGURES]
+            arrays += [pa.nulls(len(at), pa.int64()) for _ in SKETCH]
+            made.append(pa.Table.from_arrays(arrays, names=NAMES))
+        return pa.concat_tables(made)
+
+    rows = chunks.filter("part IS NULL").select("chunk", "doc_id", "text")
+    return rows.groupBy("chunk").cogroup(levels(chunks).groupBy("chunk")).applyInArrow(run, ROWS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,12 +263,12 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, per
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in t.slices(batch.column(1)):
+            for texts in t.slices(batch.column(0)):
                 value, doc = shingles(texts, size)
                 edges = np.searchsorted(doc, np.arange(len(texts) + 1))
                 rows = [value[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                arrays = [batch.column(0).slice(texts.first, len(texts)), pa.array(rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held"])
+                node = set_numbers(value, doc, len(texts)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(rows, pa.binary())], names=["node", "held"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +279,11 @@ def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, size: int, per
                 good.append(100 * shared >= percent * (len(left) + len(right) - shared))
             yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    chosen = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(t.tidy("ngram_join", sets), "doc_id bigint, held binary")
-    held = materialise(chosen.join(heads.select(F.col("head").alias("doc_id"), "node"), "doc_id").select("node", "held"))
+    # One id may hold several texts: sets are found by id, and told apart by their numbers.
+    rows = docs.join(ids, "doc_id", "left_semi").withColumn("mark", F.xxhash64("text")).withColumn("other", F.xxhash64(F.lit(1), "text"))
+    chosen = rows.dropDuplicates(["doc_id", "mark", "other"]).select("text")
+    found = chosen.mapInArrow(t.tidy("ngram_join", sets), "node bigint, held binary")
+    held = materialise(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     left = pairs.join(held.select(F.col("node").alias("x"), F.col("held").alias("left")), "x")
     both = left.join(held.select(F.col("node").alias("y"), F.col("held").alias("right")), "y")
     return both.select("x", "y", "left", "right").mapInArrow(t.tidy("ngram_join", check), "x bigint, y bigint")
@@ -249,8 +307,8 @@ def join(
     spark = docs.sparkSession
     t.prepare(spark)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    level = spark.sparkContext.broadcast(count_table(texts, size).tobytes())
-    rows = materialise(node_rows(texts, level, size, percent))
+    bits = range_bits(texts)
+    rows = materialise(node_rows(materialise(chunked(texts, size, bits)), size, percent, bits))
     nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *SKETCH)
     usable = nodes.filter("n > 0 AND doc_id IS NOT NULL")
     heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head")))
@@ -268,10 +326,14 @@ def join(
     known = ("n", *SKETCH)
     ends = heads.select(F.col("node").alias("x"), *[F.col(name).alias(f"a_{name}") for name in known])
     hubs = heads.select(F.col("key").alias("hub"), F.col("node").alias("y"), *[F.col(name).alias(f"b_{name}") for name in known])
-    star = met.select(F.col("node").alias("x"), "hub").join(ends, "x").join(hubs, "hub").filter("x <> y")
+    # Many nodes may meet one hub: they are dealt over copies of its row.
+    hubs = hubs.join(met.select("hub").distinct(), "hub", "left_semi")
+    hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(HUB_COPIES - 1))))
+    dealt = met.select(F.col("node").alias("x"), "hub", F.pmod("node", F.lit(HUB_COPIES)).cast("int").alias("copy"))
+    star = dealt.join(ends, "x").join(hubs, ["hub", "copy"]).filter("x <> y")
     star = materialise(star.filter(_could_link("a_", "b_", percent)).select("x", "y"))
     first = materialise(verified(star, heads, texts, size, percent))
-    edges = _edges(first, heads)
+    edges = materialise(_edges(first, heads).union(_same_id(usable, heads)))
     labels = components(edges)
     group = heads.join(labels, F.col("head") == F.col("id"), "left").select(
         "node", "key", *SKETCH, F.coalesce("component", "head").alias("label")
@@ -333,6 +395,14 @@ def _edges(links: DataFrame, heads: DataFrame) -> DataFrame:
     return links.join(a, "x").join(b, "y").select("a", "b")
 
 
+def _same_id(usable: DataFrame, heads: DataFrame) -> DataFrame:
+    """Edges from each id with several texts to the smallest documents of those."""
+    own = usable.select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    held = own.join(several.select("doc_id"), "doc_id", "left_semi").distinct().join(heads.select("node", "head"), "node")
+    return held.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the smallest document of each component; rows without id stay."""
     joined = join(docs, size, percent)
