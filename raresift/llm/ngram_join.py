@@ -96,7 +96,8 @@ def chunked(texts: DataFrame, size: int, bits: int) -> DataFrame:
                 empty = [pa.nulls(count, kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
                 arrays = [pa.array(np.full(count, chunk)), rows.column(0), rows.column(1), *empty]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
-                code, times = np.unique(_codes(shingles(found, size)[0], bits), return_counts=True)
+                code = [_codes(shingles(texts, size)[0], bits) for texts in t.slices(rows.column(1))]
+                code, times = np.unique(np.concatenate(code), return_counts=True)
                 part = (code >> _U(32)).astype(np.int32)
                 low, times = code.astype(np.uint32), times.astype(np.uint32)
                 parts, begin = np.unique(part, return_index=True)
@@ -209,16 +210,15 @@ def node_rows(chunks: DataFrame, size: int, percent: int, bits: int) -> DataFram
         made = []
         answers = answers.sort_by("part")
         level = np.frombuffer(b"".join(row.as_py() for row in answers.column("levels")), np.uint8)
-        for texts in t.slices(rows.column("text"), max(1, rows.nbytes)):  # all of them: a chunk is small or one text
-            value, doc = shingles(texts, size)
-            code = _codes(value, bits)
-            known = np.unique(code)
-            if len(known) != len(level):
-                raise RuntimeError("a chunk's texts and the answers it got do not belong together")
+        ids = rows.column("doc_id").combine_chunks()
+        sets = [(texts, *shingles(texts, size)) for texts in t.slices(rows.column("text"))]
+        known = np.unique(np.concatenate([_codes(value, bits) for _, value, _ in sets]))
+        if len(known) != len(level):
+            raise RuntimeError("a chunk's texts and the answers it got do not belong together")
+        for texts, value, doc in sets:
             count = len(texts)
-            found = prefixes(value, doc, count, level[np.searchsorted(known, code)], percent)
-            ids = rows.column("doc_id").combine_chunks()
-            arrays = [pa.nulls(count, pa.int64()), ids, *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
+            found = prefixes(value, doc, count, level[np.searchsorted(known, _codes(value, bits))], percent)
+            arrays = [pa.nulls(count, pa.int64()), ids.slice(texts.first, count), *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
             made.append(pa.Table.from_arrays(arrays, names=NAMES))
             at = found["at"]
             arrays = [pa.array(found["token"]), pa.nulls(len(at), pa.int64())]

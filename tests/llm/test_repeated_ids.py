@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from test_operators import brute_join
 
 from raresift.llm import ngram_join
-from raresift.llm import text as t
 
 
 def test_join_finds_all_links_of_an_id_with_two_texts(make):
@@ -53,7 +52,6 @@ def test_frequencies_are_exact(make):
         pairs.update(set(zip(words, words[1:], strict=False)) or ({tuple(words)} if words else set()))
     assert Counter(counts.values()) == Counter(pairs.values())
     assert chunks.filter("part IS NULL").agg(F.count("*")).first()[0] == len(texts)
-    assert t.SLICE_BYTES < ngram_join.CHUNK_BYTES
 
 
 def test_join_over_many_ranges_and_chunks(make, monkeypatch):
