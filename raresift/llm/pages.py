@@ -5,11 +5,14 @@ windows of lines. Text surges where a window passes a threshold and dives where
 element that holds enough of the page's text all such stretches are kept, and the short lines between them. Elsewhere
 stretches are joined where only removed furniture lies between them or where they share a container, and the joined
 stretches with most text are kept. Elements that are page furniture by their name, class, id or role (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) are left out. Runs of link-only lines between stretches are no
+footers, sidebars, notices, adverts, forms, comments) are left out. An element that only its words, or the names of a
+form or a header, mark is kept if it holds half of the page's unlinked text or more (``KEPT_SHARE``; nine tenths for reader
+comments): a wrapper around the article is no furniture. Words count within one class token, and not in tokens that deny
+them (``with-sidebar``), name a topic (``tag-advertising``) or a part of an article (``entry-header``). Runs of link-only lines between stretches are no
 text.
 
 Defined cases: null and empty pages give empty text; unclosed and crossing tags end with their parent; an element of
-furniture that is never closed is not dropped; equal rows give equal rows; further columns are not read; an empty
+furniture that is never closed is not dropped; a tag is matched with its end in one pass; equal rows give equal rows; further columns are not read; an empty
 table gives an empty result.
 """
 
@@ -30,10 +33,13 @@ WINDOW = 3
 SURGE_CHARS = 80
 #: A page's article element is trusted as the place of the main text if it holds this share of all text.
 ARTICLE_SHARE = 0.3
+#: An element with this share of all unlinked text is no furniture, whatever its words say; and for words of comments.
+KEPT_SHARE = 0.5
+KEPT_COMMENTS = 0.9
 
 # Element names of HTML.
 RAW = "script style noscript template iframe svg math object canvas audio video select textarea title head".split()
-FURNITURE = "nav footer aside form dialog menu button".split()
+FURNITURE = "nav footer aside dialog menu button".split()
 BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody "
@@ -54,20 +60,27 @@ MARKS = (
     "comment comments commentlist respond reply replies disqus discussion form search searchform "
     "contentinfo complementary dialog hidden"
 ).split()
+COMMENTS = "comment comments commentlist respond reply replies disqus discussion".split()
+#: In one class token with a mark: what denies it, what makes it a topic (in front), what makes it a part of an article.
+DENIED = "with without no not non has have to".split()
+TOPICS = "tag category topic".split()
+PARTS = "entry post article content story".split()
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>"
-    r"|<[!?/][^>]*>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>"
+    r"|<[!?/][^>]*(?:>|\Z)"
+    r"|<[a-zA-Z][^<>]*>",
     re.S,
 )
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _MARKS, _RAW, _FURNITURE, _BLOCKS, _VOID = map(frozenset, (MARKS, RAW, FURNITURE, BLOCKS, VOID))
+_COMMENTS, _DENIED, _TOPICS, _PARTS = map(frozenset, (COMMENTS, DENIED, TOPICS, PARTS))
 _CONTAINERS = frozenset(CONTAINERS)
 
 
@@ -107,44 +120,75 @@ class _State:
                 return
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in _FURNITURE or (name == "header" and not in_article):
+def _marks(value: str, in_article: bool) -> set[str]:
+    """Words of furniture in a class, an id or a role."""
+    found: set[str] = set()
+    for token in value.split():
+        parts = _SPLIT.split(_CAMEL.sub("-", token).lower())
+        marks = _MARKS.intersection(parts)
+        if marks == {"header"} and (in_article or not _PARTS.isdisjoint(parts)):
+            continue
+        if marks and _DENIED.isdisjoint(parts) and parts[0] not in _TOPICS:
+            found |= marks
+    return found
+
+
+def _is_furniture(name: str, attributes: str, in_article: bool, share: float) -> bool:
+    """``share``: what the element holds of the page's unlinked text."""
+    if name in _FURNITURE:
         return True
-    if not attributes or name in ("html", "body", "main", "article"):
+    if name in ("html", "body", "main", "article"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
+    marks = {name} if name == "form" or (name == "header" and not in_article) else set()
     for found in _ATTRIBUTE.finditer(attributes):
-        value = found[2] or found[3] or found[4] or ""
-        if not _MARKS.isdisjoint(_SPLIT.split(_CAMEL.sub("-", value).lower())):
+        key, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+        if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _UNSEEN.search(value)):
             return True
-    return False
-
-
-def _closing(tags: list[tuple], place: int) -> int | None:
-    """Index of the tag that closes the element opened at ``place``."""
-    name, depth = tags[place][3], 0
-    for later in range(place, len(tags)):
-        if tags[later][3] == name:
-            depth += -1 if tags[later][2] else 1
-            if depth == 0:
-                return later
-    return None
+        if key in ("class", "id", "role"):
+            marks |= _marks(value, in_article)
+    return bool(marks) and share < (KEPT_SHARE if _COMMENTS.isdisjoint(marks) else KEPT_COMMENTS)
+
+
+def _ends(tags: list[tuple]) -> dict[int, int]:
+    """Index of the tag that closes each element, by the index of its own tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for place, (_, _, closes, name, _) in enumerate(tags):
+        if not closes:
+            opened.setdefault(name, []).append(place)
+        elif opened.get(name):
+            ends[opened[name].pop()] = place
+    return ends
+
+
+def _unlinked(page: str, tags: list[tuple]) -> list[int]:
+    """Characters of text outside links before each tag, and in the whole page."""
+    found, total, at, linked = [], 0, 0, False
+    for start, end, closes, name, _ in [*tags, (len(page), len(page), False, "", "")]:
+        if not linked:
+            total += len(page[at:start].strip())
+        found.append(total)
+        at = end
+        if name == "a" or name in _BLOCKS:
+            linked = name == "a" and not closes
+    return found
 
 
 def _tags(page: str) -> list[tuple]:
     """Start, end, whether it closes, name and attributes of each tag; the content of raw elements belongs to the tag."""
     found: list[tuple] = []
+    open_ended: set[str] = set()  # raw elements that nothing closes from here on
     at = 0
     while (match := _TAG.search(page, at)) is not None:
         name = (match[2] or "").lower()
         end = match.end()
         if name in _RAW and not match[1] and not match[0].endswith("/>"):
-            close = _RAW_END[name].search(page, end)
+            close = None if name in open_ended else _RAW_END[name].search(page, end)
             if close is not None:
                 end = close.end()
-            elif name in ("script", "style"):
-                end = len(page)
+            else:
+                open_ended.add(name)
+                end = len(page) if name in ("script", "style") else end
             found.append((match.start(), end, False, "", ""))
         else:
             found.append((match.start(), end, bool(match[1]), name, match[3] or ""))
@@ -155,6 +199,7 @@ def _tags(page: str) -> list[tuple]:
 def page_lines(page: str) -> list[Line]:
     """The text lines of a page in order, with empty lines where furniture stood."""
     tags = _tags(page)
+    ends, before = _ends(tags), _unlinked(page, tags)
     state = _State()
     at, place, depth, article, link_from = 0, 0, 0, 0, None
     while place < len(tags):
@@ -171,14 +216,17 @@ def page_lines(page: str) -> list[Line]:
             elif link_from is not None:
                 state.linked += sum(map(len, state.parts[link_from:]))
                 link_from = None
-        elif name and not closes and name not in _VOID and _is_furniture(name, attributes, depth > 0):
-            last = _closing(tags, place - 1)
-            if last is not None:
-                state.flush(article)
-                link_from = None
-                if depth == 0:
-                    state.gap(furniture=True)
-                at, place = tags[last][1], last + 1
+        elif (
+            (last := ends.get(place - 1)) is not None
+            and name not in _VOID
+            and name != ""
+            and _is_furniture(name, attributes, depth > 0, (before[last] - before[place - 1]) / max(1, before[-1]))
+        ):
+            state.flush(article)
+            link_from = None
+            if depth == 0:
+                state.gap(furniture=True)
+            at, place = tags[last][1], last + 1
         elif name in _BLOCKS:
             state.flush(article)
             link_from = None
