@@ -153,7 +153,7 @@ class Model:
             if text[place] not in self.ids:
                 cost = len(text[place].encode()) if self.byte else 1
                 if place + 1 not in best or best[place + 1][0] < weight + 1 - cost:
-                    best[place + 1] = (weight + 1 - cost, -ord(text[place]), place)
+                    best[place + 1] = (weight + 1 - cost, ~ord(text[place]), place)
         return best
 
     def back(self, best: dict[int, tuple[int, int, int]], end: int) -> list[int]:
@@ -168,7 +168,7 @@ class Model:
     def numbers(self, piece: int) -> list[int]:
         if piece >= 0:
             return [piece]
-        return [self.byte[value] for value in chr(-piece).encode()] if self.byte else [self.unknown]
+        return [self.byte[value] for value in chr(~piece).encode()] if self.byte else [self.unknown]
 
     def _word(self, word: str) -> bytes:
         best = self.spread(word, 0, None, len(word), len(word))
@@ -205,7 +205,7 @@ class Model:
                 if piece is not None:
                     found.append(_state(piece, end - cut))
         if text[cut - 1] not in self.ids:
-            found.append(_state(-ord(text[cut - 1]), 0))
+            found.append(_state(~ord(text[cut - 1]), 0))
         return found
 
 
