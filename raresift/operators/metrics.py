@@ -243,6 +243,8 @@ def sweep_scores(
     """
     rows = df.select(F.coalesce(truth, F.lit(False)).alias("_truth"), F.when(able, F.col(score).cast("double")).alias("_score"))
     if thresholds is None:
+        # Read by every pass of the ranks and by the count, so the scores are worked out once.
+        rows = materialise(rows)
         thresholds = observed_thresholds(rows, "_score", most)
     spark, rising = df.sparkSession, sorted(range(len(thresholds)), key=lambda place: thresholds[place])
     steps = [1 << power for power in reversed(range(max(1, len(rising).bit_length())))]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raresift.operators import bits, sizing
+from raresift.operators import bits, metrics, sizing
 
 
 def test_bit_table_stays_small_for_the_driver(spark):
@@ -20,3 +20,11 @@ def test_short_bit_table_sets_fewer_bits(spark):
     listed, any_id = spark.range(40_000).agg(F.count_if(test(F.col("id")) & (F.col("id") < 20_000)), F.count_if(test(F.col("id")))).first()
     assert listed == 20_000
     assert any_id - listed < 11_000  # four bits per id let about 14,000 of the others through
+
+
+def test_observed_scores_are_worked_out_once(spark, monkeypatch):
+    frozen = []
+    monkeypatch.setattr(metrics, "materialise", lambda df, whole=metrics.materialise: frozen.append(df.columns) or whole(df))
+    rows = spark.range(500).select((F.col("id") % 3 == 0).alias("truth"), (F.col("id") % 50 / 50.0).alias("score"))
+    swept = metrics.sweep_scores(rows, F.col("truth"), F.col("score") > 0.1, "score")
+    assert swept.count() == 44 and ["_truth", "_score"] in frozen
