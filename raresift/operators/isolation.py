@@ -165,6 +165,21 @@ def fit_isolation(
     seed: int = 42,
 ) -> IsolationFilter:
     """Grow the trees in parallel and set the offset so that ``contamination`` of the training rows are strange."""
+    return fit_score_isolation(df, features, [], id_col, trees, contamination, sample, seed)[0]
+
+
+def fit_score_isolation(
+    df: DataFrame,
+    features: Sequence[str],
+    kept: Sequence[str],
+    id_col: str,
+    trees: int = 500,
+    contamination: float = 0.01,
+    sample: int = 256,
+    seed: int = 42,
+    output: str = "filter_score",
+) -> tuple[IsolationFilter, DataFrame]:
+    """(the filter, the ``kept`` columns and score of every training row): the offset needs all scores, so no row walks twice."""
     ship_package(df.sparkSession)
     names = list(features)
     depth = max(1, math.ceil(math.log2(sample)))
@@ -185,9 +200,10 @@ def fit_isolation(
     nodes = chosen.repartition(cores, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA).collect()
     grown = IsolationFilter(tuple(names), used, depth, 0.0, tuple(tuple(row) for row in sorted(nodes)))
     # Frozen, so that the trees run once and not for every pass of the percentile.
-    scores = materialise(grown.score(df.select(*names), "_score").select("_score"))
+    scores = materialise(grown.score(df.select(*dict.fromkeys([*kept, *names])), "_score").select(*kept, "_score"))
     offset = exact_percentile(scores, "_score", 100.0 * contamination)
-    return IsolationFilter(grown.features, grown.sample, grown.depth, offset, grown.nodes)
+    fitted = IsolationFilter(grown.features, grown.sample, grown.depth, offset, grown.nodes)
+    return fitted, scores.select(*kept, (F.col("_score") - F.lit(offset)).alias(output))
 
 
 def strange(score: str = "filter_score") -> Column:

@@ -9,7 +9,7 @@ from raresift.functions.values import mean_squared_error, position_of_max, total
 from raresift.operators.cascade import route, verdicts
 from raresift.operators.cleaning import clean_features
 from raresift.operators.curation import exclude_known
-from raresift.operators.isolation import fit_isolation, strange
+from raresift.operators.isolation import fit_score_isolation, strange
 from raresift.operators.metrics import classification_report
 from raresift.operators.models import CascadeConfig, feature_importance, train_classifier, with_vector
 from raresift.operators.reconstruction import LinearReconstruction, above, fit_dense, fit_linear, fit_threshold
@@ -238,8 +238,8 @@ def score_catalogue(spark: SparkSession, folder: str) -> DataFrame:
 @query("isolation_score")
 def isolation_score(spark: SparkSession, folder: str) -> DataFrame:
     rows = scaled_lines(spark, folder)
-    fitted = fit_isolation(rows, LINE_FEATURES, "id")
-    return fitted.score(rows).select("id", "filter_score", strange().alias("is_anomaly"))
+    _, scored = fit_score_isolation(rows, LINE_FEATURES, ["id"], "id")
+    return scored.select("id", "filter_score", strange().alias("is_anomaly"))
 
 
 def scaled_vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from raresift.operators import bits, metrics, sizing
+from raresift.operators.isolation import fit_isolation, fit_score_isolation
 
 
 def test_bit_table_stays_small_for_the_driver(spark):
@@ -22,6 +23,17 @@ def test_short_bit_table_sets_fewer_bits(spark):
     assert any_id - listed < 11_000  # four bits per id let about 14,000 of the others through
 
 
+def test_training_scores_are_those_of_the_filter(spark):
+    rows = spark.range(3_000).select(F.col("id").cast("string").alias("id"), *[(F.col("id") * k % 97 / 97.0).alias(f"f{k}") for k in (3, 5, 7)])
+    rows = rows.unionByName(rows.limit(10)).unionByName(rows.limit(5).withColumn("id", F.lit(None).cast("string")))
+    names = ["f3", "f5", "f7"]
+    fitted, scored = fit_score_isolation(rows, names, ["id"], "id", trees=20)
+    again = fit_isolation(rows, names, "id", trees=20)
+    assert fitted == again
+    assert scored.columns == ["id", "filter_score"]
+    assert scored.exceptAll(again.score(rows).select("id", "filter_score")).isEmpty() and scored.count() == 3_015
+
+
 def test_observed_scores_are_worked_out_once(spark, monkeypatch):
     frozen = []
     monkeypatch.setattr(metrics, "materialise", lambda df, whole=metrics.materialise: frozen.append(df.columns) or whole(df))
