@@ -27,7 +27,8 @@ VIEWS = 32
 #: Views that take part in scoring: their weights come first.
 KEPT_VIEWS = 4
 WIDTHS = (0.05, 0.1, 0.2, 0.4, 0.8, 1.6, 3.2, 6.4)
-CHUNK = 2_000
+#: Rows compared with the context at a time: their distances stay in a core's cache.
+CHUNK = 128
 #: Every class keeps this share of an answer, so that no answer is certain.
 FLOOR = 1e-4
 CONTEXT_COLUMNS = "place int, label int, x array<double>"

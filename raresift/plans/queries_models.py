@@ -271,23 +271,28 @@ TRIAL = TrainConfig(
 )
 
 
-def trial_system(spark: SparkSession, folder: str) -> Trained:
-    rows = orders(spark, folder).select("id", "label", *ORDER_FEATURES)
-    unfinished = orders(spark, folder).filter("state = 'P'").select("id", *ORDER_FEATURES)
-    return train(rows, unfinished, ORDER_FEATURES, "label", "id", TRIAL)
+def frozen_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The labelled catalogue written once: training and scoring read it some ten times, and each time would count the lines again."""
+    return materialise(orders(spark, folder).select("id", "state", "label", *ORDER_FEATURES))
+
+
+def trial_system(rows: DataFrame) -> Trained:
+    labelled = rows.select("id", "label", *ORDER_FEATURES)
+    unfinished = rows.filter("state = 'P'").select("id", *ORDER_FEATURES)
+    return train(labelled, unfinished, ORDER_FEATURES, "label", "id", TRIAL)
 
 
 @query("cascade_fit_score")
 def cascade_fit_score(spark: SparkSession, folder: str) -> DataFrame:
     """Train the whole system on the labelled table, then score that table's rows."""
-    system = trial_system(spark, folder)
-    return score(orders(spark, folder), system.bundle, "id")
+    rows = frozen_orders(spark, folder)
+    return score(rows, trial_system(rows).bundle, "id")
 
 
 @query("training_reports")
 def training_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The per-class reports of a training run, one after the other."""
-    reports = trial_system(spark, folder).reports
+    reports = trial_system(frozen_orders(spark, folder)).reports
     made = [reports[name].withColumn("report", F.lit(name)) for name in ("final", "gate", "specialist", "generalist")]
     result = made[0]
     for other in made[1:]:
@@ -299,18 +304,20 @@ def training_reports(spark: SparkSession, folder: str) -> DataFrame:
 def bundle_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Save the system, load it again, and write its texts for every order."""
     place = scratch(spark, "bundle")
-    save_bundle(spark, trial_system(spark, folder).bundle, place)
-    return messages(orders(spark, folder), load_bundle(spark, place, TRIAL.name), "id")
+    rows = frozen_orders(spark, folder)
+    save_bundle(spark, trial_system(rows).bundle, place)
+    return messages(rows, load_bundle(spark, place, TRIAL.name), "id")
 
 
 @query("stream_score")
 def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     """The orders arrive as CSV files and are scored by a bounded stream; ids on a list are skipped."""
-    system = trial_system(spark, folder)
-    arriving = orders(spark, folder).select("id", *ORDER_FEATURES)
+    rows = frozen_orders(spark, folder)
+    system = trial_system(rows)
+    arriving = rows.select("id", *ORDER_FEATURES)
     incoming, outgoing = scratch(spark, "incoming"), scratch(spark, "verdicts")
     arriving.repartition(4).write.option("header", True).csv(incoming)
-    known = [(orders(spark, folder).filter("state = 'P'").select("id"), "id")]
+    known = [(rows.filter("state = 'P'").select("id"), "id")]
     source = stream_catalogue(spark, incoming, arriving.schema)
     score_stream(source, system.bundle, outgoing, scratch(spark, "progress"), "id", known).awaitTermination()
     return spark.read.parquet(outgoing)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from raresift.operators import bits, metrics, sizing
 from raresift.operators.isolation import fit_isolation, fit_score_isolation
+from raresift.plans import queries_models
 
 
 def test_bit_table_stays_small_for_the_driver(spark):
@@ -34,6 +35,11 @@ def test_training_scores_are_those_of_the_filter(spark):
     assert scored.exceptAll(again.score(rows).select("id", "filter_score")).isEmpty() and scored.count() == 3_015
 
 
+def test_orders_are_joined_once(spark, folder):
+    text = queries_models.frozen_orders(spark, folder)._jdf.queryExecution().toString()
+    assert "Join" not in text and "lineitem" not in text
+
+
 def test_observed_scores_are_worked_out_once(spark, monkeypatch):
     frozen = []
     monkeypatch.setattr(metrics, "materialise", lambda df, whole=metrics.materialise: frozen.append(df.columns) or whole(df))
