@@ -35,6 +35,8 @@ from raresift.session import ensure_checkpoint_dir
 VECTOR = "_features"
 # Memory for the split statistics of one group of tree nodes, MiB.
 TREE_MEMORY_MB = 512
+# Rows that a task of a Spark ML fit keeps and reads again for every level.
+FIT_ROWS = 250_000
 
 
 def with_vector(df: DataFrame, features: Sequence[str], output: str = VECTOR) -> DataFrame:
@@ -70,19 +72,26 @@ class CodedModel:
         return self.probabilities(df, "_p").withColumn(output, F.get("_p", F.lit(self.codes.index(code)))).drop("_p")
 
 
-def _reindexed(df: DataFrame, code: str, output: str) -> tuple[DataFrame, tuple[int, ...]]:
+def _reindexed(df: DataFrame, code: str, output: str, counts: dict | None = None) -> tuple[DataFrame, tuple[int, ...]]:
     """Add class positions 0..k-1 as double, which Spark ML asks for."""
-    codes = tuple(sorted(group_counts(df, code)))
+    codes = tuple(sorted(group_counts(df, code) if counts is None else counts))
     table = small_table(
         df.sparkSession, {"_code": codes, output: [float(i) for i in range(len(codes))]}, {"_code": pa.int64(), output: pa.float64()}
     )
     return df.join(F.broadcast(table), F.col(code) == F.col("_code")).drop("_code"), codes  # one row per class
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """As many partitions as keep each near ``FIT_ROWS`` rows; a table that needs one only is returned as it is."""
+    parts = -(-rows // FIT_ROWS)
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism)) if parts > 1 else df
+
+
 def _fit(estimator, df: DataFrame, code: str, features: Sequence[str], weighted: bool) -> CodedModel:
     ensure_checkpoint_dir(df.sparkSession)
     wanted = df.select(code, *features)
-    indexed, codes = _reindexed(wanted, code, "_label")
+    counts = group_counts(wanted, code)
+    indexed, codes = _reindexed(wanted, code, "_label", counts)
     if not codes:
         raise ValueError("cannot fit a classifier without rows")
     if len(codes) == 1:
@@ -90,7 +99,7 @@ def _fit(estimator, df: DataFrame, code: str, features: Sequence[str], weighted:
     if weighted:
         indexed = with_balanced_weight(indexed, code, "_weight")
     kept = ["_label", VECTOR, *(["_weight"] if weighted else [])]
-    table = with_vector(indexed, features).select(*kept)
+    table = _dealt(with_vector(indexed, features).select(*kept), sum(counts.values()))
     estimator = estimator.copy({estimator.getParam("featuresCol"): VECTOR, estimator.getParam("labelCol"): "_label"})
     if weighted:
         estimator = estimator.copy({estimator.getParam("weightCol"): "_weight"})

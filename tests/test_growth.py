@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raresift.operators import bits, metrics, sizing
+from raresift.operators import bits, metrics, models, sizing
 from raresift.operators.isolation import fit_isolation, fit_score_isolation
 from raresift.plans import queries_models
 
@@ -46,3 +46,20 @@ def test_observed_scores_are_worked_out_once(spark, monkeypatch):
     rows = spark.range(500).select((F.col("id") % 3 == 0).alias("truth"), (F.col("id") % 50 / 50.0).alias("score"))
     swept = metrics.sweep_scores(rows, F.col("truth"), F.col("score") > 0.1, "score")
     assert swept.count() == 44 and ["_truth", "_score"] in frozen
+
+
+def test_fits_deal_large_tables_into_small_parts(spark, monkeypatch):
+    rows = spark.range(0, 4_000, 1, 2).select((F.col("id") % 3).alias("code"), (F.col("id") % 7 / 7.0).alias("x"))
+    taken = []
+    monkeypatch.setattr(models, "FIT_ROWS", 100)
+
+    class Forest(type(models.forest(2, 2))):
+        def fit(self, table):
+            taken.append(table.rdd.getNumPartitions())
+            return super().fit(table)
+
+    models._fit(Forest(numTrees=2, maxDepth=2, seed=1), rows, "code", ["x"], weighted=True)
+    assert taken == [40]
+    monkeypatch.setattr(models, "FIT_ROWS", 4_000)
+    models._fit(Forest(numTrees=2, maxDepth=2, seed=1), rows, "code", ["x"], weighted=True)
+    assert taken == [40, 2]
