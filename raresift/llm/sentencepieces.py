@@ -83,6 +83,7 @@ class Model:
         self.pieces = pieces
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.ids))
+        self.lengths = list(map(len, pieces))
         #: Every beginning of a piece: its number if it is a piece itself, else -1.
         self.beginnings = {piece[:size]: -1 for piece in self.ids for size in range(1, len(piece))} | self.ids
         self.breaks = "".join(c for c in map(chr, range(0x20)) if c not in self.ids)
@@ -170,9 +171,55 @@ class Model:
             return [piece]
         return [self.byte[value] for value in chr(~piece).encode()] if self.byte else [self.unknown]
 
+    def only_path(self, word: str) -> list[int] | None:
+        """The path through a word, longest pieces first; none where characters lie outside the vocabulary.
+
+        A beginning of a word has one encoding, so a place is reached on one path only: the search never enters a place
+        twice, and the path that it finds is the one of ``spread``.
+        """
+        size, beginnings, pairs, lengths = len(word), self.beginnings, self._pairs, self.lengths
+        entered = {0}
+        found: list[int] = []
+        waiting: list[tuple[int, list[int]]] = []
+        place, last = 0, -1
+        while place < size:
+            if beginnings.get(word[place], -1) < 0:
+                return None
+            options = []
+            for end in range(place + 1, size + 1):
+                piece = beginnings.get(word[place:end])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    options.append(piece)
+            while True:
+                if options:
+                    piece = options.pop()
+                    end = place + lengths[piece]
+                    if end in entered:
+                        continue
+                    good = pairs.get(last << 32 | piece)
+                    if good is None:
+                        good = self.fits(None if last < 0 else last, piece)
+                    if good:
+                        break
+                elif found:
+                    found.pop()
+                    last = found[-1] if found else -1
+                    place, options = waiting.pop()
+                else:
+                    return None
+            entered.add(end)
+            waiting.append((place, options))
+            found.append(piece)
+            place, last = end, piece
+        return found
+
     def _word(self, word: str) -> bytes:
-        best = self.spread(word, 0, None, len(word), len(word))
-        packed = np.array(self.back(best, len(word)), np.uint32).tobytes()
+        found = self.only_path(word)
+        if found is None:
+            found = self.back(self.spread(word, 0, None, len(word), len(word)), len(word))
+        packed = np.array(found, np.uint32).tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self._words) > self.most_words:
                 self._words.clear()
