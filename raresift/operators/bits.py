@@ -19,8 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 BITS_PER_ID = 12
 HASHES = 4
 WORD = 64
-#: 4 MiB of bits: 2.8 million ids at twelve bits each.
-MOST_BITS = 1 << 25
+#: 2 MiB of bits: 1.4 million ids at twelve bits each.
+MOST_BITS = 1 << 24
+#: With fewer bits an id, a fourth of the other rows and more would be let through, after a second scan for them.
+LEAST_BITS_PER_ID = 3
 
 
 def table_bits(ids: int, most: int = MOST_BITS) -> int:
@@ -28,6 +30,11 @@ def table_bits(ids: int, most: int = MOST_BITS) -> int:
     return max(WORD, min(most, 1 << (max(1, ids * BITS_PER_ID) - 1).bit_length()))
 
 
+def worth_it(ids: int, most: int = MOST_BITS) -> bool:
+    """Whether the largest table would keep most rows that are not listed from the join."""
+    return ids * LEAST_BITS_PER_ID <= most
+
+
 def hashes_for(ids: int, bits: int) -> int:
     """Bits that an id sets: as many as let the fewest other ids through, within bounds."""
     return max(1, min(HASHES, round(math.log(2.0) * bits / max(1, ids))))

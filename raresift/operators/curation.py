@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from raresift.functions.values import all_of
-from raresift.operators.bits import may_be_listed
+from raresift.operators.bits import may_be_listed, worth_it
 from raresift.operators.sizing import broadcast_if_small, measure
 from raresift.schema import MissingColumns, require_columns
 from raresift.session import materialise
@@ -28,7 +28,8 @@ def exclude_known(df: DataFrame, lists: Sequence[tuple[DataFrame, str]], id_col:
     """Rows whose id is on none of the lists. A row without id matches nothing and stays.
 
     A list measured to be small is broadcast. Of a longer one only a bit table is, and rows that are certainly on no list
-    stay where they are; the rest, few but for the listed ones, are joined.
+    stay where they are; the rest, few but for the listed ones, are joined. A list too long for a bit table of bounded size
+    is joined as a whole: neither the list nor anything made of it passes through the driver.
     """
     require_columns(df, [id_col])
     if not lists:
@@ -39,6 +40,8 @@ def exclude_known(df: DataFrame, lists: Sequence[tuple[DataFrame, str]], id_col:
     size = measure(known, "_known")
     if size.small():
         return df.join(F.broadcast(known), on_list, "left_anti")
+    if not worth_it(size.rows):
+        return df.join(known, on_list, "left_anti")
     listed = may_be_listed(known, "_known", size.rows)(F.col(id_col))
     return df.filter(~listed).unionByName(df.filter(listed).join(known, on_list, "left_anti"))
 

@@ -13,8 +13,8 @@ LOOKUP_ROWS = 10_000
 # Values that a class column may have: its counts and cutoffs are held by the driver and broadcast.
 CLASS_ROWS = 1_000_000
 # Id lists up to this many rows and bytes are broadcast. The driver holds such a list several times while it is hashed and sent.
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 8 * 1024 * 1024
 
 
 def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS) -> list[Row] | None:

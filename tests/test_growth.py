@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raresift.operators import bits, metrics, models, sizing
+from raresift.operators import bits, curation, metrics, models, sizing
 from raresift.operators.isolation import fit_isolation, fit_score_isolation
 from raresift.plans import queries_models
 
@@ -63,3 +63,15 @@ def test_fits_deal_large_tables_into_small_parts(spark, monkeypatch):
     monkeypatch.setattr(models, "FIT_ROWS", 4_000)
     models._fit(Forest(numTrees=2, maxDepth=2, seed=1), rows, "code", ["x"], weighted=True)
     assert taken == [40, 2]
+
+
+def test_very_long_list_does_not_pass_through_the_driver(spark, monkeypatch):
+    ids = spark.range(6_000_000).select((F.col("id") * 2).cast("string").alias("id"))
+    monkeypatch.setattr(curation, "may_be_listed", None)
+    rows = spark.range(1_000).select(F.when(F.col("id") != 7, F.col("id")).cast("string").alias("id"), "id")
+    rows = rows.toDF("id", "number")
+    kept = curation.exclude_known(rows, [(ids, "id")], "id")
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in text and "LeftAnti" in text
+    assert sorted(row.number for row in kept.collect()) == list(range(1, 1_000, 2))
+    assert bits.worth_it(5_000_000) and not bits.worth_it(6_000_000)
