@@ -204,7 +204,10 @@ ROWS = ", ".join(f"{name} bigint" for name in NAMES)
 
 
 def node_rows(chunks: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
-    """A row per document without token, and a row per prefix entry without document."""
+    """A row per document without token, and a row per prefix entry without document.
+
+    The answers are written first, so that the n-grams sent for them and the texts are not shuffled at one time.
+    """
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         made = []
@@ -227,8 +230,9 @@ def node_rows(chunks: DataFrame, size: int, percent: int, bits: int) -> DataFram
             made.append(pa.Table.from_arrays(arrays, names=NAMES))
         return pa.concat_tables(made)
 
+    answered = materialise(levels(chunks), compression="zstd")
     rows = chunks.filter("part IS NULL").select("chunk", "doc_id", "text")
-    return rows.groupBy("chunk").cogroup(levels(chunks).groupBy("chunk")).applyInArrow(run, ROWS)
+    return rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, ROWS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,7 +312,8 @@ def join(
     t.prepare(spark)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     bits = range_bits(texts)
-    rows = materialise(node_rows(materialise(chunked(texts, size, bits)), size, percent, bits))
+    chunks = materialise(chunked(texts, size, bits), compression="zstd")
+    rows = materialise(node_rows(chunks, size, percent, bits), compression="zstd")
     nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *SKETCH)
     usable = nodes.filter("n > 0 AND doc_id IS NOT NULL")
     heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head")))
