@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from raresift.llm import text as t
-from raresift.session import materialise
+from raresift.session import materialise, release
 
 #: Text bytes per chunk of documents (a longer document is a chunk), and per range of n-grams.
 CHUNK_BYTES = 4_000_000
@@ -314,6 +314,7 @@ def join(
     bits = range_bits(texts)
     chunks = materialise(chunked(texts, size, bits), compression="zstd")
     rows = materialise(node_rows(chunks, size, percent, bits), compression="zstd")
+    release(chunks)
     nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *SKETCH)
     usable = nodes.filter("n > 0 AND doc_id IS NOT NULL")
     heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head")))
