@@ -15,6 +15,10 @@ node (the one with the most frequent n-grams) of its lists, which joins most of
 candidate pairs of nodes in *different* components so far are verified, so no link that joins components is lost, while a
 group of thousands of copies never expands into its pairs. Sets are told apart by 64-bit sums.
 
+A list tells of two nodes only that they share one n-gram. Each node therefore carries two tables of fixed size, parities of
+its whole set and the places of its prefix, from which the join bounds what two nodes can share at all. A pair leaves its lists
+only if that is enough, so nodes of one template that are too far apart are compared there and make no rows.
+
 Defined cases: null and empty texts have no n-grams and are alone; a text with fewer words than ``n`` has one n-gram,
 the whole; rows with equal ids are one document that holds all their texts, so what links to one of them is linked to
 all, and each keeps its own row; rows without id are returned without a component; further columns are not read; an empty
@@ -161,6 +165,25 @@ def set_numbers(value: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
         return t.mix(spread[begin + sizes] - spread[begin] + sizes.astype(_U))
 
 
+def prefix_marks(token: np.ndarray, doc: np.ndarray, count: int) -> dict[str, np.ndarray]:
+    """A bit for the place of each prefix entry, by document, and how many entries have a place that another one of theirs has.
+
+    Two prefixes share at most the bits that both have and the smaller ``spare``.
+    """
+    place = (token >> _U(20)) % _U(64 * len(PREFIX))
+    word, bit = place >> _U(6), _U(1) << (place & _U(63))
+    filled, begin = np.unique(doc, return_index=True)
+    spare = np.bincount(doc, minlength=count).astype(np.int64)
+    found = {}
+    for number, name in enumerate(PREFIX):
+        row = np.zeros(count, _U)
+        if len(filled):
+            row[filled] = np.bitwise_or.reduceat(np.where(word == number, bit, _U(0)), begin)
+        spare -= np.bitwise_count(row)
+        found[name] = row.view(np.int64)
+    return found | {"spare": spare}
+
+
 def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray, percent: int) -> dict[str, np.ndarray]:
     """Chosen prefixes: figures per document, and the entries of all prefixes that other documents have (``at`` is their
     document). ``level``: of each entry, 0 where no other document has it."""
@@ -191,15 +214,18 @@ def prefixes(value: np.ndarray, doc: np.ndarray, count: int, level: np.ndarray,
     key = (middle << 51) | (node & _U((1 << 51) - 1)).astype(np.int64)
     at = np.repeat(np.arange(count), length)
     shared = estimate[entry] > 0
+    token, at = value[entry][shared], at[shared]
     return {
         "n": sizes, "node": node.view(np.int64), "key": key, "matches": matches, "last": last,
-        **sketches(value, doc[order], count), "token": value[entry][shared].view(np.int64), "at": at[shared],
+        **sketches(value, doc[order], count), **prefix_marks(token, at, count), "token": token.view(np.int64), "at": at,
     }
 
 
 SKETCH = ("s0", "s1", "s2", "s3")
+PREFIX = tuple(f"p{number}" for number in range(8))
+MARKS = (*SKETCH, *PREFIX, "spare")
 _FIGURES = ("n", "node", "key", "matches", "last")
-NAMES = ["token", "doc_id", *_FIGURES, *SKETCH]
+NAMES = ["token", "doc_id", *_FIGURES, *MARKS]
 ROWS = ", ".join(f"{name} bigint" for name in NAMES)
 
 
@@ -221,12 +247,12 @@ def node_rows(chunks: DataFrame, size: int, percent: int, bits: int) -> DataFram
         for texts, value, doc in sets:
             count = len(texts)
             found = prefixes(value, doc, count, level[np.searchsorted(known, _codes(value, bits))], percent)
-            arrays = [pa.nulls(count, pa.int64()), ids.slice(texts.first, count), *[pa.array(found[name]) for name in (*_FIGURES, *SKETCH)]]
+            arrays = [pa.nulls(count, pa.int64()), ids.slice(texts.first, count), *[pa.array(found[name]) for name in (*_FIGURES, *MARKS)]]
             made.append(pa.Table.from_arrays(arrays, names=NAMES))
             at = found["at"]
             arrays = [pa.array(found["token"]), pa.nulls(len(at), pa.int64())]
             arrays += [pa.array(found[name][at]) for name in _FIGURES]
-            arrays += [pa.nulls(len(at), pa.int64()) for _ in SKETCH]
+            arrays += [pa.nulls(len(at), pa.int64()) for _ in MARKS]
             made.append(pa.Table.from_arrays(arrays, names=NAMES))
         return pa.concat_tables(made)
 
@@ -304,6 +330,35 @@ def _could_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * _least_overlap(n, m, percent))
 
 
+def _possible(side: str, other: str, shared: Column, percent: int) -> Column:
+    """N-grams of a prefix that ends first and are not shared are missing from the other set."""
+    n = F.col(f"{side}_n")
+    length = F.least(n, n + F.col(f"{side}_matches") - F.ceil(n * percent / 100))
+    missing = n - _least_overlap(F.col("a_n"), F.col("b_n"), percent)
+    return (F.col(f"{side}_last") > F.col(f"{other}_last")) | (length - shared <= missing)
+
+
+def _enough(shared: Column, percent: int) -> Column:
+    """Whether prefixes that share so many n-grams may belong to linked sets."""
+    least = F.least("a_matches", "b_matches", "a_n", "b_n")
+    return (shared >= least) & _possible("a", "b", shared, percent) & _possible("b", "a", shared, percent)
+
+
+def candidates(outside: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """A row for each list and pair of nodes of different components that meet there, unless their tables allow no link."""
+    names = [name for name in outside.columns if name != "token"]
+    a = outside.select("token", *[F.col(name).alias(f"a_{name}") for name in names])
+    b = others.select("token", *[F.col(name).alias(f"b_{name}") for name in names])
+    both = sum(F.bit_count(F.col(f"a_{name}").bitwiseAND(F.col(f"b_{name}"))) for name in PREFIX)
+    meeting = (
+        (F.col("a_label") != F.col("b_label"))
+        & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
+        & _could_link("a_", "b_", percent)
+        & _enough(both + F.least("a_spare", "b_spare"), percent)
+    )
+    return a.join(b, "token").filter(meeting)
+
+
 def join(
     docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -315,13 +370,15 @@ def join(
     chunks = materialise(chunked(texts, size, bits), compression="zstd")
     rows = materialise(node_rows(chunks, size, percent, bits), compression="zstd")
     release(chunks)
-    nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *SKETCH)
+    nodes = rows.filter("token IS NULL").select("doc_id", "n", "node", "key", *MARKS)
     usable = nodes.filter("n > 0 AND doc_id IS NOT NULL")
-    heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head")))
+    # Prefixes of equal sets may end at different n-grams; the places of all of them bound each.
+    marks = [*[F.bit_or(name).alias(name) for name in PREFIX], F.max("spare").alias("spare")]
+    heads = materialise(usable.groupBy("node", "n", "key", *SKETCH).agg(F.min("doc_id").alias("head"), *marks))
     texts = texts.filter("doc_id IS NOT NULL")
 
     # Lists with at least two different nodes, and the most central node of each.
-    entries = rows.filter("token IS NOT NULL").drop("doc_id", *SKETCH)
+    entries = rows.filter("token IS NOT NULL").drop("doc_id", *MARKS)
     lists = entries.groupBy("token").agg(F.max("key").alias("hub"), F.min("key").alias("other")).filter("hub <> other")
     listed = materialise(entries.join(lists.select("token", "hub"), "token"))
 
@@ -342,25 +399,20 @@ def join(
     edges = materialise(_edges(first, heads).union(_same_id(usable, heads)))
     labels = components(edges)
     group = heads.join(labels, F.col("head") == F.col("id"), "left").select(
-        "node", "key", *SKETCH, F.coalesce("component", "head").alias("label")
+        "node", "key", *MARKS, F.coalesce("component", "head").alias("label")
     )
     group = materialise(group)
 
     # Second round: all candidates in different components.
-    known = listed.join(group.select("node", "label", *SKETCH), "node")
+    known = listed.join(group.select("node", "label"), "node")
     centre = group.select(F.col("key").alias("hub"), F.col("label").alias("hub_label")).dropDuplicates(["hub"])
-    columns = ["token", "node", "n", "matches", "last", "label", "outside", *SKETCH]
+    columns = ["token", "node", "n", "matches", "last", "label", "outside"]
     placed = known.join(centre, "hub").withColumn("outside", F.col("label") != F.col("hub_label"))
     placed = materialise(placed.select(columns).distinct())
     outside = placed.filter("outside")
     others = placed.join(outside.select("token").distinct(), "token", "left_semi")
-    a = outside.select("token", *[F.col(name).alias(f"a_{name}") for name in columns[1:]])
-    b = others.select("token", *[F.col(name).alias(f"b_{name}") for name in columns[1:]])
-    meeting = (
-        (F.col("a_label") != F.col("b_label"))
-        & (~F.col("b_outside") | (F.col("a_node") < F.col("b_node")))
-        & _could_link("a_", "b_", percent)
-    )
+    tables = group.select("node", *MARKS)
+    met = candidates(outside.join(tables, "node"), others.join(tables, "node"), percent)
     # A list shows the pair in either order; one order brings all its shared entries together.
     swapped = F.col("a_node") > F.col("b_node")
     ordered = [
@@ -369,19 +421,10 @@ def join(
         for name in ("node", "n", "matches", "last")
     ]
     sides = [f"{side}_{name}" for side in "ab" for name in ("n", "matches", "last")]
-    counted = a.join(b, "token").filter(meeting).select(*ordered).groupBy("a_node", "b_node").agg(
+    counted = met.select(*ordered).groupBy("a_node", "b_node").agg(
         F.count(F.lit(1)).alias("c"), *[F.max(name).alias(name) for name in sides]
     )
-    overlap = _least_overlap(F.col("a_n"), F.col("b_n"), percent)
-
-    def possible(side: str, other: str) -> Column:
-        """N-grams of a prefix that ends first and are not shared are missing from the other set."""
-        n = F.col(f"{side}_n")
-        length = F.least(n, n + F.col(f"{side}_matches") - F.ceil(n * percent / 100))
-        return (F.col(f"{side}_last") > F.col(f"{other}_last")) | (length - F.col("c") <= n - overlap)
-
-    enough = F.col("c") >= F.least("a_matches", "b_matches", "a_n", "b_n")
-    pairs = counted.filter(enough & possible("a", "b") & possible("b", "a"))
+    pairs = counted.filter(_enough(F.col("c"), percent))
     pairs = materialise(pairs.select(F.col("a_node").alias("x"), F.col("b_node").alias("y")))
     second = verified(pairs, heads, texts, size, percent)
     final = components(materialise(edges.union(_edges(second, heads))))
