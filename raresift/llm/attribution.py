@@ -51,15 +51,16 @@ def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
         units = _UNIT.findall(text)
         if not units:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        try:
-            packed = [cache[unit] for unit in units]
-        except KeyError:
-            if len(cache) > MOST_UNITS:
-                cache.clear()
-            made: dict[str, bytes] = {}
-            _fill(tokenizer, list({unit for unit in units if unit not in cache}), made)
-            cache.update((unit, value) for unit, value in made.items() if len(unit) <= LONGEST_KEPT)
-            packed = [made[unit] if unit in made else cache[unit] for unit in units]
+        fresh = set(units).difference(cache)
+        if fresh and len(cache) > MOST_UNITS:
+            cache.clear()
+            fresh = set(units)
+        if fresh:
+            _fill(tokenizer, list(fresh), cache)
+        packed = list(map(cache.__getitem__, units))
+        for unit in fresh:
+            if len(unit) > LONGEST_KEPT:
+                del cache[unit]
         lengths = np.fromiter(map(len, units), np.int64, len(units))
         counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 8
         places = np.repeat(np.cumsum(lengths) - lengths, counts)
@@ -71,17 +72,21 @@ def spans(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
 
 def _fill(tokenizer, units: list[str], made: dict[str, bytes]) -> None:
     """Add the packed spans of each unit. Words that begin with their space are encoded end to end, many in a call."""
-    spaced = [unit for unit in units if unit[0] == " " and len(unit) > 1 and not unit[1:].isspace()]
-    odd = [unit for unit in units if not (unit[0] == " " and len(unit) > 1 and not unit[1:].isspace())]
+    spaced: list[str] = []
+    odd: list[str] = []
+    for unit in units:
+        (spaced if unit[0] == " " and len(unit) > 1 and not unit[1:].isspace() else odd).append(unit)
     for unit, code in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
         made[unit] = np.array(code.offsets, np.int32).tobytes()
     for at in range(0, len(spaced), CALL_UNITS):
         part = spaced[at : at + CALL_UNITS]
         pairs = np.array(tokenizer.encode("".join(part), add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
-        ends = np.cumsum([len(unit) for unit in part])
-        edges = np.searchsorted(pairs[:, 0], np.append(0, ends)).tolist()
-        for unit, start, low, high in zip(part, np.append(0, ends).tolist(), edges[:-1], edges[1:], strict=False):
-            made[unit] = (pairs[low:high] - np.int32(start)).tobytes()
+        starts = np.cumsum([0, *map(len, part)])
+        edges = np.searchsorted(pairs[:, 0], starts)
+        # Spans of all units from their own starts, packed at once and cut as bytes.
+        own = pairs - np.repeat(starts[:-1], np.diff(edges)).astype(np.int32)[:, None]
+        packed, cuts = own.tobytes(), (edges * own.itemsize * 2).tolist()
+        made.update(zip(part, (packed[low:high] for low, high in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
 
 def line_sections(text: str) -> list[int]:
