@@ -16,14 +16,11 @@ from raresift.constants import (
 )
 from raresift.functions.values import share
 from raresift.operators.encoding import LabelCodes
-from raresift.operators.selection import counts_of, values_at_ranks
+from raresift.operators.ordering import sums_before
 from raresift.operators.sizing import broadcast_if_small, small_table
 from raresift.schema import require_columns
 from raresift.session import materialise
 
-#: Thresholds that a sweep over observed scores tries at most.
-MOST_THRESHOLDS = 10_000
-
 
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """``truth, predicted, rows`` for the pairs that occur."""
@@ -225,27 +222,39 @@ def _rates(figures: DataFrame) -> DataFrame:
     )
 
 
-def observed_thresholds(df: DataFrame, score: str, most: int = MOST_THRESHOLDS) -> list[float]:
-    """Distinct scores of a table in ascending order; of more than ``most`` those at evenly spaced ranks."""
-    size = counts_of(df, [score])[0]
-    ranks = sorted({size * place // most for place in range(most)}) if size else []
-    return sorted(set(values_at_ranks(df, [score], [ranks])[0]))
+def _sweep_observed(rows: DataFrame) -> DataFrame:
+    """The sweep of ``_truth, _score`` at every distinct score, however many there are.
+
+    Rows are counted per score; a threshold is reached by all rows but those of smaller scores, whose counts are added
+    up range by range. NaN reaches every threshold and is none.
+    """
+    score = F.when(F.col("_score") == 0, F.lit(0.0)).otherwise(F.col("_score"))  # one zero
+    counted = rows.filter("_score IS NOT NULL").groupBy(score.alias("threshold"))
+    counted = materialise(counted.agg(F.count_if("_truth").alias("_rare"), F.count_if(~F.col("_truth")).alias("_common"), F.lit(1).alias("_one")))
+    able = F.col("_score").isNotNull()
+    totals = rows.agg(
+        F.count_if("_truth").alias("_all"), F.count_if(F.col("_truth") & able).alias("_able_rare"), F.count_if(~F.col("_truth") & able).alias("_able_common")
+    )
+    before = sums_before(counted, "threshold", {"place": "_one", "_less_rare": "_rare", "_less_common": "_common"})
+    # One row of totals.
+    figures = before.filter(~F.isnan("threshold")).crossJoin(F.broadcast(totals))
+    reached = figures.withColumns({"tp": F.col("_able_rare") - F.col("_less_rare"), "fp": F.col("_able_common") - F.col("_less_common")})
+    return _rates(reached.select("place", "threshold", "tp", "fp", (F.col("_all") - F.col("tp")).alias("fn")))
 
 
 def sweep_scores(
-    df: DataFrame, truth: Column, able: Column, score: str, thresholds: Sequence[float] | None = None, most: int = MOST_THRESHOLDS
+    df: DataFrame, truth: Column, able: Column, score: str, thresholds: Sequence[float] | None = None
 ) -> DataFrame:
     """The same table for claims of the form "``able`` and score at least the threshold", at any number of thresholds.
 
-    Without ``thresholds`` all observed scores of able rows are tried. A row is counted once, under the number of
+    Without ``thresholds`` all observed scores of able rows are tried. Else a row is counted once, under the number of
     thresholds that its score reaches (a binary search inside the JVM); sums over these counts give every
     threshold's figures, so the data is read once and a row per threshold is shuffled.
     """
     rows = df.select(F.coalesce(truth, F.lit(False)).alias("_truth"), F.when(able, F.col(score).cast("double")).alias("_score"))
     if thresholds is None:
-        # Read by every pass of the ranks and by the count, so the scores are worked out once.
-        rows = materialise(rows)
-        thresholds = observed_thresholds(rows, "_score", most)
+        # Read by the counts and by their totals, so the scores are worked out once.
+        return _sweep_observed(materialise(rows))
     spark, rising = df.sparkSession, sorted(range(len(thresholds)), key=lambda place: thresholds[place])
     steps = [1 << power for power in reversed(range(max(1, len(rising).bit_length())))]
     # One text, which the planner folds into a literal array.

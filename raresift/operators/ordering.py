@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from raresift.operators.sizing import LOOKUP_ROWS, column_type, small_table
 from raresift.session import materialise
@@ -234,3 +234,26 @@ def numbered(df: DataFrame, order: str, number: str, task_rows: int = TASK_ROWS)
         .withColumn(number, F.col(number) + F.col("_before"))
         .drop("_part", "_before")
     )
+
+
+def sums_before(df: DataFrame, order: str, sums: Mapping[str, str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Add, per entry of ``sums`` (new column: summed column), the sum over all rows of smaller ``order``.
+
+    ``order`` tells rows apart. As in ``numbered``, a larger table is range partitioned and frozen; the sums of a
+    partition go on from those of the partitions before.
+    """
+
+    def before(window, column: str) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if df.agg(F.count(F.lit(1)).alias("n")).first().n <= task_rows:
+        return df.withColumns({name: before(Window.partitionBy().orderBy(order), column) for name, column in sums.items()})
+    ranged = materialise(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part").agg(*[F.sum(column).alias(f"_of_{name}") for name, column in sums.items()])
+    offsets = totals.select("_part", *[before(Window.partitionBy().orderBy("_part"), f"_of_{name}").alias(f"_to_{name}") for name in sums])
+    within = ranged.withColumns({name: before(Window.partitionBy("_part").orderBy(order), column) for name, column in sums.items()})
+    return (
+        within.join(F.broadcast(offsets), "_part")  # one row per partition
+        .withColumns({name: F.col(name) + F.col(f"_to_{name}") for name in sums})
+        .drop("_part", *[f"_to_{name}" for name in sums])
+    )

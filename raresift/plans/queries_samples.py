@@ -17,7 +17,6 @@ from raresift.operators.metrics import (
     filter_rates,
     sweep_scores,
     threshold_sweep,
-    MOST_THRESHOLDS,
     with_balanced_weight,
 )
 from raresift.operators.sampling import (
@@ -413,11 +412,10 @@ def threshold_sweep_query(spark: SparkSession, folder: str) -> DataFrame:
     with_parts(
         [
             *SQL_SCORED,
-            "able AS (SELECT code = 2 AS truth, spec_conf, row_number() OVER (ORDER BY spec_conf) - 1 AS rank, count(*) OVER () AS n FROM scored WHERE p_rare >= CAST(0.05 AS DOUBLE) AND spec_label = 2)",
-            f"wanted AS (SELECT DISTINCT spec_conf FROM able WHERE rank IN (SELECT n * step // {MOST_THRESHOLDS} FROM (SELECT DISTINCT n FROM able), range({MOST_THRESHOLDS}) AS steps(step)))",
+            "able AS (SELECT code = 2 AS truth, spec_conf FROM scored WHERE p_rare >= CAST(0.05 AS DOUBLE) AND spec_label = 2)",
             "counted AS (SELECT spec_conf AS threshold, count(*) FILTER (truth) AS rare, count(*) FILTER (NOT truth) AS common FROM able GROUP BY spec_conf)",
             "summed AS (SELECT threshold, sum(rare) OVER (ORDER BY threshold DESC) AS tp, sum(common) OVER (ORDER BY threshold DESC) AS fp, (SELECT count(*) FROM scored WHERE code = 2) AS rare FROM counted)",
-            "rated AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(rare - tp AS BIGINT) AS fn, 2 * tp / CAST(2 * tp + fp + rare - tp AS DOUBLE) AS f1 FROM summed WHERE threshold IN (SELECT spec_conf FROM wanted))",
+            "rated AS (SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(rare - tp AS BIGINT) AS fn, 2 * tp / CAST(2 * tp + fp + rare - tp AS DOUBLE) AS f1 FROM summed)",
         ],
         f"SELECT {sql_rounded('threshold')} AS threshold, tp, fp, fn, {sql_rounded('f1')} AS f1 FROM rated ORDER BY rated.f1 DESC, rated.threshold LIMIT 1",
     ),

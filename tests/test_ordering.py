@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raresift.operators import ordering
-from raresift.operators.ordering import mark_smallest, numbered, ranked_by_key, smallest_key_cutoffs
+from raresift.operators.ordering import mark_smallest, numbered, ranked_by_key, smallest_key_cutoffs, sums_before
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,14 @@ def test_numbered(spark, task_rows):
     values = spark.createDataFrame([(f"v{i:04d}",) for i in random.Random(1).sample(range(9000), 700)], "v string")
     found = numbered(values, "v", "n", task_rows).collect()
     assert [row.n for row in sorted(found, key=lambda row: row.v)] == list(range(700))
+
+
+def test_sums_before_by_ranges(spark):
+    rows = spark.range(3_000).select(((F.col("id") * 7) % 3_000 / 10).alias("x"), (F.col("id") % 11).alias("n"), F.lit(1).alias("one"))
+    found = sums_before(rows, "x", {"upto": "n", "place": "one"}, task_rows=50)
+    assert found.columns == ["x", "n", "one", "upto", "place"]
+    upto = 0
+    for place, row in enumerate(found.orderBy("x").collect()):
+        assert (row.upto, row.place) == (upto, place)
+        upto += row.n
+    assert sums_before(rows, "x", {"upto": "n"}).exceptAll(found.select("x", "n", "one", "upto")).isEmpty()

@@ -200,3 +200,13 @@ def test_ten_thousand_thresholds_in_one_aggregate(spark):
     assert text.count("Range (0, 30000") == 1 and "Python" not in text
     row = found.filter("place = 5000").first()
     assert (row.tp, row.fp, row.fn) == (5000, 10000, 5000) and found.count() == 10_000
+
+
+def test_sweep_tries_every_one_of_many_scores(spark):
+    rows = spark.range(30_000).select((F.col("id") >= 29_998).alias("t"), (F.col("id") / 30_000).alias("s"))
+    rows = rows.unionByName(spark.createDataFrame([(True, None), (False, float("nan"))], "t boolean, s double"))
+    swept = sweep_scores(rows, F.col("t"), F.lit(True), "s")
+    assert swept.count() == 30_000
+    assert best_threshold(swept) == 29_998 / 30_000
+    row = swept.filter("place = 29998").first()
+    assert (row.tp, row.fp, row.fn) == (2, 1, 1)  # a NaN reaches every threshold, a missing score none
